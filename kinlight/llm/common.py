@@ -7,7 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinlight.plans.lineage import broadcast_if_small, cut
 
 #: Rows of text handed to Python at once; keeps a worker's memory near 2,000 average documents.
 TEXT_BATCH_ROWS = 2_000
@@ -81,3 +84,29 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def text_key() -> Column:
+    """A hash that tells rows of one id and different texts apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def keep_decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decisions(doc_id, text_key, kept)``, one row per row of ``docs``,
+    keeps, with all their columns. Where rows repeat a kept id and text, one of them stays.
+
+    Only the rejected keys are joined to the documents: broadcast where their count is small,
+    shuffled otherwise.
+    """
+    tally = cut(decisions.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max("kept").alias("kept")))
+    marked = docs.withColumn("_kl_key", text_key())
+
+    def by(keys: DataFrame) -> tuple[DataFrame, Column]:
+        named = broadcast_if_small(keys.select(F.col("doc_id").alias("_kl_id"), F.col("text_key").alias("_kl_text")))
+        return named, F.col("doc_id").cast("long").eqNullSafe(F.col("_kl_id")) & (F.col("_kl_key") == F.col("_kl_text"))
+
+    rest = marked.join(*by(tally.filter("not kept or n > 1")), "left_anti")
+    repeated = tally.filter("kept and n > 1")
+    if not repeated.isEmpty():
+        rest = rest.unionByName(marked.join(*by(repeated), "left_semi").dropDuplicates(["doc_id", "_kl_key"]))
+    return rest.drop("_kl_key")

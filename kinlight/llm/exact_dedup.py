@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlight.llm import common
@@ -191,14 +191,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns. Decisions are
-    matched by id and digest, so rows that share an id but not a text are decided apart."""
-    decided = cut(exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.max("kept").alias("kept")))
+    matched by id and text, so rows that share an id but not a text are decided apart."""
+    found = exact_dedup(docs).select("doc_id", "text_sha256", "kept").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    return keep_by_digest(docs, cut(found))
+
+
+def keep_by_digest(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (id, digest of the normalised text) ``decided`` keeps; one row of
+    those that repeat. Only rejected keys are joined: broadcast where few, shuffled otherwise."""
     digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), WHITE_RUN, " "), 256)
     marked = docs.withColumn("_kl_digest", digest)
 
-    def by(keys: DataFrame) -> tuple[DataFrame, object]:
-        k = broadcast_if_small(keys.select(F.col("doc_id").alias("_kl_id"), F.col("text_sha256").alias("_kl_sha")))
-        return k, F.col("doc_id").cast("long").eqNullSafe(F.col("_kl_id")) & (F.col("_kl_digest") == F.col("_kl_sha"))
+    def by(keys: DataFrame) -> tuple[DataFrame, Column]:
+        named = broadcast_if_small(keys.select(F.col("doc_id").alias("_kl_id"), F.col("text_sha256").alias("_kl_sha")))
+        return named, F.col("doc_id").cast("long").eqNullSafe(F.col("_kl_id")) & (F.col("_kl_digest") == F.col("_kl_sha"))
 
     rest = marked.join(*by(decided.filter("not kept or n > 1")), "left_anti")
     repeated = decided.filter("kept and n > 1")
