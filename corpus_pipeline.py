@@ -1,11 +1,70 @@
-"""The corpus pipeline: stages that are written and read again between each other."""
+"""The corpus pipeline: quality, exact duplicates, near-duplicates, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a table that is written as parquet and read again as the
+next stage's ``docs``. All but the last keep the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from kinlight.llm import common, quality
+from kinlight.llm.best_fit import pack
+from kinlight.llm.decontamination import drop_contaminated
+from kinlight.llm.exact_dedup import drop_exact_duplicates
+from kinlight.llm.simhash import drop_near_duplicates
+from kinlight.plans.lineage import checkpoint_dir
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labels of ``docs``, predicts as good."""
+    return quality.drop_low_quality(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the smallest id."""
+    return drop_exact_duplicates(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates, the one with the smallest id."""
+    return drop_near_duplicates(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that are left, in sequences of 4,096 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
+
+#: Stages that SQL can't express (the classifier, SimHash, the tokenizer) make the rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to ``documents``."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``, each written to the shared checkpoint folder and read again."""
+    checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

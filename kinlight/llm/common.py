@@ -110,3 +110,39 @@ def keep_decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     if not repeated.isEmpty():
         rest = rest.unionByName(marked.join(*by(repeated), "left_semi").dropDuplicates(["doc_id", "_kl_key"]))
     return rest.drop("_kl_key")
+
+
+#: An odd base for polynomial hashes modulo 2^64, and its inverse.
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of the base and of its inverse; kept up to the usual slice size."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    n = max(n, SLICE_BYTES + 1)
+    made = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= 2 * SLICE_BYTES:
+        _powers[:] = made
+    return made[0], made[1]
+
+
+def mix(z: np.ndarray) -> np.ndarray:
+    """Spread a uint64 over all bits (multiply and shift)."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range [start, end), from one running sum over all bytes."""
+    power, inverse = _power_tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:], dtype=np.uint64)
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

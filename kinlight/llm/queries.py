@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlight.llm import common
+from kinlight.llm import common, language_id, quality
+from kinlight.llm.best_fit import pack
+from kinlight.llm.decontamination import find_contained
 from kinlight.llm.exact_dedup import exact_dedup
+from kinlight.llm.html_text import extract
 from kinlight.llm.sharding import assign_shards
 from kinlight.llm.simhash import near_duplicates
+from kinlight.llm.substring_dedup import digest, remove_repeats
 from kinlight.llm.token_counts import count_tokens
 
 
@@ -24,12 +28,45 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; labels of one fold are not learnt from."""
+    docs = common.table(spark, sf_dir, "documents")
+    forest = quality.train(docs, common.table(spark, sf_dir, "labels"))
+    return quality.score(docs, forest).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard (0 to 7) and slot under the law of equal row counts."""
     placed = assign_shards(common.table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; documents of one fold are not learnt from."""
+    docs, vocabulary = common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    return language_id.identify(docs, vocabulary, language_id.train(docs, vocabulary))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds."""
+    return find_contained(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in sequences of 4,096 tokens."""
+    return pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without passages of 13 words that an earlier one has."""
+    return digest(remove_repeats(common.table(spark, sf_dir, "documents")))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return extract(common.table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens as byte_bpe_50k counts them."""
     return count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -38,7 +75,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
+    "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -51,4 +94,44 @@ ORACLE_SQL = {
                doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM d WINDOW same AS (PARTITION BY t)
     """,
+    "op6_decontamination": r"""
+        WITH broken AS (
+            SELECT doc_id AS id, 'd' AS kind, lower(coalesce(text, '')) AS t FROM documents WHERE doc_id IS NOT NULL
+            UNION ALL
+            SELECT item_id, 'i', lower(coalesce(text, '')) FROM benchmark WHERE item_id IS NOT NULL
+        ), worded AS (
+            SELECT id, kind, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM broken
+        ), shingled AS (
+            SELECT id, kind, unnest(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s
+            FROM worded WHERE len(w) > 0
+        ), item AS (
+            SELECT DISTINCT id AS item_id, s FROM shingled WHERE kind = 'i'
+        ), doc AS (
+            SELECT DISTINCT id AS doc_id, s FROM shingled WHERE kind = 'd'
+        ), sizes AS (
+            SELECT item_id, count(*) AS n FROM item GROUP BY item_id
+        ), found AS (
+            SELECT doc_id, item_id, count(*) AS f FROM doc JOIN item USING (s) GROUP BY doc_id, item_id
+        )
+        SELECT doc_id, item_id, n AS n_shingles, f AS n_found, f::DOUBLE / n AS containment
+        FROM found JOIN sizes USING (item_id) WHERE f::DOUBLE / n >= 0.8
+    """,
+    "op8_substring_dedup": r"""
+        WITH worded AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM worded WHERE len(w) >= 13)
+        ), earliest AS (
+            SELECT s, min(doc_id) AS first_id FROM windows GROUP BY s
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN earliest USING (s) WHERE first_id < doc_id
+        ), lost AS (
+            SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+        FROM worded LEFT JOIN lost USING (doc_id)
+    """,
 }
