@@ -15,7 +15,7 @@ from kinlight.plans.lineage import broadcast_if_small, cut
 #: Rows of text handed to Python at once; keeps a worker's memory near 2,000 average documents.
 TEXT_BATCH_ROWS = 2_000
 #: Bytes of text worked on at once inside a batch; numpy temporaries are a small multiple of it.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
