@@ -9,13 +9,12 @@ once. The plan is a list of runs; pieces find their place in it by their rank in
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +25,12 @@ from kinlight.plans.lineage import cut
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks (text between white space) and words that a worker remembers the ids of.
+#: Words of one generation that a worker remembers the ids of; two generations are kept.
 CACHE_LIMIT = 1 << 18
-#: The words of a chunk: what the tokenizer's pattern keeps. White space never joins two of them.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: The words that the tokenizer's pattern keeps of a lower-cased text in printable Latin-1.
+_LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\t-\r {_LETTER}{_NUMBER}]+")
+UNUSUAL = re.compile("[^\t-\r -~\xa1-\xac\xae-\xff]")
 
 
 class RoomTree:
@@ -103,60 +104,55 @@ def pack_lengths(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return np.array(plan, np.int64).reshape(-1, 5)
 
 
-class ChunkIds(dict):
-    """Ids of text chunks as little-endian bytes, encoded when first asked for."""
+class WordIds:
+    """Ids of words as little-endian bytes. When the memory is full, words become the old generation, from
+    which those that are used again come back; the rest is forgotten at the next turn."""
 
     def __init__(self, path: str):
-        super().__init__()
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tokenizer = load_tokenizer(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-
-    def learn(self, chunks: set[str]) -> None:
-        """Make the ids of ``chunks`` known: those of each chunk's words in turn. A chunk outside
-        printable Latin-1 or with a special string is left to the library, as its normaliser may
-        change borders there."""
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > CACHE_LIMIT:
-            self.clear()
-            new = list(chunks)
-        plain = [c for c in new if _is_plain(c)]
-        parts = [WORDS.findall(c.lower()) for c in plain]
-        unknown = [w for w in set(chain.from_iterable(parts)) if w not in self.words]
-        if len(self.words) + len(unknown) > CACHE_LIMIT:
-            self.words.clear()
-            unknown = list(set(chain.from_iterable(parts)))
-        self.words.update(zip(unknown, self._encode(unknown), strict=True))
-        word = self.words.__getitem__
-        self.update((c, b"".join(map(word, p))) for c, p in zip(plain, parts, strict=True))
-        other = [c for c in new if not _is_plain(c)]
-        self.update(zip(other, self._encode(other), strict=True))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+
+    def learn(self, words: set[str]) -> None:
+        """Make words known. Unknown ones are encoded in one text: every word ends in the one piece that
+        ends words."""
+        if len(self.now) > CACHE_LIMIT:
+            self.old, self.now = self.now, {}
+        missing = words.difference(self.now)
+        new = list(missing.difference(self.old))
+        self.now.update((w, self.old[w]) for w in missing.difference(new))
+        ids = self._encode(" ".join(new))
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(new):
+            raw, at = ids.tobytes(), (cuts * 4).tolist()
+            self.now.update(zip(new, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+        else:
+            self.now.update((w, self._encode(w).tobytes()) for w in new)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def ids(self, text: str) -> bytes:
-        """The ids of a whole text."""
-        chunks = text.translate(_TO_SPACE).split(" ")
+        """The ids of a whole text. One with characters outside printable Latin-1 and white space, or with
+        what may be a special string, is left to the library, whose normaliser may change it."""
+        if "<|" in text or UNUSUAL.search(text):
+            return self._encode(text).tobytes()
+        words = WORDS.findall(text.lower())
         try:
-            return b"".join(map(self.__getitem__, chunks))
+            return b"".join(map(self.now.__getitem__, words))
         except KeyError:
-            self.learn(set(chunks))
-            return b"".join(map(self.__getitem__, chunks))
-
-
-def _is_plain(chunk: str) -> bool:
-    return chunk.isprintable() and max(chunk, default="") < "\u0100" and "<|" not in chunk
-
-
-_TO_SPACE = {ord(c): " " for c in "\t\n\r\v\f"}
+            self.learn(set(words))
+            return b"".join(map(self.now.__getitem__, words))
 
 
 def _piece_batches(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkIds(path)
+        known = WordIds(path)
         for batch in batches:
             rows = []
             for doc_id, text_key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text")), strict=True):
