@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(near_links(classes.select("fp"), radius, blocks))
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(smallest, "component").select("fp", "component_id")
+    of_class = join_spread(named, smallest, ["component"], "fp").select("fp", "component_id")
     found = join_spread(rows, of_class, ["fp"], "doc_id")
     return found.select("doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
