@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinlight.functions.text import decoder_of, file_name, supported
 
@@ -89,13 +90,13 @@ def read_metadata(files: DataFrame, reader: Callable[[bytes], dict | None]) -> D
     return t.select("path", size["width"].alias("width"), size["height"].alias("height"), F.coalesce("t.orientation", F.lit(1)).alias("orientation"), taken_time(F.col("t.original"), F.col("t.digitised")).alias("taken_utc"), camera(F.col("t.make"), F.col("t.model")).alias("camera"))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(blobs: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats of a binary as an array."""
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4").tolist())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_vector(vectors: pd.Series) -> pd.Series:
     """An array of floats as little-endian bytes."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
