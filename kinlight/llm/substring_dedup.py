@@ -27,6 +27,8 @@ ANCHOR = 5
 FILTER_BITS = 1 << 26
 #: Windows of one anchor that a task compares by itself.
 GROUP_LIMIT = 1 << 20
+#: Occurrences above which an anchor tells little: its windows are then dealt out by their own hashes.
+COMMON = 10_000
 
 
 def _grams(words: np.ndarray, k: int) -> np.ndarray:
@@ -90,41 +92,59 @@ def _anchor_batches(window: int, anchor: int):
 
 
 def _extension_batches(shared, bits: int, window: int, anchor: int):
-    """Anchors that the filter passes, each with the windows that chose it."""
+    """Anchors that the filter passes, each with the windows that chose it. Each window of a common anchor
+    takes the anchor's part itself, so that an anchor in most documents is spread over all tasks; where a
+    document repeats such a window, ``more`` has its other places."""
+
+    def rows(batch: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, begin: np.ndarray, windows: tuple, more: tuple) -> pa.RecordBatch:
+        ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
+        lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64))) for values, bounds in (windows, more)]
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc].astype(np.int64)), pa.array(keys[doc]), pa.array(begin.astype(np.int64)), *lists], _EXTENDED_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.frombuffer(shared.value, np.uint8)
+        flags, common_flags = np.frombuffer(shared.value, np.uint8).reshape(2, -1)
+        none = np.zeros(0, np.int64)
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            keys = batch.column("text_key").to_numpy(zero_copy_only=False)
-            for i, (of, begin, whole, least, place) in _slices(batch, window, anchor):
-                bit = _bit(least, bits)
-                passed = (flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                of, begin, whole, least, place = of[passed], begin[passed], whole[passed], least[passed], place[passed]
+            for i, found in _slices(batch, window, anchor):
+                passed = _has(flags, found[3], bits)
+                of, begin, whole, least, place = (x[passed] for x in found)
+                alone = _has(common_flags, least, bits)
+                f, b, w = of[alone], begin[alone], whole[alone]
+                order = np.lexsort((b, w, f))
+                f, b, w = f[order], b[order], w[order]
+                at = np.flatnonzero(np.concatenate(([len(f) > 0], (f[1:] != f[:-1]) | (w[1:] != w[:-1]))))
+                others = np.ones(len(f), bool)
+                others[at] = False
+                ends = np.append(at, len(f)) - np.arange(len(at) + 1)
+                yield rows(batch, i + f[at], common.mix(w[at]), b[at], (w[at], np.arange(len(at) + 1)), (b[others], ends))
+                of, begin, whole, least, place = (x[~alone] for x in (of, begin, whole, least, place))
                 at = _runs(of, place)
-                bounds = pa.array(np.append(at, len(of)), pa.int32())
-                doc = i + of[at]
-                windows = pa.ListArray.from_arrays(bounds, pa.array(whole.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(least[at].view(np.int64)), pa.array(ids[doc].astype(np.int64)), pa.array(keys[doc]), pa.array(begin[at].astype(np.int64)), windows], _EXTENDED_NAMES)
+                yield rows(batch, i + of[at], least[at], begin[at], (whole, np.append(at, len(of))), (none, np.zeros(len(at) + 1, np.int64)))
 
     return run
 
 
-_EXTENDED_NAMES = ["anchor", "doc_id", "text_key", "begin", "windows"]
-_EXTENDED = "anchor long, doc_id long, text_key long, begin long, windows array<long>"
+_EXTENDED_NAMES = ["anchor", "doc_id", "text_key", "begin", "windows", "more"]
+_EXTENDED = "anchor long, doc_id long, text_key long, begin long, windows array<long>, more array<long>"
 
 
 def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(20)).astype(np.int64) & (bits - 1)
 
 
-def _filter_words(bits: int):
-    """The 64-bit words of the filter that a task's anchors set."""
+def _has(flags: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    bit = _bit(hashes, bits)
+    return (flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def _filter_words(bits: int, often: int):
+    """The 64-bit words that a task's anchors set in two filters of ``bits`` bits: all, then common ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(bits // 8, np.uint8)
+        flags = np.zeros(2 * bits // 8, np.uint8)
         for batch in batches:
             bit = _bit(batch.column("anchor").to_numpy(zero_copy_only=False).view(np.uint64), bits)
+            bit = np.concatenate((bit, bit[batch.column("n").to_numpy(zero_copy_only=False) > often] + bits))
             np.bitwise_or.at(flags, bit >> 3, np.uint8(1) << (bit & 7).astype(np.uint8))
         words = flags.view(np.int64)
         at = np.flatnonzero(words)
@@ -133,13 +153,13 @@ def _filter_words(bits: int):
     return run
 
 
-def _shared_filter(anchors: DataFrame, bits: int):
-    """Broadcast a bitmap of ``bits`` bits that holds every anchor of two or more documents. Smallest and
-    largest ids are combined map-side, so a frequent anchor is one row a task."""
-    several = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
-    words = several.mapInArrow(_filter_words(bits), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
-    flags = np.zeros(bits // 64, np.int64)
-    held = words.toArrow()  # one row a word of the bitmap at most
+def _shared_filter(anchors: DataFrame, bits: int, often: int):
+    """Broadcast two bitmaps of ``bits`` bits: of anchors of two or more documents, and of the common ones.
+    Smallest and largest ids are combined map-side, so a frequent anchor is one row a task."""
+    several = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b").select("anchor", "n")
+    words = several.mapInArrow(_filter_words(bits, often), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    flags = np.zeros(2 * bits // 64, np.int64)
+    held = words.toArrow()  # one row a word of the bitmaps at most
     flags[held.column("at").to_numpy()] = held.column("word").to_numpy()
     return anchors.sparkSession.sparkContext.broadcast(flags.tobytes())
 
@@ -159,13 +179,16 @@ def _matcher(limit: int):
     names = ["doc_id", "text_key", "first", "last", "window"]
 
     def flat(batch: pa.RecordBatch) -> list[np.ndarray]:
-        windows = batch.column("windows")
-        sizes = np.diff(windows.offsets.to_numpy())
-        values = windows.flatten().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(batch)), sizes)
-        nth = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         anchor, doc, key, begin = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "doc_id", "text_key", "begin"))
-        return [anchor[row], doc[row], key[row], begin[row] + nth, values]
+        (windows, sizes), (more, extra) = ((batch.column(c).flatten().to_numpy(zero_copy_only=False), np.diff(batch.column(c).offsets.to_numpy())) for c in ("windows", "more"))
+        row = np.repeat(np.arange(len(batch)), sizes)
+        first = np.cumsum(sizes) - sizes
+        nth = np.arange(len(windows)) - np.repeat(first, sizes)
+        again = np.repeat(np.arange(len(batch)), extra)
+        out = [anchor, doc, key, np.concatenate((begin[row] + nth, more)), np.concatenate((windows, windows[first[again]]))]
+        row = np.concatenate((row, again))
+        order = np.argsort(row, kind="stable") if len(again) else slice(None)
+        return [x[row][order] for x in out[:3]] + [x[order] for x in out[3:]]
 
     def repeats(rows: list[np.ndarray]) -> pa.RecordBatch:
         anchor, doc, key, begin, window = rows
@@ -209,12 +232,12 @@ def _matcher(limit: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = FILTER_BITS, limit: int = GROUP_LIMIT) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = FILTER_BITS, limit: int = GROUP_LIMIT, often: int = COMMON) -> DataFrame:
     """(doc_id, text_key, spans): for each document with repeats, runs (first, last) of first words of the
     windows whose words also start a window of a document with a smaller id."""
     named = docs.filter("doc_id is not null")
     anchors = named.select("doc_id", "text").mapInArrow(_anchor_batches(window, anchor), "anchor long, doc_id long")
-    shared = _shared_filter(anchors, bits)
+    shared = _shared_filter(anchors, bits, often)
     extended = named.select("doc_id", common.text_key().alias("text_key"), "text").mapInArrow(_extension_batches(shared, bits, window, anchor), _EXTENDED)
     sorted_by = extended.repartition("anchor").sortWithinPartitions("anchor")
     found = cut(sorted_by.mapInArrow(_matcher(limit), "doc_id long, text_key long, first long, last long, window long"))
