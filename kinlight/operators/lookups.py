@@ -96,6 +96,11 @@ def change_detection(snapshot: DataFrame, index: DataFrame) -> DataFrame:
     return joined.select("path", "photo_id", "length", "modified", outcome.alias("outcome"))
 
 
+def latest_runs(runs: DataFrame, n: int = 20) -> DataFrame:
+    """The latest runs, newest first."""
+    return runs.orderBy(F.desc("started_utc"), F.desc("id")).limit(n)
+
+
 def with_default(left: DataFrame, values: DataFrame, key: str, column: str, default: float = 0.0) -> DataFrame:
     """Add a value by key, or a default where it is missing."""
     return left.join(values.select(key, column), key, "left").withColumn(column, F.coalesce(column, F.lit(default)))

@@ -39,6 +39,13 @@ def header_totals(clusters: DataFrame, shown: int = SINGLE_TILES) -> DataFrame:
     return clusters.agg(F.sum(unnamed.cast("long")).alias("unnamed"), single.alias("single"), F.greatest(F.lit(0), single - shown).alias("hidden"), F.sum(F.when(unnamed, F.col("size")).otherwise(0)).alias("unnamed_faces"))
 
 
+def tiles(clusters: DataFrame, shown: int = SINGLE_TILES) -> DataFrame:
+    """Unnamed groups to show, larger ones first: all of two or more, and the first ``shown`` single ones."""
+    unnamed = clusters.filter("person_id is null")
+    single = unnamed.filter("size = 1").orderBy("cluster_id").limit(shown)
+    return unnamed.filter("size > 1").unionByName(single).orderBy(F.desc("size"), "cluster_id")
+
+
 def dismissed(total: Column, named: Column, unnamed: Column) -> Column:
     return F.greatest(F.lit(0), total - named - unnamed)
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from kinlight.functions.text import supported
 from kinlight.plans.lineage import cut
@@ -66,6 +67,27 @@ def bursts(events: DataFrame, gap: str = "2 minutes", late: str | None = None) -
     return found.select("user_id", "first_ts", "last_ts", "n")
 
 
+def on_progress(spark: SparkSession, tell: Callable[[str, int], None]) -> StreamingQueryListener:
+    """Call ``tell(query name, rows)`` after every batch, so that screens know when to refresh."""
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event) -> None:
+            pass
+
+        def onQueryProgress(self, event) -> None:
+            tell(event.progress.name, event.progress.numInputRows)
+
+        def onQueryIdle(self, event) -> None:
+            pass
+
+        def onQueryTerminated(self, event) -> None:
+            pass
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    return listener
+
+
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
     """Counters of a run: rows by outcome."""
     return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
