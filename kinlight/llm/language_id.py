@@ -12,7 +12,9 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,8 @@ from kinlight.llm import common
 #: Runs of letters; a word longer than PART goes in parts of that many letters.
 LETTERS = re.compile(r"[^\W\d_]+")
 PART = 32
+#: What the vocabulary puts before a word.
+MARK = "\u2581"
 #: Added to each piece's count in each language, and the probability of a letter outside the vocabulary.
 SMOOTHING = 0.05
 UNKNOWN = 1e-7
@@ -34,7 +38,7 @@ FLUSH_WORDS = 1 << 17
 def words_of(text: str) -> list[str]:
     """The lower-cased letter runs of a text, long ones in parts."""
     found = LETTERS.findall(text.lower())
-    if any(len(w) > PART for w in found):
+    if max(map(len, found), default=0) > PART:
         found = [w[i : i + PART] for w in found for i in range(0, len(w), PART)]
     return found
 
@@ -116,50 +120,60 @@ class WordScores:
         self.pieces = {}
         for i in range(n):
             piece = vocabulary.id_to_piece(i)
-            if not (vocabulary.is_control(i) or vocabulary.is_unknown(i) or vocabulary.is_byte(i)):
+            if not (vocabulary.is_control(i) or vocabulary.is_unknown(i) or vocabulary.is_byte(i)) and MARK not in piece[1:]:
                 self.pieces[piece] = i
-        self.longest = max(map(len, self.pieces))
-        # two more rows: a string that is no piece, and a letter that is none
-        self.table = np.vstack([model.probability, np.zeros(len(model.languages)), np.full(len(model.languages), UNKNOWN)])
-        self.none = n
+        self.matcher = ahocorasick.Automaton()
+        for piece, i in self.pieces.items():
+            self.matcher.add_word(piece, i << 8 | len(piece))
+        self.matcher.make_automaton()
+        self.table = np.vstack([model.probability, np.full(len(model.languages), UNKNOWN)])
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.languages)))
 
     def _forward(self, words: list[str]) -> np.ndarray:
-        """For words of one length: the sum over all segmentations, position by position."""
-        length = len(words[0]) + 1
-        marked = ["▁" + w for w in words]
-        reached = np.zeros((length + 1, len(words), self.table.shape[1]))
-        reached[0] = 1
-        get, none, unknown = self.pieces.get, self.none, self.none + 1
-        for end in range(1, length + 1):
-            for start in range(max(0, end - self.longest), end):
-                other = unknown if end - start == 1 else none
-                ids = [get(w[start:end], other) for w in marked]
-                reached[end] += reached[start] * self.table[ids]
-        return np.log(reached[length])
+        """The sum over all segmentations of each word. The matcher finds every piece at every place of all
+        words in one text; pieces are then added up by the place in the word where they end."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        stops = np.cumsum(sizes)
+        begins = stops - sizes
+        text = MARK + MARK.join(words)
+        found = np.fromiter(chain.from_iterable(self.matcher.iter(text)), np.int64).reshape(-1, 2)
+        end, piece, length = found[:, 0] + 1, found[:, 1] >> 8, found[:, 1] & 255
+        alone = np.ones(len(text) + 1, bool)
+        alone[0], alone[end[length == 1]] = False, False
+        other = np.flatnonzero(alone)  # letters that are no piece
+        end, length = np.concatenate((end, other)), np.concatenate((length, np.ones_like(other)))
+        piece = np.concatenate((piece, np.full_like(other, len(self.table) - 1)))
+        place = end - np.repeat(begins, sizes)[end - 1]
+        order = np.lexsort((end, place))
+        end, start, piece = end[order], (end - length)[order], piece[order]
+        reached = np.zeros((len(text) + 1, self.table.shape[1]))
+        fresh = np.zeros(len(text) + 1, bool)
+        fresh[begins] = True
+        bounds = np.append(0, np.cumsum(np.bincount(place, minlength=1)))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if a < b:
+                # a word's first place is the last place of the word before, whose sum is another
+                before = np.where(fresh[start[a:b], None], 1.0, reached[start[a:b]])
+                new = np.flatnonzero(np.concatenate(([True], end[a + 1 : b] != end[a : b - 1])))
+                reached[end[a:b][new]] = np.add.reduceat(before * self.table[piece[a:b]], new, axis=0)
+        return np.log(reached[stops])
 
     def learn(self, words: set[str]) -> None:
-        new = sorted(words - self.rows.keys(), key=lambda w: (len(w), w))
+        new = sorted(words.difference(self.rows))
         if len(self.rows) + len(new) > CACHE_LIMIT:
             self.rows, self.scores = {}, self.scores[:0]
-            new = sorted(words, key=lambda w: (len(w), w))
-        parts, i = [self.scores], 0
-        while i < len(new):
-            j = i
-            while j < len(new) and len(new[j]) == len(new[i]) and j - i < 4096:
-                j += 1
-            parts.append(self._forward(new[i:j]))
-            i = j
-        for w in new:
-            self.rows[w] = len(self.rows)
-        self.scores = np.concatenate(parts)
+            new = sorted(words)
+        parts = [self._forward(new[i : i + 8192]) for i in range(0, len(new), 8192)]
+        first = len(self.rows)
+        self.rows.update(zip(new, range(first, first + len(new)), strict=True))
+        self.scores = np.concatenate([self.scores, *parts])
 
     def of_texts(self, texts: list[list[str]]) -> np.ndarray:
         """Summed log-likelihoods (texts x languages)."""
         self.learn(set().union(*texts))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        rows = np.fromiter((self.rows[w] for t in texts for w in t), np.int64, int(sizes.sum()))
+        rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
         out = np.zeros((len(texts), self.scores.shape[1]))
         some = np.flatnonzero(sizes)
         if len(some):
