@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kinlight.operators.graph import connected_components
 from kinlight.operators.vectors import NEIGHBOURS, SIMILARITY, knn, medoid, nearest_centroid, unit_mean
 from kinlight.plans.lineage import cut
+from kinlight.plans.numbering import numbered
 
 MAX_PASSES = 30
 SEED = 20260827
@@ -97,9 +98,8 @@ def chinese_whispers(nodes: DataFrame, edges: DataFrame, must: DataFrame | None
 def compact_labels(labels: DataFrame) -> DataFrame:
     """Number groups from 0 in the order of their first node: (node, label, group_no). Groups are numbered
     by rank of their first nodes, one row a group."""
-    firsts = labels.groupBy("label").agg(F.min("node").alias("first"))
-    numbered = firsts.withColumn("group_no", (F.row_number().over(Window.orderBy("first")) - 1).cast("long"))
-    return labels.join(numbered.select("label", "group_no"), "label")
+    firsts, _ = numbered(labels.groupBy("label").agg(F.min("node").alias("first")), ["first"])
+    return labels.join(firsts.select("label", F.col("row_no").alias("group_no")), "label")
 
 
 def map_constraints(links: DataFrame, faces: DataFrame, kind: int) -> DataFrame:

@@ -10,6 +10,7 @@ from kinlight.functions.text import fold_case
 from kinlight.operators.graph import connected_components
 from kinlight.operators.vectors import similar_pairs, unit_mean
 from kinlight.plans.lineage import cut
+from kinlight.plans.numbering import numbered
 
 FACE_SIMILARITY, PERSON_SIMILARITY = 0.92, 0.5
 
@@ -32,8 +33,9 @@ def rank_members(members: DataFrame, *order: Column | str) -> DataFrame:
 
 
 def rank_sets(sets: DataFrame, *order: Column | str) -> DataFrame:
-    """``set_rank`` from 1 over one row a set. Only sets are ranked in one partition, not their members."""
-    return sets.withColumn("set_rank", F.row_number().over(Window.orderBy(*order, "set_id")))
+    """``set_rank`` from 1 over one row a set."""
+    ranked, _ = numbered(sets, [*order, "set_id"])
+    return ranked.withColumn("set_rank", F.col("row_no") + 1).drop("row_no")
 
 
 def duplicate_faces(vectors: DataFrame, details: DataFrame, least: float = FACE_SIMILARITY) -> DataFrame:

@@ -31,11 +31,11 @@ def unique_destinations(plan: DataFrame, order: list[Column | str], existing: Da
     numbered = F.concat(F.col("folder"), F.lit("/"), stem("name"), F.lit(" ("), F.col("_k").cast("string"), F.lit(")"), ext)
     wanted = F.when(F.col("_k") == 1, base).otherwise(numbered)
     same = Window.partitionBy(fold_case(base))
-    rows = cut(plan.withColumn("_order", F.row_number().over(Window.orderBy(*order))).withColumn("_k", F.row_number().over(same.orderBy("_order"))))
+    rows = cut(plan.withColumn("_k", F.row_number().over(same.orderBy(*order))))
     taken = None if existing is None else existing.select(fold_case("path").alias("_path")).distinct()
     for _ in range(rounds):
         tried = rows.withColumn("dst_path", wanted).withColumn("_path", fold_case("dst_path"))
-        tried = tried.withColumn("_nth", F.row_number().over(Window.partitionBy("_path").orderBy("_k", "_order")))
+        tried = tried.withColumn("_nth", F.row_number().over(Window.partitionBy("_path").orderBy("_k", *order)))
         if taken is not None:
             tried = tried.join(taken.withColumn("_there", F.lit(True)), "_path", "left")
         else:
@@ -43,7 +43,7 @@ def unique_destinations(plan: DataFrame, order: list[Column | str], existing: Da
         bad = (F.col("_nth") > 1) | F.col("_there").isNotNull()
         tried = cut(tried.withColumn("_bad", bad))
         if tried.filter("_bad").isEmpty():
-            return tried.drop("_path", "_nth", "_there", "_bad", "_k", "_order")
+            return tried.drop("_path", "_nth", "_there", "_bad", "_k")
         rows = tried.withColumn("_k", F.col("_k") + F.col("_bad").cast("int")).drop("dst_path", "_path", "_nth", "_there", "_bad")
     raise RuntimeError("destinations did not become unique")
 

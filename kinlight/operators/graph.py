@@ -33,6 +33,14 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+#: Edges in a checkpointed partition, so that the late rounds of few edges write few files.
+EDGES_A_FILE = 250_000
+
+
+def _settled(edges: DataFrame, at_most: int) -> DataFrame:
+    return cut(edges.coalesce(at_most // EDGES_A_FILE + 1))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Components of the undirected graph with edges (``a``, ``b``): one row (node, component) for
     each node on an edge, the component named by its smallest node.
@@ -48,7 +56,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     current = pairs.filter("u <> v")
     last = _digest(current)
     for _ in range(max_rounds):
-        current = cut(_small_star(_large_star(current).distinct()).distinct())
+        current = _settled(_small_star(_large_star(current).distinct()).distinct(), last[0])
         now = _digest(current)
         if now == last:
             break

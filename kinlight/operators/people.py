@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinlight.functions.text import fold_case, natural_key, valid_name
 from kinlight.functions.vectors import dot
 from kinlight.operators.vectors import unit_mean
+from kinlight.plans.numbering import numbered
 
 SINGLE_TILES = 60
 
@@ -149,8 +150,8 @@ def auto_names(clusters: DataFrame, taken: DataFrame, prefix: str = "Person ") -
 
     The i-th cluster gets the i-th free number, which is i plus the taken numbers at or below it: taken
     numbers are few, so each cluster looks its number up among them."""
-    order = Window.orderBy(F.desc("size"), "cluster_id")
-    places = clusters.select("cluster_id", F.row_number().over(order).alias("i"))
+    ranked, _ = numbered(clusters.select("cluster_id", "size"), [F.desc("size"), F.asc("cluster_id")])
+    places = ranked.select("cluster_id", (F.col("row_no") + 1).alias("i"))
     number = F.expr(f"try_cast(substring(display_name, {len(prefix) + 1}) as bigint)")
     used = taken.filter(fold_case("display_name").startswith(fold_case(F.lit(prefix)))).select(number.alias("t")).filter("t > 0").distinct()
     # the j-th taken number t (from 0) leaves t - 1 - j free numbers below it
@@ -184,6 +185,10 @@ def photos_of(faces: DataFrame, photos: DataFrame, person_id: int, detector: str
 
 
 def neighbours_in_list(photos: DataFrame, *order: Column | str) -> DataFrame:
-    """Position, count, previous and next photo of each photo in an order."""
-    w = Window.orderBy(*order)
-    return photos.withColumns({"position": F.row_number().over(w), "previous_id": F.lag("photo_id").over(w), "next_id": F.lead("photo_id").over(w), "total": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    """Position, count, previous and next photo of each photo in an order. Neighbours are joined by position,
+    so no task needs all photos."""
+    placed, total = numbered(photos, list(order))
+    placed = placed.withColumn("position", F.col("row_no") + 1).drop("row_no")
+    before = placed.select((F.col("position") + 1).alias("position"), F.col("photo_id").alias("previous_id"))
+    after = placed.select((F.col("position") - 1).alias("position"), F.col("photo_id").alias("next_id"))
+    return placed.join(before, "position", "left").join(after, "position", "left").withColumn("total", F.lit(total).cast("long"))
