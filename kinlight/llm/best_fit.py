@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlight.llm import common
-from kinlight.llm.sharding import numbered
 from kinlight.llm.token_counts import load_tokenizer
 from kinlight.plans.lineage import cut
+from kinlight.plans.numbering import numbered
 
 CAPACITY = 4096
 END_ID = 1
@@ -174,7 +174,7 @@ _PIECES = "doc_id long, text_key long, piece int, start long, length long, ids_c
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Token pieces of each row of ``docs(doc_id, text)``: its ids and ``end_id``, cut at ``capacity``."""
     common.small_text_batches(docs.sparkSession)
-    return docs.select("doc_id", common.text_key().alias("text_key"), "text").mapInArrow(_piece_batches(tokenizer_path, capacity, end_id), _PIECES)
+    return docs.select("doc_id", common.text_key().alias("text_key"), "text").mapInArrow(common.trimmed(_piece_batches(tokenizer_path, capacity, end_id)), _PIECES)
 
 
 def _placing(plan: np.ndarray):

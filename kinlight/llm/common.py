@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +15,8 @@ from pyspark.sql import functions as F
 
 from kinlight.plans.lineage import broadcast_if_small, cut
 
-#: Rows of text handed to Python at once; keeps a worker's memory near 2,000 average documents.
-TEXT_BATCH_ROWS = 2_000
+#: Bytes of rows handed to Python at once (one row at least).
+TEXT_BATCH_BYTES = 8 << 20
 #: Bytes of text worked on at once inside a batch; numpy temporaries are a small multiple of it.
 SLICE_BYTES = 1 << 20
 
@@ -27,10 +30,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_text_batches(spark: SparkSession) -> None:
-    """Lower the rows per Arrow batch from Spark's default, as rows here hold whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > TEXT_BATCH_ROWS:
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+    """Lower the bytes per Arrow batch from Spark's default, as rows here hold whole texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"\D", "", spark.conf.get(key)))
+    if now > TEXT_BATCH_BYTES or now == 0:
+        spark.conf.set(key, f"{TEXT_BATCH_BYTES}b")
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def trimmed(function: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A batch function that gives its memory back to the system when its partition is done, as Spark keeps
+    the worker for other tasks."""
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from function(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    """Return free memory to the system where the C library can."""
+    gc.collect()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

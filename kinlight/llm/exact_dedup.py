@@ -130,13 +130,13 @@ def fingerprints(docs: DataFrame, huge_bytes: int = HUGE_BYTES, segment_chars: i
     segments that are dealt out and hashed apart, and combined."""
     common.small_text_batches(docs.sparkSession)
     length = F.coalesce(F.octet_length("text"), F.lit(0))
-    usual = docs.filter(length <= huge_bytes).mapInArrow(_fingerprint_batches, FINGERPRINTS)
+    usual = docs.filter(length <= huge_bytes).mapInArrow(common.trimmed(_fingerprint_batches), FINGERPRINTS)
     huge = docs.filter(length > huge_bytes).select("doc_id", F.regexp_replace("text", WHITE_RUN, " ").alias("text"))
     huge = huge.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
     pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.char_length("text") - 1) / segment_chars))
     segments = huge.select("uid", "doc_id", "text_sha256", "text", F.explode(pieces).alias("k"))
     segments = segments.select("uid", "doc_id", "text_sha256", "k", F.col("text").substr((F.col("k") * segment_chars + 1).cast("int"), F.lit(segment_chars)).alias("segment"))
-    hashed = segments.repartition("uid", "k").mapInArrow(_segment_batches, "uid long, doc_id long, text_sha256 string, k long, n long, h1 long, h2 long")
+    hashed = segments.repartition("uid", "k").mapInArrow(common.trimmed(_segment_batches), "uid long, doc_id long, text_sha256 string, k long, n long, h1 long, h2 long")
     parts = hashed.groupBy("uid", "doc_id", "text_sha256").agg(F.sort_array(F.collect_list(F.struct("k", "n", "h1", "h2"))).alias("parts"))
     return usual.unionByName(parts.mapInArrow(_combined_batches, FINGERPRINTS))
 

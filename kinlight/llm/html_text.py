@@ -297,5 +297,5 @@ def extract(pages: DataFrame) -> DataFrame:
     common.small_text_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", "html")
     kind = pages.schema["page_id"].dataType.simpleString()
-    texts = rows.mapInArrow(_extract_batches, f"page_id {kind}, url string, text string")
+    texts = rows.mapInArrow(common.trimmed(_extract_batches), f"page_id {kind}, url string, text string")
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -96,7 +96,7 @@ def train(docs: DataFrame, vocabulary_path: str, fold: int = 1) -> PieceModel:
     3) isn't ``fold``. Each task sums its own counts; pieces times languages come to the driver."""
     common.small_text_batches(docs.sparkSession)
     known = docs.filter("lang is not null and text is not null").filter(~is_held_out(fold)).select("lang", "text")
-    counted = known.mapInArrow(_piece_batches(vocabulary_path), "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+    counted = known.mapInArrow(common.trimmed(_piece_batches(vocabulary_path)), "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
     lang, piece, n = counted.column("lang").to_pylist(), counted.column("piece").to_numpy(), counted.column("n").to_numpy()
     languages = sorted(set(lang))
     of = {x: i for i, x in enumerate(languages)}
@@ -214,5 +214,5 @@ def identify(docs: DataFrame, vocabulary_path: str, model: PieceModel, fold: int
     """
     common.small_text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(_scorer(vocabulary_path, model), "doc_id long, lang_pred string, score double")
+    found = rows.mapInArrow(common.trimmed(_scorer(vocabulary_path, model)), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", is_held_out(fold).alias("held_out"), "lang_pred", "score")

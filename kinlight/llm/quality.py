@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     usable = labels.filter("doc_id is not null and quality is not null").filter(fold() != 2).groupBy("doc_id").agg(F.min("quality").alias("label"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("label").cast("double"), "text")
-    rows = labelled.mapInArrow(_feature_batches, "label double, x array<double>").limit(2 * sample_rows).collect()
+    rows = labelled.mapInArrow(common.trimmed(_feature_batches), "label double, x array<double>").limit(2 * sample_rows).collect()
     rows.sort(key=lambda r: (r.label, r.x))
     x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r.label for r in rows]))
@@ -204,7 +205,7 @@ def score(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> Data
     """
     common.small_text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key().alias("text_key"), "text")
-    scored = rows.mapInArrow(_scorer(forest), "doc_id long, text_key long, score double")
+    scored = rows.mapInArrow(common.trimmed(_scorer(forest)), "doc_id long, text_key long, score double")
     return scored.select("doc_id", "text_key", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -213,11 +214,11 @@ def drop_low_quality(docs: DataFrame, forest: Forest, threshold: float = THRESHO
     common.small_text_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
-    def scores(texts):
-        data, offsets = common.buffers(pa.array(texts, pa.string(), from_pandas=True))
-        out = [forest.scores(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in common.runs_of_documents(offsets)]
-        import pandas as pd
-
-        return pd.Series(np.concatenate([*out, np.zeros(0)]))
+    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            data, offsets = common.buffers(pa.array(texts, pa.string(), from_pandas=True))
+            out = [forest.scores(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in common.runs_of_documents(offsets)]
+            yield pd.Series(np.concatenate([*out, np.zeros(0)]))
+        common.trim()
 
     return docs.withColumn("_kl_score", scores("text")).filter(F.col("_kl_score") >= threshold).drop("_kl_score")

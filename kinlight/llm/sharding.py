@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from kinlight.plans.lineage import cut
+from kinlight.plans.numbering import numbered
 
 ROUNDS = 6
 SHARDS = 8
@@ -72,22 +72,6 @@ def row_at(shard: int, slot: int, n: int, shards: int = SHARDS, seed: int = SEED
     return int(permuted(np.array([slot * shards + shard]), n, seed, inverse=True)[0])
 
 
-def numbered(rows: DataFrame, order: list) -> tuple[DataFrame, int]:
-    """``rows`` with ``row_no`` from 0 without gaps in the order given, and their number. The sorted
-    rows are checkpointed, so that numbers hold when a task runs again; one count a partition comes to
-    the driver."""
-    ordered = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order))
-    local = ordered.withColumn("_at", F.monotonically_increasing_id())
-    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = local.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
-    sizes = np.zeros(max([0, *(r.part + 1 for r in counts)]), np.int64)
-    for r in counts:
-        sizes[r.part] = r.n
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    before = F.get(F.lit([int(s) for s in starts]).cast("array<bigint>"), part.cast("int"))
-    return local.withColumn("row_no", before + within).drop("_at"), int(starts[-1])
-
-
 def _placing(n: int, shards: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,8 +100,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_co
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
-    """Write ``docs`` as parquet, one folder a shard, each in slot order. Rows that share an id go by
-    their text as well; every row is written once."""
+    """Write ``docs`` as parquet, one folder ``shard=n`` a shard, whose files hold ranges of slots in order. Rows
+    that share an id go by their text as well; every row is written once. If ``docs`` has a column of that
+    name, the folders' name gets an underscore."""
     places = assign_shards(docs, shards, seed)
     same = ["doc_id", "text_crc32", "size"]
     nth = F.row_number().over(_window(same)).alias("_kl_nth")
@@ -126,11 +111,12 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     places = places.select(*[F.col(c).alias(f"_p_{c}") for c in same], F.col("shard").alias("_kl_shard"), F.col("slot").alias("_kl_slot"), nth)
     on = F.col("_kl_id").eqNullSafe(F.col("_p_doc_id")) & (F.col("_kl_crc") == F.col("_p_text_crc32")) & (F.col("_kl_size") == F.col("_p_size")) & (keyed["_kl_nth"] == places["_kl_nth"])
     joined = keyed.join(places, on).select(*docs.columns, "_kl_shard", "_kl_slot")
-    ordered = joined.repartition("_kl_shard").sortWithinPartitions("_kl_shard", "_kl_slot")
-    ordered.drop("_kl_slot").withColumnRenamed("_kl_shard", "shard").write.partitionBy("shard").parquet(path)
-
+    ordered = joined.repartitionByRange("_kl_shard", "_kl_slot").sortWithinPartitions("_kl_shard", "_kl_slot")
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    ordered.drop("_kl_slot").withColumnRenamed("_kl_shard", name).write.partitionBy(name).parquet(path)
 
-def _window(columns: list[str]):
-    from pyspark.sql import Window
 
+def _window(columns: list[str]) -> WindowSpec:
     return Window.partitionBy(*columns).orderBy(*columns)

@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, fp) of each row of ``docs(doc_id, text)``: fp holds the SimHash's 64 bits as
     a signed long. Null text and text without words have fingerprint zero."""
     common.small_text_batches(docs.sparkSession)
-    return docs.select("doc_id", common.text_key().alias("text_key"), "text").mapInArrow(_fingerprint_batches, "doc_id long, text_key long, fp long")
+    return docs.select("doc_id", common.text_key().alias("text_key"), "text").mapInArrow(common.trimmed(_fingerprint_batches), "doc_id long, text_key long, fp long")
 
 
 def _signed(word: int) -> int:
@@ -187,7 +187,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, blocks: int = 2, limit: int
     """Links (a, b) between distinct fingerprints of ``fps(fp)`` at most ``radius`` bits apart, enough of
     them to connect all that such links connect."""
     met = _variants(fps, radius, blocks).repartition("variant").sortWithinPartitions("variant", "fp")
-    found = cut(met.mapInArrow(_linker(radius, limit), "a long, b long"))
+    found = cut(met.mapInArrow(common.trimmed(_linker(radius, limit)), "a long, b long"))
     linked = found.filter("b is not null")
     large = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
     if blocks > 1 and not large.isEmpty():

@@ -157,7 +157,7 @@ def _shared_filter(anchors: DataFrame, bits: int, often: int):
     """Broadcast two bitmaps of ``bits`` bits: of anchors of two or more documents, and of the common ones.
     Smallest and largest ids are combined map-side, so a frequent anchor is one row a task."""
     several = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b").select("anchor", "n")
-    words = several.mapInArrow(_filter_words(bits, often), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    words = several.mapInArrow(common.trimmed(_filter_words(bits, often)), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
     flags = np.zeros(2 * bits // 64, np.int64)
     held = words.toArrow()  # one row a word of the bitmaps at most
     flags[held.column("at").to_numpy()] = held.column("word").to_numpy()
@@ -236,11 +236,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """(doc_id, text_key, spans): for each document with repeats, runs (first, last) of first words of the
     windows whose words also start a window of a document with a smaller id."""
     named = docs.filter("doc_id is not null")
-    anchors = named.select("doc_id", "text").mapInArrow(_anchor_batches(window, anchor), "anchor long, doc_id long")
+    anchors = named.select("doc_id", "text").mapInArrow(common.trimmed(_anchor_batches(window, anchor)), "anchor long, doc_id long")
     shared = _shared_filter(anchors, bits, often)
-    extended = named.select("doc_id", common.text_key().alias("text_key"), "text").mapInArrow(_extension_batches(shared, bits, window, anchor), _EXTENDED)
+    extended = named.select("doc_id", common.text_key().alias("text_key"), "text").mapInArrow(common.trimmed(_extension_batches(shared, bits, window, anchor)), _EXTENDED)
     sorted_by = extended.repartition("anchor").sortWithinPartitions("anchor")
-    found = cut(sorted_by.mapInArrow(_matcher(limit), "doc_id long, text_key long, first long, last long, window long"))
+    found = cut(sorted_by.mapInArrow(common.trimmed(_matcher(limit)), "doc_id long, text_key long, first long, last long, window long"))
     spans = found.filter("window is null").drop("window")
     large = found.filter("window is not null")
     if not large.isEmpty():
@@ -293,7 +293,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     spans = cut(repeated_spans(docs, window, anchor))
     keyed = docs.withColumn("text_key", common.text_key())
     joined = keyed.join(broadcast_if_small(spans), ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "spans")
-    return joined.mapInArrow(_cutter(window), "doc_id long, text_key long, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(common.trimmed(_cutter(window)), "doc_id long, text_key long, n_words long, n_removed long, kept_text string")
 
 
 def digest(texts: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_pieces(docs: DataFrame, most: int = FREQUENT) -> list[str]:
     """At most ``most`` frequent pieces over all texts. They only make counting faster."""
-    found = docs.select("text").mapInArrow(_summaries, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(common.trimmed(_summaries), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return [r.piece for r in found.orderBy(F.desc("n"), "piece").limit(most).collect()]
 
 
@@ -124,5 +124,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = OVER_LIMIT,
     count = _counter(tokenizer_path, [p for p, _ in usable], bytes(n for _, n in usable))
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(common.trimmed(count), f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
