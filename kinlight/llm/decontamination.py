@@ -19,8 +19,9 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 #: What separates words: all ASCII but letters and digits.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Sketch rows up to which the sketches are broadcast.
+#: Sketch rows up to which the sketches are broadcast, and items with their shingles.
 BROADCAST_SKETCHES = 500_000
+BROADCAST_ITEMS = 10_000
 
 
 def words_of(text: Column) -> Column:
@@ -81,7 +82,7 @@ def find_contained(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS
     pairs = cut(looked_up.join(broadcast_if_small(sketch, BROADCAST_SKETCHES), "hash").select("doc_id", "item_id").distinct())
     both = named.join(broadcast_if_small(pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))), "doc_id")
     spaced = both.select("doc_id", F.concat(F.lit(" "), F.array_join(words_of(F.col("text")), " "), F.lit(" ")).alias("spaced"), "items")
-    candidates = spaced.select("doc_id", "spaced", F.explode("items").alias("item_id")).join(broadcast_if_small(items), "item_id")
+    candidates = spaced.select("doc_id", "spaced", F.explode("items").alias("item_id")).join(broadcast_if_small(items, BROADCAST_ITEMS), "item_id")
     inside = F.size(F.filter("shingles", lambda s: F.contains(F.col("spaced"), F.concat(F.lit(" "), s, F.lit(" ")))))
     # a document of fewer than k words has one shingle, which must be the item's
     words_in_item = F.size(F.split(F.element_at("shingles", 1), " "))
