@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Words of one generation that a worker remembers the ids of; two generations are kept.
 CACHE_LIMIT = 1 << 18
+#: Texts whose unknown words are encoded together.
+TOGETHER = 32
 #: The words that the tokenizer's pattern keeps of a lower-cased text in printable Latin-1.
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\t-\r {_LETTER}{_NUMBER}]+")
@@ -135,17 +138,13 @@ class WordIds:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def ids(self, text: str) -> bytes:
-        """The ids of a whole text. One with characters outside printable Latin-1 and white space, or with
-        what may be a special string, is left to the library, whose normaliser may change it."""
-        if "<|" in text or UNUSUAL.search(text):
-            return self._encode(text).tobytes()
-        words = WORDS.findall(text.lower())
-        try:
-            return b"".join(map(self.now.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.now.__getitem__, words))
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts. One with characters outside printable Latin-1 and white space, or with what
+        may be a special string, is left to the library, whose normaliser may change it."""
+        words = [None if "<|" in t or UNUSUAL.search(t) else WORDS.findall(t.lower()) for t in texts]
+        self.learn(set().union(*[w for w in words if w]))
+        known = self.now.__getitem__
+        return [self._encode(t).tobytes() if w is None else b"".join(map(known, w)) for t, w in zip(texts, words, strict=True)]
 
 
 def _piece_batches(path: str, capacity: int, end_id: int):
@@ -155,8 +154,10 @@ def _piece_batches(path: str, capacity: int, end_id: int):
         known = WordIds(path)
         for batch in batches:
             rows = []
-            for doc_id, text_key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text")), strict=True):
-                ids = known.ids(text or "") + end
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ids_of = chain.from_iterable(known.ids(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER))
+            for doc_id, text_key, ids in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), ids_of, strict=True):
+                ids += end
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
