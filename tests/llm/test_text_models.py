@@ -84,7 +84,7 @@ def test_word_ids_equal_the_library():
     known, tokenizer, rng = best_fit.WordIds(path), token_counts.load_tokenizer(path), random.Random(3)
     for _ in range(1500):
         text = "".join(rng.choice([chr(rng.randrange(256)), rng.choice("abc 'sdtlm've\n\t,.!ÀÉßüµª²¼×÷ "), rng.choice(["<|endoftext|>", "中", "İ", "’"]) if rng.random() < 0.05 else "x"]) for _ in range(rng.randrange(40)))
-        assert np.frombuffer(known.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(known.ids([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_forgetting_changes_nothing(monkeypatch):
@@ -93,7 +93,7 @@ def test_forgetting_changes_nothing(monkeypatch):
     known, tokenizer = best_fit.WordIds(path), token_counts.load_tokenizer(path)
     for i in range(60):
         text = " ".join(f"w{(i * k) % 17}" for k in range(9))
-        assert np.frombuffer(known.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(known.ids([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     assert len(known.now) < 40
 
 
