@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,13 +78,44 @@ def _chunks(gradient: Column, brightness: Column, chunks: int) -> Column:
     return F.array(*[piece(a, b, i) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
+#: Chunks narrower than this many bits meet too often; then blocks of hashes are compared as arrays.
+LEAST_CHUNK_BITS = 8
+BLOCK = 4096
+
+
+def _pairs_by_blocks(rows: DataFrame, bits: int, block: int) -> DataFrame:
+    """Compare all hashes in pairs of blocks: a task holds two blocks and gives just the pairs within reach."""
+    n_blocks = max(1, -(-rows.count() // block))
+    blocked = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    left = blocked.select(F.col("block").alias("p"), F.explode(F.sequence("block", F.lit(n_blocks - 1))).alias("q"), "id", "gradient", "brightness", F.lit(0).alias("side"))
+    right = blocked.select(F.explode(F.sequence(F.lit(0), "block")).alias("p"), F.col("block").alias("q"), "id", "gradient", "brightness", F.lit(1).alias("side"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        same, out = pdf["p"].iloc[0] == pdf["q"].iloc[0], [pd.DataFrame({"a": [], "b": [], "distance": []}, dtype="int64")]
+        i, j = x["id"].to_numpy(), y["id"].to_numpy()
+        words = [(x[c].to_numpy(), y[c].to_numpy()) for c in ("gradient", "brightness")]
+        for at in range(0, len(i), 512):
+            apart = sum(np.bitwise_count((u[at : at + 512, None] ^ v[None, :]).view(np.uint64)).astype(np.int16) for u, v in words)
+            row, col = np.nonzero(apart <= bits)
+            a, b = i[at : at + 512][row], j[col]
+            keep = a < b if same else a != b
+            out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "distance": apart[row, col][keep].astype(np.int64)}))
+        return pd.concat(out)
+
+    found = left.unionByName(right).groupBy("p", "q").applyInPandas(run, "a long, b long, distance long")
+    return found.select("a", "b", F.col("distance").cast("int").alias("distance"))
+
+
 def hash_pairs(hashes: DataFrame, bits: int = ALIKE_BITS, id_col: str = "photo_id") -> DataFrame:
     """All pairs a < b of 128-bit hashes (gradient, brightness) at most ``bits`` apart: (a, b, distance).
 
     Of ``bits + 1`` chunks of the hash one at least is equal in such a pair (pigeonhole), so pairs meet in an
-    equality join on chunks and are verified. The join is exact for any ``bits`` below 128; the wider the
-    radius, the shorter the chunks and the more candidates. Equal hashes are joined once."""
-    rows = hashes.select(F.col(id_col).alias("id"), "gradient", "brightness").filter("gradient is not null and brightness is not null")
+    equality join on chunks and are verified. The wider the radius, the shorter the chunks and the more
+    candidates: from 16 bits on, blocks of hashes are compared as arrays instead. Both are exact."""
+    rows = hashes.select(F.col(id_col).cast("long").alias("id"), "gradient", "brightness").filter("gradient is not null and brightness is not null")
+    if 128 // (bits + 1) < LEAST_CHUNK_BITS:
+        return _pairs_by_blocks(rows, bits, BLOCK)
     cut_up = rows.select("id", "gradient", "brightness", F.explode(_chunks(F.col("gradient"), F.col("brightness"), bits + 1)).alias("key"))
     left = cut_up.select("key", *[F.col(c).alias(f"l_{c}") for c in ("id", "gradient", "brightness")])
     right = cut_up.select("key", *[F.col(c).alias(f"r_{c}") for c in ("id", "gradient", "brightness")])

@@ -151,6 +151,8 @@ def test_hash_pairs_match_brute_force(spark, bits):
     df = spark.createDataFrame([(i, *w) for i, w in enumerate(signed)], "photo_id long, gradient long, brightness long")
     want = {(i, j): d for i in range(50) for j in range(i + 1, 50) if (d := (words[i][0] ^ words[j][0]).bit_count() + (words[i][1] ^ words[j][1]).bit_count()) <= bits}
     assert {(r.a, r.b): r.distance for r in duplicates.hash_pairs(df, bits).collect()} == want
+    blocks = duplicates._pairs_by_blocks(df.withColumnRenamed("photo_id", "id"), bits, 20)
+    assert {(r.a, r.b): r.distance for r in blocks.collect()} == want
 
 
 def test_moved_and_selected(spark):
