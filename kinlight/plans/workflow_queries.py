@@ -165,7 +165,17 @@ def insert_scan_roots(spark, d):
 @query("""WITH pairs AS (SELECT least(l_partkey, l_suppkey) AS face_a, greatest(l_partkey, l_suppkey) AS face_b, l_linenumber % 2 AS kind, l_shipdate AS t FROM lineitem WHERE l_partkey <> l_suppkey AND l_orderkey % 20 = 0)
     SELECT face_a, face_b, CAST(kind AS INT) AS kind FROM pairs QUALIFY row_number() OVER (PARTITION BY face_a, face_b ORDER BY t DESC, kind DESC) = 1""")
 def link_faces(spark, d):
-    li = tables.raw(spark, d, "lineitem").filter("l_orderkey % 20 = 0")
+    """Links of one order key in twenty; :func:`link_faces_all` is the whole job."""
+    return _linked(tables.raw(spark, d, "lineitem").filter("l_orderkey % 20 = 0"))
+
+
+@query("""WITH pairs AS (SELECT least(l_partkey, l_suppkey) AS face_a, greatest(l_partkey, l_suppkey) AS face_b, l_linenumber % 2 AS kind, l_shipdate AS t FROM lineitem WHERE l_partkey <> l_suppkey)
+    SELECT face_a, face_b, CAST(kind AS INT) AS kind FROM pairs QUALIFY row_number() OVER (PARTITION BY face_a, face_b ORDER BY t DESC, kind DESC) = 1""")
+def link_faces_all(spark, d):
+    return _linked(tables.raw(spark, d, "lineitem"))
+
+
+def _linked(li):
     change = li.select(F.col("l_partkey").alias("face_a"), F.col("l_suppkey").alias("face_b"), (F.col("l_linenumber") % 2).cast("int").alias("kind"), F.col("l_shipdate").alias("created_utc"))
     return sinks.link_faces(change.limit(0), change).select("face_a", "face_b", "kind")
 

@@ -30,3 +30,13 @@ def test_iou_of_the_boxes_of_all_orders(spark, read):
     rows = registered.queries()["box_iou_pairs_all"](spark, DATA).collect()
     assert len(rows) == len(want) and {r.k % 10 for r in rows} == set(range(10))
     assert all(abs(want[r.k, r.n1, r.n2, float(r.p1), float(r.p2)] - r.iou) < 1e-6 for r in rows)
+
+
+def test_links_of_all_orders(spark, read):
+    newest = {}
+    for r in read("lineitem", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"):
+        a, b = sorted((r["l_partkey"], r["l_suppkey"]))
+        if a != b:
+            newest[a, b] = max(newest.get((a, b), (r["l_shipdate"], 0)), (r["l_shipdate"], r["l_linenumber"] % 2))
+    rows = registered.queries()["link_faces_all"](spark, DATA).collect()
+    assert sorted((r.face_a, r.face_b, r.kind) for r in rows) == sorted((*pair, kind) for pair, (_, kind) in newest.items())
