@@ -16,7 +16,7 @@ from kinlight.llm import common, quality
 from kinlight.llm.best_fit import pack
 from kinlight.llm.decontamination import drop_contaminated
 from kinlight.llm.exact_dedup import drop_exact_duplicates
-from kinlight.llm.simhash import drop_near_duplicates
+from kinlight.llm.simhash import ALIKE, drop_near_duplicates
 from kinlight.plans.lineage import checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -37,6 +37,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
 
+def alike_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As :func:`near_stage`, with components over texts of a 5-word Jaccard share of 0.8 or more, too."""
+    return drop_near_duplicates(docs, least=ALIKE)
+
+
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
@@ -55,16 +60,19 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing_stage),
 ]
 
+#: The stages with near copies beyond the fingerprints' radius dropped, too.
+ALIKE_STAGES: list[tuple[str, Stage]] = [(name, alike_stage if stage is near_stage else stage) for name, stage in STAGES]
+
 #: Stages that SQL can't express (the classifier, SimHash, the tokenizer) make the rows.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages: list[tuple[str, Stage]] = STAGES) -> DataFrame:
     """Apply the stages to ``documents``, each written to the shared checkpoint folder and read again."""
     checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for name, stage in stages[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return stages[-1][1](spark, docs, sf_dir)

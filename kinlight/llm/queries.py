@@ -12,7 +12,7 @@ from kinlight.llm.decontamination import find_contained
 from kinlight.llm.exact_dedup import exact_dedup
 from kinlight.llm.html_text import extract
 from kinlight.llm.sharding import assign_shards
-from kinlight.llm.simhash import near_duplicates
+from kinlight.llm.simhash import alike_links, near_duplicates
 from kinlight.llm.substring_dedup import digest, remove_repeats
 from kinlight.llm.token_counts import count_tokens
 
@@ -28,6 +28,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_simhash_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and its component, over links of near fingerprints and of texts whose
+    sets of 5-word shingles have a Jaccard share of 0.8 or more."""
+    docs = common.table(spark, sf_dir, "documents")
+    return near_duplicates(docs, links=alike_links(docs)).select("doc_id", "fingerprint", "component_id")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score; labels of one fold are not learnt from."""
     docs = common.table(spark, sf_dir, "documents")
@@ -75,6 +82,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
+    "op2_simhash_alike": op2_simhash_alike,
     "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,

@@ -6,6 +6,9 @@ emits all variants within half the radius, and equal variants meet. Over whole 6
 at most 4 bits apart, one half is at most 2 bits apart, so 33 variants a half suffice; the pairs that
 collide are verified on all 64 bits. A collision group too large for a task is handed to the
 whole-word form, whose groups can't exceed 2,081 fingerprints.
+
+A few changed words move a fingerprint by more than 4 bits, so texts can also be linked that are
+alike as sets of shingles: MinHash bands propose pairs, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -21,13 +24,19 @@ from pyspark.sql import functions as F
 
 from kinlight.llm import common
 from kinlight.operators.graph import connected_components
-from kinlight.plans.lineage import cut, join_spread
+from kinlight.plans.lineage import broadcast_if_small, cut, join_spread
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
 #: Fingerprints of one collision group that a task links by itself.
 GROUP_LIMIT = 4096
+#: Texts whose sets of shingles of so many words have this Jaccard share are near copies.
+ALIKE_WORDS = 5
+ALIKE = 0.8
+#: Of pairs at a share of 0.8, bands of 4 minima each miss (1 - 0.8 ** 4) ** 16, or 2 in 10,000.
+BANDS, BAND_ROWS = 16, 4
+_MINIMA = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS, BAND_ROWS), np.uint64) | np.uint64(1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -198,7 +207,121 @@ def near_links(fps: DataFrame, radius: int = RADIUS, blocks: int = 2, limit: int
     return linked
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = 2) -> DataFrame:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = ALIKE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-word shingles of all documents, repeats included, and where each document's begin
+    (n + 1 values)."""
+    text, ends_of = common.collapse_white(_LOWER[data], offsets)
+    begin, end, bounds = _shingles(*common.word_bounds(text, ends_of), k)
+    return common.range_hashes(text, begin, end), bounds
+
+
+def band_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents that have shingles, and a key for each of their bands (documents x bands)."""
+    some = np.flatnonzero(np.diff(bounds))
+    keys = np.zeros((len(some), BANDS), np.uint64)
+    for band in range(BANDS if len(some) else 0):
+        key = np.full(len(some), band, np.uint64)
+        for flip, factor in zip(*_MINIMA[:, band], strict=True):
+            key = common.mix(key + np.minimum.reduceat((hashes ^ flip) * factor, bounds[:-1][some]))
+        keys[:, band] = key
+    return some, keys
+
+
+def _band_batches(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = common.buffers(batch.column(1))
+            text_key = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j in common.runs_of_documents(offsets):
+                some, keys = band_keys(*shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(text_key[i:j][some], BANDS)), pa.array(keys.view(np.int64).ravel())], ["text_key", "key"])
+
+    return run
+
+
+def _set_batches(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = common.buffers(batch.column(1))
+            for i, j in common.runs_of_documents(offsets):
+                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                hashes, bounds = shingle_sets(part, at, k)
+                sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                fps = pa.array(fingerprint_texts(part, at).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), fps, pa.array(sets, pa.list_(pa.int64()))], ["keys", "fp", "shingles"])
+
+    return run
+
+
+def _alike(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that connect what a breadth-first search over one group's alike pairs connects."""
+    found = []
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    rest = np.arange(len(sets))
+    while len(rest):
+        frontier, rest = [rest[0]], rest[1:]
+        while frontier and len(rest):
+            x = frontier.pop()
+            others = rest[np.minimum(size[rest], size[x]) >= least * np.maximum(size[rest], size[x])]
+            if not len(others):
+                continue
+            there = np.isin(np.concatenate([sets[i] for i in others]), sets[x])
+            shared = np.add.reduceat(there, np.cumsum(size[others]) - size[others], dtype=np.int64)
+            hits = others[shared >= least * (size[others] + size[x] - shared)]
+            found += [(x, y) for y in hits]
+            frontier.extend(hits)
+            rest = np.setdiff1d(rest, hits, assume_unique=True)
+    return found
+
+
+def _alike_linker(least: float):
+    """Turns batches (key, fp, shingles) sorted by key into links (a, b). Holds one batch and one group."""
+
+    def links(key: np.ndarray, fp: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        pairs = [(fp[i + x], fp[i + y]) for i, j in zip(edge[:-1], edge[1:], strict=True) if j - i > 1 for x, y in _alike(sets[i:j], least)]
+        both = np.array(pairs, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fps, sets = [], [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys.append(batch.column(0).to_numpy(zero_copy_only=False))
+            fps.append(batch.column(1).to_numpy(zero_copy_only=False))
+            sets += [s.values.to_numpy() for s in batch.column(2)]
+            if keys[0][0] == keys[-1][-1]:
+                continue
+            key, fp = np.concatenate(keys), np.concatenate(fps)
+            whole = int(np.flatnonzero(key != key[-1])[-1]) + 1
+            yield links(key[:whole], fp[:whole], sets[:whole])
+            keys, fps, sets = [key[whole:]], [fp[whole:]], sets[whole:]
+        if keys:
+            yield links(np.concatenate(keys), np.concatenate(fps), sets)
+
+    return run
+
+
+def alike_links(docs: DataFrame, k: int = ALIKE_WORDS, least: float = ALIKE) -> DataFrame:
+    """Links (a, b) between the fingerprints of texts of ``docs(text)`` whose sets of ``k``-word shingles have a
+    Jaccard share of ``least`` or more, enough of them to connect all that the proposed pairs connect.
+
+    Texts that share no band aren't compared. Only those that share one have their sets (64-bit hashes) made and
+    shuffled, once a shared band. The texts of one band are one task's.
+    """
+    common.small_text_batches(docs.sparkSession)
+    keyed = docs.select(common.text_key().alias("text_key"), "text")
+    bands = cut(keyed.mapInArrow(common.trimmed(_band_batches(k)), "text_key long, key long"))
+    shared = bands.groupBy("key").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")).filter("first <> last").select("key")
+    proposed = cut(bands.join(broadcast_if_small(cut(shared)), "key").groupBy("text_key").agg(F.collect_set("key").alias("keys")))
+    texts = keyed.join(broadcast_if_small(proposed), "text_key").select("keys", "text")
+    sets = texts.mapInArrow(common.trimmed(_set_batches(k)), "keys array<long>, fp long, shingles array<long>")
+    met = sets.select(F.explode("keys").alias("key"), "fp", "shingles").repartition("key").sortWithinPartitions("key")
+    return cut(met.mapInArrow(common.trimmed(_alike_linker(least)), "a long, b long").filter("a <> b").distinct())
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = 2, links: DataFrame | None = None) -> DataFrame:
     """Components of near-duplicates: one row per row of ``docs`` with doc_id, text_key, fingerprint
     (16 hex digits) and component_id, the smallest id reachable over links.
 
@@ -207,12 +330,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles' XXH64 values. Fingerprints link at ``radius`` or fewer differing bits. Null and empty texts
     have fingerprint zero, which links like any other. Equal fingerprints are one node, so copies cost no
     pairs. Repeated rows come out as often as they came in. A null id never names a component unless
-    all ids in it are null. An empty table gives an empty result; other columns are ignored.
+    all ids in it are null. An empty table gives an empty result; other columns are ignored. ``links(a, b)``
+    between fingerprints count besides.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(fingerprints(docs))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = connected_components(near_links(classes.select("fp"), radius, blocks))
+    near = near_links(classes.select("fp"), radius, blocks)
+    parts = connected_components(near if links is None else near.unionByName(links))
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = join_spread(named, smallest, ["component"], "fp").select("fp", "component_id")
@@ -220,10 +345,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = ALIKE_WORDS, least: float | None = None) -> DataFrame:
     """The rows of ``docs`` with one document of each component, the one with the smallest id (and of
-    rows that share that id, one), with all their columns."""
-    found = cut(near_duplicates(docs))
+    rows that share that id, one), with all their columns. With ``least``, texts also link whose sets
+    of ``words``-word shingles have that Jaccard share or more."""
+    links = None if least is None else alike_links(docs, words, least)
+    found = cut(near_duplicates(docs, radius=radius, links=links))
     keeper = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("keeper"))
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
     first = found.filter(own).join(keeper.withColumnRenamed("component_id", "_id"), F.col("component_id").eqNullSafe(F.col("_id")))
