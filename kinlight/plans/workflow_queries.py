@@ -92,7 +92,17 @@ def export_plan_bytes(spark, d):
 @query(f"""{with_views("photos")}, named AS (SELECT photo_id, path AS src_path, '/out/' || (photo_id % 50) || '.jpg' AS base, row_number() OVER (PARTITION BY photo_id % 50 ORDER BY photo_id) AS k FROM photos WHERE photo_id < 400)
     SELECT photo_id, src_path, CASE WHEN k = 1 THEN base ELSE '/out/' || (photo_id % 50) || ' (' || k || ').jpg' END AS dst_path FROM named""")
 def unique_destinations(spark, d):
-    p = tables.photos(spark, d).filter("photo_id < 400")
+    """Photos of ids below 400; :func:`unique_destinations_all` is the whole job."""
+    return _destinations(tables.photos(spark, d).filter("photo_id < 400"))
+
+
+@query(f"""{with_views("photos")}, named AS (SELECT photo_id, path AS src_path, '/out/' || (photo_id % 50) || '.jpg' AS base, row_number() OVER (PARTITION BY photo_id % 50 ORDER BY photo_id) AS k FROM photos)
+    SELECT photo_id, src_path, CASE WHEN k = 1 THEN base ELSE '/out/' || (photo_id % 50) || ' (' || k || ').jpg' END AS dst_path FROM named""")
+def unique_destinations_all(spark, d):
+    return _destinations(tables.photos(spark, d))
+
+
+def _destinations(p):
     plan = p.select("photo_id", F.col("path").alias("src_path"), F.lit("/out").alias("folder"), F.concat((F.col("photo_id") % 50).cast("string"), F.lit(".jpg")).alias("name"))
     return exports.unique_destinations(plan, ["photo_id"]).select("photo_id", "src_path", "dst_path")
 

@@ -40,3 +40,12 @@ def test_links_of_all_orders(spark, read):
             newest[a, b] = max(newest.get((a, b), (r["l_shipdate"], 0)), (r["l_shipdate"], r["l_linenumber"] % 2))
     rows = registered.queries()["link_faces_all"](spark, DATA).collect()
     assert sorted((r.face_a, r.face_b, r.kind) for r in rows) == sorted((*pair, kind) for pair, (_, kind) in newest.items())
+
+
+def test_destinations_of_all_photos(spark, read):
+    want, seen = {}, defaultdict(int)
+    for i in sorted(r["o_orderkey"] for r in read("orders", "o_orderkey")):
+        seen[i % 50] += 1
+        want[i] = f"/out/{i % 50}.jpg" if seen[i % 50] == 1 else f"/out/{i % 50} ({seen[i % 50]}).jpg"
+    rows = registered.queries()["unique_destinations_all"](spark, DATA).collect()
+    assert len(rows) == len(want) > 400 and {r.photo_id: r.dst_path for r in rows} == want
