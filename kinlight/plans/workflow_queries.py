@@ -110,10 +110,22 @@ def _destinations(p):
 @query(f"""{with_views("photos")}, ranked AS (SELECT photo_id, path, file_size, row_number() OVER (PARTITION BY photo_id // 3 ORDER BY photo_id) AS rank FROM photos WHERE photo_id < 900)
     SELECT photo_id, path AS src_path, '/quarantine/' || regexp_extract(path, '[^/]*$') AS dst_path, file_size AS bytes FROM ranked WHERE rank > 1""")
 def quarantine_plan(spark, d):
-    from kinlight.operators.duplicates import rank_members
+    """Photos of ids below 900; :func:`quarantine_plan_all` is the whole job."""
+    p = tables.photos(spark, d)
+    return _quarantined(p.filter("photo_id < 900"), p)
 
+
+@query(f"""{with_views("photos")}, ranked AS (SELECT photo_id, path, file_size, row_number() OVER (PARTITION BY photo_id // 3 ORDER BY photo_id) AS rank FROM photos)
+    SELECT photo_id, path AS src_path, '/quarantine/' || regexp_extract(path, '[^/]*$') AS dst_path, file_size AS bytes FROM ranked WHERE rank > 1""")
+def quarantine_plan_all(spark, d):
     p = tables.photos(spark, d)
-    members = rank_members(p.filter("photo_id < 900").withColumn("set_id", F.expr("photo_id div 3")), "photo_id").select("photo_id", "rank")
+    return _quarantined(p, p)
+
+
+def _quarantined(of, p):
+    from kinlight.operators.duplicates import rank_members
+
+    members = rank_members(of.withColumn("set_id", F.expr("photo_id div 3")), "photo_id").select("photo_id", "rank")
     return exports.plan_quarantine(members, p, "/quarantine")
 
 

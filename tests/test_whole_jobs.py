@@ -49,3 +49,12 @@ def test_destinations_of_all_photos(spark, read):
         want[i] = f"/out/{i % 50}.jpg" if seen[i % 50] == 1 else f"/out/{i % 50} ({seen[i % 50]}).jpg"
     rows = registered.queries()["unique_destinations_all"](spark, DATA).collect()
     assert len(rows) == len(want) > 400 and {r.photo_id: r.dst_path for r in rows} == want
+
+
+def test_quarantine_of_all_photos(spark, read):
+    sets = defaultdict(list)
+    for i in sorted(r["o_orderkey"] for r in read("orders", "o_orderkey")):
+        sets[i // 3].append(i)
+    want = {i: f"/quarantine/IMG_{i}.jpg" for members in sets.values() for i in members[1:]}
+    rows = registered.queries()["quarantine_plan_all"](spark, DATA).collect()
+    assert len(rows) == len(want) and max(want) > 900 and {r.photo_id: r.dst_path for r in rows} == want
