@@ -58,3 +58,12 @@ def test_quarantine_of_all_photos(spark, read):
     want = {i: f"/quarantine/IMG_{i}.jpg" for members in sets.values() for i in members[1:]}
     rows = registered.queries()["quarantine_plan_all"](spark, DATA).collect()
     assert len(rows) == len(want) and max(want) > 900 and {r.photo_id: r.dst_path for r in rows} == want
+
+
+def test_clusters_of_all_sizes(spark, read):
+    size = defaultdict(int)
+    for r in read("lineitem", "l_partkey", "l_returnflag"):
+        size[r["l_partkey"]] += r["l_returnflag"] != "R"
+    want = sorted(((c, n) for c, n in size.items() if n), key=lambda x: (-x[1], x[0]))
+    rows = registered.queries()["clusters_by_size_all"](spark, DATA).collect()
+    assert len(want) > 60 and [(r.cluster_id, r.size) for r in rows] == want
