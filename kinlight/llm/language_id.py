@@ -30,6 +30,8 @@ MARK = "\u2581"
 #: Added to each piece's count in each language, and the probability of a letter outside the vocabulary.
 SMOOTHING = 0.05
 UNKNOWN = 1e-7
+#: Likelihoods below this are summed again in logs, as products may have run out of float64.
+TINY = 1e-250
 #: Words that a worker remembers, and distinct words that a task counts before it cuts them into pieces.
 CACHE_LIMIT = 1 << 18
 FLUSH_WORDS = 1 << 17
@@ -157,7 +159,26 @@ class WordScores:
                 before = np.where(fresh[start[a:b], None], 1.0, reached[start[a:b]])
                 new = np.flatnonzero(np.concatenate(([True], end[a + 1 : b] != end[a : b - 1])))
                 reached[end[a:b][new]] = np.add.reduceat(before * self.table[piece[a:b]], new, axis=0)
-        return np.log(reached[stops])
+        likelihood = reached[stops]
+        low = np.flatnonzero((likelihood < TINY).any(axis=1))
+        found = np.log(np.where(likelihood < TINY, 1.0, likelihood))
+        for i in low:
+            found[i] = self._forward_logs(words[i])
+        return found
+
+    def _forward_logs(self, word: str) -> np.ndarray:
+        """The same sum in logs, which no number of small factors brings to zero, for one word."""
+        text = MARK + word
+        ending = defaultdict(list)
+        for end, known in self.matcher.iter(text):
+            ending[end + 1].append((known & 255, known >> 8))
+        reached = np.zeros((len(text) + 1, self.table.shape[1]))
+        for end in range(1, len(text) + 1):
+            pieces = ending[end]
+            if all(length > 1 for length, _ in pieces):
+                pieces = [*pieces, (1, len(self.table) - 1)]
+            reached[end] = np.logaddexp.reduce([reached[end - length] + np.log(self.table[piece]) for length, piece in pieces])
+        return reached[-1]
 
     def learn(self, words: set[str]) -> None:
         new = sorted(words.difference(self.rows))
