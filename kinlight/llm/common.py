@@ -29,14 +29,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def size_in_bytes(setting: str) -> int:
+    """Bytes of a Spark size setting, such as 256m or 1gb."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]?)b?\s*", setting.lower()).groups()
+    return int(number) * _UNITS[unit]
+
+
 def small_text_batches(spark: SparkSession) -> None:
-    """Lower the bytes per Arrow batch from Spark's default, as rows here hold whole texts."""
+    """Lower the bytes per Arrow batch from Spark's default, as rows here hold whole texts. Spark has no such
+    setting for one plan, so the session keeps it; it bounds memory and changes no result."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(re.sub(r"\D", "", spark.conf.get(key)))
-    if now > TEXT_BATCH_BYTES or now == 0:
+    now = size_in_bytes(spark.conf.get(key))
+    if now > TEXT_BATCH_BYTES or now <= 0:
         spark.conf.set(key, f"{TEXT_BATCH_BYTES}b")
 
 
+def unused(base: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, whatever its case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    name = f"_{base}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -119,25 +138,32 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def keep_decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``decisions(doc_id, text_key, kept)``, one row per row of ``docs``,
-    keeps, with all their columns. Where rows repeat a kept id and text, one of them stays.
+def drop_keys(docs: DataFrame, digest: Column, decided: DataFrame, digest_col: str) -> DataFrame:
+    """The rows of ``docs`` whose (id, digest) ``decided(doc_id, <digest_col>, kept, n)`` keeps, with all their
+    columns; of ``n`` rows that share a kept key, one stays.
 
-    Only the rejected keys are joined to the documents: broadcast where their count is small,
-    shuffled otherwise.
+    Only the rejected keys are joined to the documents: broadcast where they are few, shuffled otherwise.
+    Columns of ``docs`` may have any names beside ``doc_id`` and ``text``.
     """
-    tally = cut(decisions.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max("kept").alias("kept")))
-    marked = docs.withColumn("_kl_key", text_key())
+    mark, key, of = (unused(base, docs) for base in ("digest", "key_id", "key_digest"))
+    marked = docs.withColumn(mark, digest)
 
     def by(keys: DataFrame) -> tuple[DataFrame, Column]:
-        named = broadcast_if_small(keys.select(F.col("doc_id").alias("_kl_id"), F.col("text_key").alias("_kl_text")))
-        return named, F.col("doc_id").cast("long").eqNullSafe(F.col("_kl_id")) & (F.col("_kl_key") == F.col("_kl_text"))
+        named = broadcast_if_small(keys.select(F.col("doc_id").alias(key), F.col(digest_col).alias(of)))
+        return named, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(mark) == F.col(of))
 
-    rest = marked.join(*by(tally.filter("not kept or n > 1")), "left_anti")
-    repeated = tally.filter("kept and n > 1")
+    rest = marked.join(*by(decided.filter("not kept or n > 1")), "left_anti")
+    repeated = decided.filter("kept and n > 1")
     if not repeated.isEmpty():
-        rest = rest.unionByName(marked.join(*by(repeated), "left_semi").dropDuplicates(["doc_id", "_kl_key"]))
-    return rest.drop("_kl_key")
+        rest = rest.unionByName(marked.join(*by(repeated), "left_semi").dropDuplicates(["doc_id", mark]))
+    return rest.drop(mark)
+
+
+def keep_decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decisions(doc_id, text_key, kept)``, one row per row of ``docs``,
+    keeps, with all their columns. Where rows repeat a kept id and text, one of them stays."""
+    tally = cut(decisions.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max("kept").alias("kept")))
+    return drop_keys(docs, text_key(), tally, "text_key")
 
 
 #: An odd base for polynomial hashes modulo 2^64, and its inverse.

@@ -94,8 +94,9 @@ def find_contained(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in no pair of :func:`find_contained`, with all their columns. Rows
-    without an id stay."""
-    leaks = find_contained(docs, benchmark).select(F.col("doc_id").alias("_kl_id")).distinct()
-    leaks = cut(leaks)
-    return docs.join(broadcast_if_small(leaks), F.col("doc_id") == F.col("_kl_id"), "left_anti")
+    """The rows of ``docs`` whose id is in no pair of :func:`find_contained`, with all their columns, whatever
+    their names. Rows without an id stay; of rows that share an id, all stay or none. An empty benchmark drops
+    nothing, and an empty table gives an empty result."""
+    leak = common.unused("leak", docs)
+    leaks = cut(find_contained(docs, benchmark).select(F.col("doc_id").alias(leak)).distinct())
+    return docs.join(broadcast_if_small(leaks), F.col("doc_id") == F.col(leak), "left_anti")

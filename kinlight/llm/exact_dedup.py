@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlight.llm import common
@@ -145,12 +145,16 @@ def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Compare the text of every row of ``members(doc_id, text_sha256, n_bytes, fingerprint,
     keep_id)`` with that of its group's first document, chunk by chunk; adds ``equal``."""
     normal = F.regexp_replace(F.coalesce("text", F.lit("")), WHITE_RUN, " ")
-    texts = docs.join(broadcast_if_small(members), "doc_id").withColumn("text", normal).filter(F.sha2("text", 256) == F.col("text_sha256"))
+    # rows without an id are found by their digest
+    named = members.withColumnRenamed("doc_id", "member_id")
+    unnamed, digest = F.col("doc_id").isNull(), F.sha2(normal, 256)
+    same = F.col("doc_id").eqNullSafe(F.col("member_id")) & F.when(unnamed, digest).eqNullSafe(F.when(F.col("member_id").isNull(), F.col("text_sha256")))
+    texts = docs.join(broadcast_if_small(named), same).withColumn("text", normal).filter(F.sha2("text", 256) == F.col("text_sha256"))
     steps = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.char_length("text") - 1) / COMPARE_CHARS)))
     chunks = texts.withColumn("k", F.explode(steps)).withColumn("chunk", F.col("text").substr((F.col("k") * COMPARE_CHARS + 1).cast("int"), F.lit(COMPARE_CHARS)))
     chunks = chunks.select("doc_id", "text_sha256", "n_bytes", "fingerprint", "keep_id", "k", "chunk")
     keys = ["n_bytes", "fingerprint", "k"]
-    first = chunks.filter(F.col("doc_id") == F.col("keep_id")).groupBy(*keys).agg(F.min("chunk").alias("first_chunk"))
+    first = chunks.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(*keys).agg(F.min("chunk").alias("first_chunk"))
     both = join_spread(chunks, first, keys, "doc_id")
     return both.groupBy("doc_id", "n_bytes", "fingerprint", "text_sha256").agg(F.bool_and(F.coalesce(F.col("chunk") == F.col("first_chunk"), F.lit(False))).alias("equal"))
 
@@ -178,8 +182,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     checked = cut(_verified(docs, several))
     wrong = checked.filter("not equal")
     if not wrong.isEmpty():  # equal fingerprints of different texts: those are grouped by digest
-        apart = wrong.select("doc_id", *keys, "text_sha256", F.col("text_sha256").alias("apart"))
-        rows = rows.join(apart, ["doc_id", *keys, "text_sha256"], "left").withColumn("apart", F.coalesce("apart", F.lit("")))
+        apart = wrong.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", *keys, "text_sha256")])
+        same = F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+        for c in (*keys, "text_sha256"):
+            same = same & (F.col(c) == F.col(f"_{c}"))
+        rows = rows.join(apart, same, "left").withColumn("apart", F.coalesce("_text_sha256", F.lit(""))).drop(*apart.columns)
         rows = cut(rows)
         keys = [*keys, "apart"]
         groups = rows.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.sum("repeats").alias("group_size"))
@@ -190,24 +197,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns. Decisions are
-    matched by id and text, so rows that share an id but not a text are decided apart."""
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns, whatever their names.
+    Decisions are matched by id and text, so rows that share an id but not a text are decided apart; of rows
+    that share both, one stays. Null and empty texts are copies of each other. Rows without an id stay only if
+    no row with one has their text, one row a text. An empty table gives an empty result."""
     found = exact_dedup(docs).select("doc_id", "text_sha256", "kept").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    return keep_by_digest(docs, cut(found))
-
-
-def keep_by_digest(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (id, digest of the normalised text) ``decided`` keeps; one row of
-    those that repeat. Only rejected keys are joined: broadcast where few, shuffled otherwise."""
     digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), WHITE_RUN, " "), 256)
-    marked = docs.withColumn("_kl_digest", digest)
-
-    def by(keys: DataFrame) -> tuple[DataFrame, Column]:
-        named = broadcast_if_small(keys.select(F.col("doc_id").alias("_kl_id"), F.col("text_sha256").alias("_kl_sha")))
-        return named, F.col("doc_id").cast("long").eqNullSafe(F.col("_kl_id")) & (F.col("_kl_digest") == F.col("_kl_sha"))
-
-    rest = marked.join(*by(decided.filter("not kept or n > 1")), "left_anti")
-    repeated = decided.filter("kept and n > 1")
-    if not repeated.isEmpty():
-        rest = rest.unionByName(marked.join(*by(repeated), "left_semi").dropDuplicates(["doc_id", "_kl_digest"]))
-    return rest.drop("_kl_digest")
+    return common.drop_keys(docs, digest, cut(found), "text_sha256")

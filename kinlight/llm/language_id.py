@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from kinlight.llm import common
 
-#: Runs of letters; a word longer than PART goes in parts of that many letters.
+#: Runs of letters, and of other numbers than digits (as in "\u00bd" or "\u00b2"), at which words end.
 LETTERS = re.compile(r"[^\W\d_]+")
-PART = 32
+#: Words above this many letters are scored letter by letter in logs, and aren't remembered.
+LONG = 64
 #: What the vocabulary puts before a word.
 MARK = "\u2581"
 #: Added to each piece's count in each language, and the probability of a letter outside the vocabulary.
@@ -35,13 +36,15 @@ TINY = 1e-250
 #: Words that a worker remembers, and distinct words that a task counts before it cuts them into pieces.
 CACHE_LIMIT = 1 << 18
 FLUSH_WORDS = 1 << 17
+#: Characters of texts after which a task cuts the words it has counted, however few.
+FLUSH_LETTERS = 32 << 20
 
 
 def words_of(text: str) -> list[str]:
-    """The lower-cased letter runs of a text, long ones in parts."""
+    """The lower-cased runs of letters (Unicode category L) of a text, however long."""
     found = LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) > PART:
-        found = [w[i : i + PART] for w in found for i in range(0, len(w), PART)]
+    if not text.isascii() and not "".join(found).isalpha():
+        found = [part for w in found for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
     return found
 
 
@@ -58,6 +61,7 @@ def _piece_batches(path: str):
         vocabulary = load_vocabulary(path)
         words: dict[str, Counter] = defaultdict(Counter)
         totals: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(vocabulary.get_piece_size() + 1, np.int64))
+        letters = 0
 
         def flush() -> None:
             for lang, counted in words.items():
@@ -72,8 +76,10 @@ def _piece_batches(path: str):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 totals[lang][-1] += 1
                 words[lang].update(words_of(text))
-            if sum(map(len, words.values())) > FLUSH_WORDS:
+                letters += len(text)
+            if letters > FLUSH_LETTERS or sum(map(len, words.values())) > FLUSH_WORDS:
                 flush()
+                letters = 0
         flush()
         for lang, counts in totals.items():
             piece = np.flatnonzero(counts)
@@ -128,7 +134,9 @@ class WordScores:
         for piece, i in self.pieces.items():
             self.matcher.add_word(piece, i << 8 | len(piece))
         self.matcher.make_automaton()
+        self.longest = max(map(len, self.pieces), default=1)
         self.table = np.vstack([model.probability, np.full(len(model.languages), UNKNOWN)])
+        self.logs = np.log(self.table)
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.languages)))
 
@@ -167,28 +175,45 @@ class WordScores:
         return found
 
     def _forward_logs(self, word: str) -> np.ndarray:
-        """The same sum in logs, which no number of small factors brings to zero, for one word."""
-        text = MARK + word
-        ending = defaultdict(list)
-        for end, known in self.matcher.iter(text):
-            ending[end + 1].append((known & 255, known >> 8))
-        reached = np.zeros((len(text) + 1, self.table.shape[1]))
+        """The same sum in logs, which no number of small factors brings to zero, for one word of any length.
+        Only the sums of as many places back as the longest piece has letters are held."""
+        text, unknown = MARK + word, len(self.table) - 1
+        matches = self.matcher.iter(text)
+        found = next(matches, None)
+        span = self.longest + 1
+        reached = np.zeros((span, self.table.shape[1]))
         for end in range(1, len(text) + 1):
-            pieces = ending[end]
-            if all(length > 1 for length, _ in pieces):
-                pieces = [*pieces, (1, len(self.table) - 1)]
-            reached[end] = np.logaddexp.reduce([reached[end - length] + np.log(self.table[piece]) for length, piece in pieces])
-        return reached[-1]
+            starts, pieces, alone = [], [], True
+            while found is not None and found[0] + 1 == end:
+                length = found[1] & 255
+                alone = alone and length > 1
+                starts.append((end - length) % span)
+                pieces.append(found[1] >> 8)
+                found = next(matches, None)
+            if alone:
+                starts.append((end - 1) % span)
+                pieces.append(unknown)
+            reached[end % span] = np.logaddexp.reduce(reached[starts] + self.logs[pieces], axis=0)
+        return reached[len(text) % span]
 
     def learn(self, words: set[str]) -> None:
-        new = sorted(words.difference(self.rows))
+        new = words.difference(self.rows)
         if len(self.rows) + len(new) > CACHE_LIMIT:
             self.rows, self.scores = {}, self.scores[:0]
-            new = sorted(words)
-        parts = [self._forward(new[i : i + 8192]) for i in range(0, len(new), 8192)]
+            new = words
+        usual, long = sorted(w for w in new if len(w) <= LONG), sorted(w for w in new if len(w) > LONG)
+        parts = [self._forward(usual[i : i + 8192]) for i in range(0, len(usual), 8192)]
+        parts += [self._forward_logs(w)[None, :] for w in long]
         first = len(self.rows)
-        self.rows.update(zip(new, range(first, first + len(new)), strict=True))
+        self.rows.update(zip(usual + long, range(first, first + len(new)), strict=True))
         self.scores = np.concatenate([self.scores, *parts])
+        self.passing = long
+
+    def forget_long(self) -> None:
+        """Forget the long words of the last texts, which are the last to be learnt."""
+        for word in self.passing:
+            del self.rows[word]
+        self.scores = self.scores[: len(self.rows)]
 
     def of_texts(self, texts: list[list[str]]) -> np.ndarray:
         """Summed log-likelihoods (texts x languages)."""
@@ -199,6 +224,7 @@ class WordScores:
         some = np.flatnonzero(sizes)
         if len(some):
             out[some] = np.add.reduceat(self.scores[rows], (np.cumsum(sizes) - sizes)[some], axis=0)
+        self.forget_long()
         return out
 
 
@@ -228,10 +254,11 @@ def identify(docs: DataFrame, vocabulary_path: str, model: PieceModel, fold: int
     """doc_id, held_out, lang_pred and score, the posterior of the predicted language, for each row of
     ``docs``. The prediction depends on the text alone.
 
-    Text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was
+    Letters are those of Unicode category L. Text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was
     learnt. Ties go to the language that sorts first. Null ids are not held out. Repeated rows come out as
     often as they came in; an empty table gives an empty result. A task holds one Arrow batch, a cache of
-    ``CACHE_LIMIT`` words and the model (pieces x languages).
+    ``CACHE_LIMIT`` words of at most ``LONG`` letters and the model (pieces x languages). Every segmentation of a
+    word counts, however long it is; the time is in proportion to its length.
     """
     common.small_text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

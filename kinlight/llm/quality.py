@@ -103,8 +103,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 @dataclass
 class Forest:
     """Trees of one depth in heap order: node i has children 2i + 1 and 2i + 2. ``feature`` and
-    ``threshold`` are trees x inner nodes, ``leaf`` is trees x leaves; ``base`` is the first log-odds."""
+    ``threshold`` are trees x inner nodes, ``leaf`` is trees x leaves; ``base`` is the first log-odds;
+    ``rows`` is how many labelled rows it was learnt from."""
 
+    rows: int
     base: float
     feature: np.ndarray
     threshold: np.ndarray
@@ -121,10 +123,11 @@ class Forest:
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE) -> Forest:
-    """Boost regression trees on the logistic loss. Labels all equal, or none, give a constant score."""
+    """Boost regression trees on the logistic loss. Labels all equal give a constant score near them, and no
+    labels give 0.5."""
     inner = 2**depth - 1
-    p = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.9999
-    forest = Forest(float(np.log(p / (1 - p))), np.zeros((trees, inner), np.int32), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1)))
+    p = (y.sum() + 0.5) / (len(y) + 1)
+    forest = Forest(len(y), float(np.log(p / (1 - p))), np.zeros((trees, inner), np.int32), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1)))
     if not len(y) or y.min() == y.max():
         return forest
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
@@ -164,18 +167,20 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         data, offsets = common.buffers(batch.column("text"))
         for i, j in common.runs_of_documents(offsets):
             x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("label").slice(i, j - i), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest:
     """Fit on at most ``sample_rows`` labelled documents whose fold (crc32 of the id as text, modulo 4)
     isn't 2: those whose ids hash lowest. Labels without a value don't count; of an id with several,
-    the least does. Documents are read with the sampled ids broadcast, so no text is shuffled."""
+    the least does; of an id with several texts, the one whose statistics sort first does. Documents are read
+    with the sampled ids broadcast, so no text is shuffled, and the fit doesn't depend on partitions."""
     common.small_text_batches(docs.sparkSession)
     usable = labels.filter("doc_id is not null and quality is not null").filter(fold() != 2).groupBy("doc_id").agg(F.min("quality").alias("label"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("label").cast("double"), "text")
-    rows = labelled.mapInArrow(common.trimmed(_feature_batches), "label double, x array<double>").limit(2 * sample_rows).collect()
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.col("label").cast("double"), "text")
+    each = labelled.mapInArrow(common.trimmed(_feature_batches), "doc_id long, label double, x array<double>")
+    rows = each.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("x").alias("x")).collect()  # sample_rows at most
     rows.sort(key=lambda r: (r.label, r.x))
     x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r.label for r in rows]))
@@ -199,7 +204,7 @@ def _scorer(forest: Forest):
 def score(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_key, held_out, score and predicted (score >= ``threshold``) for each row of ``docs``.
 
-    The score depends on the text alone. Null text counts as empty; empty texts get a score like any
+    The score depends on the text alone; if nothing was learnt it is 0.5. Null text counts as empty; empty texts get a score like any
     other. Null ids are not held out. Repeated rows come out as often as they came in, and an empty
     table gives an empty result. A task holds one Arrow batch.
     """
@@ -210,8 +215,16 @@ def score(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> Data
 
 
 def drop_low_quality(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` predicted as good, with all their columns, in one pass over the texts."""
+    """The rows of ``docs`` predicted as good, with all their columns, in one pass over the texts.
+
+    Null and empty texts are scored like any other, rows without an id too; of repeated rows all stay or none.
+    If nothing was learnt, as there are no labels, all rows stay. An empty table gives an empty result. Columns
+    may have any names beside ``text``.
+    """
+    if not forest.rows:
+        return docs
     common.small_text_batches(docs.sparkSession)
+    name = common.unused("score", docs)
 
     @F.pandas_udf("double")
     def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -221,4 +234,4 @@ def drop_low_quality(docs: DataFrame, forest: Forest, threshold: float = THRESHO
             yield pd.Series(np.concatenate([*out, np.zeros(0)]))
         common.trim()
 
-    return docs.withColumn("_kl_score", scores("text")).filter(F.col("_kl_score") >= threshold).drop("_kl_score")
+    return docs.withColumn(name, scores("text")).filter(F.col(name) >= threshold).drop(name)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from kinlight.llm import common
 from kinlight.plans.numbering import numbered
 
 ROUNDS = 6
@@ -100,22 +101,28 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_co
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
-    """Write ``docs`` as parquet, one folder ``shard=n`` a shard, whose files hold ranges of slots in order. Rows
-    that share an id go by their text as well; every row is written once. If ``docs`` has a column of that
-    name, the folders' name gets an underscore."""
-    places = assign_shards(docs, shards, seed)
+    """Write ``docs`` as parquet, one folder ``shard=n`` a shard, whose files hold ranges of slots in order.
+
+    Every row is written once, null texts and rows without an id too; rows that share an id go by their text as
+    well, and those that are equal in both are interchangeable. Columns may have any names: if ``docs`` has a
+    column ``shard``, the folders' name gets an underscore. An empty table writes no row.
+    """
     same = ["doc_id", "text_crc32", "size"]
-    nth = F.row_number().over(_window(same)).alias("_kl_nth")
-    keyed = docs.withColumns({"_kl_id": F.col("doc_id").cast("long"), "_kl_crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary")), "_kl_size": _size("text")})
-    keyed = keyed.withColumn("_kl_nth", F.row_number().over(_window(["_kl_id", "_kl_crc", "_kl_size"])))
-    places = places.select(*[F.col(c).alias(f"_p_{c}") for c in same], F.col("shard").alias("_kl_shard"), F.col("slot").alias("_kl_slot"), nth)
-    on = F.col("_kl_id").eqNullSafe(F.col("_p_doc_id")) & (F.col("_kl_crc") == F.col("_p_text_crc32")) & (F.col("_kl_size") == F.col("_p_size")) & (keyed["_kl_nth"] == places["_kl_nth"])
-    joined = keyed.join(places, on).select(*docs.columns, "_kl_shard", "_kl_slot")
-    ordered = joined.repartitionByRange("_kl_shard", "_kl_slot").sortWithinPartitions("_kl_shard", "_kl_slot")
+    key = {c: common.unused(f"row_{c}", docs) for c in (*same, "nth")}
+    place = {c: common.unused(f"at_{c}", docs) for c in (*same, "nth", "shard", "slot")}
+    places = assign_shards(docs, shards, seed).withColumn("nth", F.row_number().over(_window(same)))
+    places = places.select(*[F.col(c).alias(name) for c, name in place.items()])
+    keyed = docs.withColumns({key["doc_id"]: F.col("doc_id").cast("long"), key["text_crc32"]: F.crc32(F.coalesce("text", F.lit("")).cast("binary")), key["size"]: _size("text")})
+    keyed = keyed.withColumn(key["nth"], F.row_number().over(_window([key[c] for c in same])))
+    on = F.lit(True)
+    for c, name in key.items():
+        on = on & F.col(name).eqNullSafe(F.col(place[c]))
+    joined = keyed.join(places, on).select(*docs.columns, place["shard"], place["slot"])
+    ordered = joined.repartitionByRange(place["shard"], place["slot"]).sortWithinPartitions(place["shard"], place["slot"])
     name = "shard"
-    while name in docs.columns:
+    while name in {c.lower() for c in docs.columns}:
         name += "_"
-    ordered.drop("_kl_slot").withColumnRenamed("_kl_shard", name).write.partitionBy(name).parquet(path)
+    ordered.drop(place["slot"]).withColumnRenamed(place["shard"], name).write.partitionBy(name).parquet(path)
 
 
 def _window(columns: list[str]) -> WindowSpec:

@@ -347,8 +347,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = ALIKE_WORDS, least: float | None = None) -> DataFrame:
     """The rows of ``docs`` with one document of each component, the one with the smallest id (and of
-    rows that share that id, one), with all their columns. With ``least``, texts also link whose sets
-    of ``words``-word shingles have that Jaccard share or more."""
+    rows that share that id, one), with all their columns, whatever their names. With ``least``, texts also
+    link whose sets of ``words``-word shingles have that Jaccard share or more. Null and empty texts have
+    fingerprint zero and are near copies of each other; rows without an id stay only in components that have no
+    id at all. An empty table gives an empty result."""
     links = None if least is None else alike_links(docs, words, least)
     found = cut(near_duplicates(docs, radius=radius, links=links))
     keeper = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("keeper"))

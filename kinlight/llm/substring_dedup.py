@@ -2,9 +2,10 @@
 
 Seeds are winnowed anchors: in every window of 13 words, the 5-word gram with the least hash. Two equal
 windows choose the same anchor at the same place, so every repeated window holds a shared anchor. Documents
-are joined on their anchors; each anchor that several documents share is extended both ways to the windows
-that chose it, and windows of equal words are looked for among the extensions. Overlapping windows that a
-document with a smaller id has too make up the maximal repeats, which are cut out.
+are joined on their anchors: each occurrence of an anchor that several documents share brings the words around
+it, as far both ways as the windows that chose it reach, and matches are extended over those words. Hashes
+only propose matches; a window counts as repeated when its words are equal, byte by byte, to those of a
+document with a smaller id. Overlapping windows make up the maximal repeats, which are cut out.
 """
 
 from __future__ import annotations
@@ -17,18 +18,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlight.llm import common
-from kinlight.plans.lineage import broadcast_if_small, cut, join_spread
+from kinlight.plans.lineage import HOT_KEYS, broadcast_if_small, cut, join_spread
 
 #: Words of a window, and of an anchor.
 WINDOW = 13
 ANCHOR = 5
-#: Bits of the filter that tells which anchors several documents share; its size never grows. Where
-#: it fills up it passes more anchors, which costs time but no result.
-FILTER_BITS = 1 << 26
+#: Bits a shared anchor gets in the filter that tells which anchors several documents share, and the most that
+#: the filter has (a broadcast of 128 MB). Where it fills up it passes more anchors, which the join on anchors
+#: leaves out: that costs time but no result.
+BITS_AN_ANCHOR = 16
+MOST_FILTER_BITS = 1 << 30
 #: Windows of one anchor that a task compares by itself.
-GROUP_LIMIT = 1 << 20
-#: Occurrences above which an anchor tells little: its windows are then dealt out by their own hashes.
+GROUP_LIMIT = 1 << 18
+#: Occurrences above which an anchor tells little (or a share of 1 / HOT_KEYS of all, if that is more): its
+#: windows are then compared by all their words at once, with the least id of each combined map-side.
 COMMON = 10_000
+#: Rows of words made at a time.
+ROWS = 1 << 15
 
 
 def _grams(words: np.ndarray, k: int) -> np.ndarray:
@@ -54,23 +60,24 @@ def _sliding_least(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarr
     return least, place
 
 
-def anchored_windows(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int):
-    """Every window of a slice of documents: document, first word (from 0), its hash, its anchor's hash
-    and its anchor's first word."""
+def anchored_windows(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int, hash_bits: int = 64):
+    """Every window of a slice of documents: document, first word in the slice, its anchor's hash and its
+    anchor's first word; and all words' starts, ends and each document's first word."""
     starts, ends, first = common.word_bounds(data, offsets)
     words = common.range_hashes(data, starts, ends)
     n = max(len(words) - window + 1, 0)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     whole = np.flatnonzero(doc[:n] == doc[window - 1 :]) if n else np.zeros(0, np.int64)
-    least, place = _sliding_least(_grams(words, anchor), window - anchor + 1) if n else (np.zeros(0, np.uint64),) * 2
-    of = doc[whole]
-    return of, whole - first[of], _grams(words, window)[whole], least[whole], place[whole].astype(np.int64) - first[of]
+    grams = _grams(words, anchor) >> np.uint64(64 - hash_bits)
+    least, place = _sliding_least(grams, window - anchor + 1) if n else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return (doc[whole] if n else whole, whole, least[whole], place[whole].astype(np.int64)), (starts, ends, first)
 
 
-def _slices(batch: pa.RecordBatch, window: int, anchor: int):
+def _slices(batch: pa.RecordBatch):
+    """The batch's texts with single spaces, in slices: first document, bytes, offsets."""
     data, offsets = common.buffers(batch.column("text"))
     for i, j in common.runs_of_documents(offsets):
-        yield i, anchored_windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window, anchor)
+        yield i, *common.collapse_white(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
 def _runs(of: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -80,56 +87,90 @@ def _runs(of: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (place[1:] != place[:-1]))))
 
 
-def _anchor_batches(window: int, anchor: int):
+def _anchor_batches(window: int, anchor: int, hash_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, (of, _, _, least, place) in _slices(batch, window, anchor):
+            for i, data, offsets in _slices(batch):
+                (of, _, least, place), _ = anchored_windows(data, offsets, window, anchor, hash_bits)
                 at = _runs(of, place)
                 yield pa.RecordBatch.from_arrays([pa.array(least[at].view(np.int64)), pa.array(ids[i + of[at]].astype(np.int64))], ["anchor", "doc_id"])
 
     return run
 
 
-def _extension_batches(shared, bits: int, window: int, anchor: int):
-    """Anchors that the filter passes, each with the windows that chose it. Each window of a common anchor
-    takes the anchor's part itself, so that an anchor in most documents is spread over all tasks; where a
-    document repeats such a window, ``more`` has its other places."""
+def _gather(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ranges put together, and their n + 1 bounds."""
+    bounds = np.concatenate(([0], np.cumsum(end - begin)))
+    return data[np.repeat(begin - bounds[:-1], end - begin) + np.arange(bounds[-1])], bounds
 
-    def rows(batch: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, begin: np.ndarray, windows: tuple, more: tuple) -> pa.RecordBatch:
+
+def _binary(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    joined, bounds = _gather(data, begin, end)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(joined)])
+
+
+def _extension_batches(shared, common_anchors, bits: int, window: int, anchor: int, hash_bits: int):
+    """Anchors that the filter passes, each with the words of the windows that chose it. Each window of a
+    common anchor is a row of its own, once a document, with all places that it begins at; its key is spread
+    over all tasks."""
+
+    def rows(batch: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, begin: np.ndarray, words: pa.Array, places: pa.Array) -> pa.RecordBatch:
         ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
-        lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64))) for values, bounds in (windows, more)]
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc].astype(np.int64)), pa.array(keys[doc]), pa.array(begin.astype(np.int64)), *lists], _EXTENDED_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc].astype(np.int64)), pa.array(keys[doc]), pa.array(begin.astype(np.int64)), words, places], _EXTENDED_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, common_flags = np.frombuffer(shared.value, np.uint8).reshape(2, -1)
-        none = np.zeros(0, np.int64)
+        flags, often = np.frombuffer(shared.value, np.uint8), np.frombuffer(common_anchors.value, np.uint64)
         for batch in batches:
-            for i, found in _slices(batch, window, anchor):
-                passed = _has(flags, found[3], bits)
-                of, begin, whole, least, place = (x[passed] for x in found)
-                alone = _has(common_flags, least, bits)
-                f, b, w = of[alone], begin[alone], whole[alone]
-                order = np.lexsort((b, w, f))
-                f, b, w = f[order], b[order], w[order]
-                at = np.flatnonzero(np.concatenate(([len(f) > 0], (f[1:] != f[:-1]) | (w[1:] != w[:-1]))))
-                others = np.ones(len(f), bool)
-                others[at] = False
-                ends = np.append(at, len(f)) - np.arange(len(at) + 1)
-                yield rows(batch, i + f[at], common.mix(w[at]), b[at], (w[at], np.arange(len(at) + 1)), (b[others], ends))
-                of, begin, whole, least, place = (x[~alone] for x in (of, begin, whole, least, place))
-                at = _runs(of, place)
-                yield rows(batch, i + of[at], least[at], begin[at], (whole, np.append(at, len(of))), (none, np.zeros(len(at) + 1, np.int64)))
+            for i, data, offsets in _slices(batch):
+                found, (starts, ends, first) = anchored_windows(data, offsets, window, anchor, hash_bits)
+                passed = _has(flags, found[2], bits)
+                of, word, least, place = (x[passed] for x in found)
+                alone = often[np.minimum(np.searchsorted(often, least), len(often) - 1)] == least if len(often) else np.zeros(len(of), bool)
+                f, w = of[alone], word[alone]
+                if len(f):
+                    # one row for a document's equal windows: equal hashes are told apart by the words
+                    hashes = common.range_hashes(data, starts[w], ends[w + window - 1])
+                    order = np.lexsort((w, hashes, f))
+                    f, w, hashes = f[order], w[order], hashes[order]
+                    new = np.concatenate(([True], (f[1:] != f[:-1]) | (hashes[1:] != hashes[:-1])))
+                    rep = np.maximum.accumulate(np.where(new, np.arange(len(f)), 0))
+                    new |= ~_equal(data, starts[w], ends[w + window - 1], starts[w[rep]], ends[w[rep] + window - 1])
+                    at = np.append(np.flatnonzero(new), len(f))
+                    for j in range(0, len(at) - 1, ROWS):
+                        a = at[j : j + ROWS + 1]
+                        here = a[:-1]
+                        places = pa.ListArray.from_arrays(pa.array(a - a[0], pa.int32()), pa.array(w[a[0] : a[-1]] - np.repeat(first[f[here]], np.diff(a))))
+                        key = common.mix(hashes[here] + batch.column("doc_id").to_numpy(zero_copy_only=False)[i + f[here]].astype(np.uint64))
+                        yield rows(batch, i + f[here], key, np.full(len(here), -1), _binary(data, starts[w[here]], ends[w[here] + window - 1]), places)
+                of, word, least, place = (x[~alone] for x in (of, word, least, place))
+                at = np.append(_runs(of, place), len(of))
+                for j in range(0, len(at) - 1, ROWS):
+                    here, stop = at[:-1][j : j + ROWS], at[1:][j : j + ROWS] - 1
+                    yield rows(batch, i + of[here], least[here], word[here] - first[of[here]], _binary(data, starts[word[here]], ends[word[stop] + window - 1]), pa.nulls(len(here), pa.list_(pa.int64())))
 
     return run
 
 
-_EXTENDED_NAMES = ["anchor", "doc_id", "text_key", "begin", "windows", "more"]
-_EXTENDED = "anchor long, doc_id long, text_key long, begin long, windows array<long>, more array<long>"
+_EXTENDED_NAMES = ["anchor", "doc_id", "text_key", "begin", "words", "places"]
+_EXTENDED = "anchor long, doc_id long, text_key long, begin long, words binary, places array<long>"
+
+
+def _equal(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each range [a, a_end) are those of [b, b_end)."""
+    out = a_end - a == b_end - b
+    for i in range(0, len(a), ROWS):
+        part = np.flatnonzero(out[i : i + ROWS]) + i
+        part = part[a[part] != b[part]]
+        if len(part):
+            (x, bounds), (y, _) = _gather(data, a[part], a_end[part]), _gather(data, b[part], b_end[part])
+            wrong = np.flatnonzero(x != y)
+            out[part[np.unique(np.searchsorted(bounds, wrong, side="right") - 1)]] = False
+    return out
 
 
 def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(20)).astype(np.int64) & (bits - 1)
+    return common.mix(hashes).astype(np.int64) & (bits - 1)
 
 
 def _has(flags: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -137,31 +178,34 @@ def _has(flags: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return (flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
-def _filter_words(bits: int, often: int):
-    """The 64-bit words that a task's anchors set in two filters of ``bits`` bits: all, then common ones."""
+def _filter_words(bits: int):
+    """The 64-bit words that a task's anchors set in a filter of ``bits`` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(2 * bits // 8, np.uint8)
         for batch in batches:
-            bit = _bit(batch.column("anchor").to_numpy(zero_copy_only=False).view(np.uint64), bits)
-            bit = np.concatenate((bit, bit[batch.column("n").to_numpy(zero_copy_only=False) > often] + bits))
-            np.bitwise_or.at(flags, bit >> 3, np.uint8(1) << (bit & 7).astype(np.uint8))
-        words = flags.view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["at", "word"])
+            bit = np.unique(_bit(batch.column("anchor").to_numpy(zero_copy_only=False).view(np.uint64), bits))
+            at, new = np.unique(bit >> 6, return_index=True)
+            words = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), new) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words.view(np.int64))], ["at", "word"])
 
     return run
 
 
-def _shared_filter(anchors: DataFrame, bits: int, often: int):
-    """Broadcast two bitmaps of ``bits`` bits: of anchors of two or more documents, and of the common ones.
-    Smallest and largest ids are combined map-side, so a frequent anchor is one row a task."""
-    several = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b").select("anchor", "n")
-    words = several.mapInArrow(common.trimmed(_filter_words(bits, often)), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
-    flags = np.zeros(2 * bits // 64, np.int64)
-    held = words.toArrow()  # one row a word of the bitmaps at most
+def _shared_filter(anchors: DataFrame, often: int):
+    """Broadcast a bitmap of the anchors that two or more documents have, sized by their number, and a sorted
+    list of the common ones; and the bitmap's size in bits. Smallest and largest ids are combined map-side, so a
+    frequent anchor is one row a task."""
+    several = cut(anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b").select("anchor", "n"))
+    n, total = several.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = min(MOST_FILTER_BITS, 1 << max(16, (BITS_AN_ANCHOR * n - 1).bit_length()))
+    words = several.select("anchor").mapInArrow(common.trimmed(_filter_words(bits)), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    flags = np.zeros(bits // 64, np.int64)
+    held = words.toArrow()  # one row a word of the bitmap at most
     flags[held.column("at").to_numpy()] = held.column("word").to_numpy()
-    return anchors.sparkSession.sparkContext.broadcast(flags.tobytes())
+    # at most HOT_KEYS anchors can have more than that share of all occurrences
+    most = several.filter(F.col("n") > max(often, total // HOT_KEYS)).select("anchor").toArrow().column("anchor").to_numpy()
+    context = anchors.sparkSession.sparkContext
+    return context.broadcast(flags.tobytes()), context.broadcast(np.sort(most.view(np.uint64)).tobytes()), bits
 
 
 def _spans(doc: np.ndarray, key: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
@@ -172,105 +216,173 @@ def _spans(doc: np.ndarray, key: np.ndarray, begin: np.ndarray) -> list[np.ndarr
     return [doc[new], key[new], begin[new], begin[np.append(new[1:], len(doc)) - 1]]
 
 
-def _matcher(limit: int):
-    """From extensions sorted by anchor: spans of windows that a smaller document has, as (doc_id,
-    text_key, first, last, null). The windows of an anchor with more than ``limit`` of them come out one
-    by one instead, with their hash. Holds one batch and one anchor's windows."""
-    names = ["doc_id", "text_key", "first", "last", "window"]
-
-    def flat(batch: pa.RecordBatch) -> list[np.ndarray]:
-        anchor, doc, key, begin = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "doc_id", "text_key", "begin"))
-        (windows, sizes), (more, extra) = ((batch.column(c).flatten().to_numpy(zero_copy_only=False), np.diff(batch.column(c).offsets.to_numpy())) for c in ("windows", "more"))
-        row = np.repeat(np.arange(len(batch)), sizes)
-        first = np.cumsum(sizes) - sizes
-        nth = np.arange(len(windows)) - np.repeat(first, sizes)
-        again = np.repeat(np.arange(len(batch)), extra)
-        out = [anchor, doc, key, np.concatenate((begin[row] + nth, more)), np.concatenate((windows, windows[first[again]]))]
-        row = np.concatenate((row, again))
-        order = np.argsort(row, kind="stable") if len(again) else slice(None)
-        return [x[row][order] for x in out[:3]] + [x[order] for x in out[3:]]
-
-    def repeats(rows: list[np.ndarray]) -> pa.RecordBatch:
-        anchor, doc, key, begin, window = rows
-        order = np.lexsort((doc, window, anchor))
-        a, w, d = anchor[order], window[order], doc[order]
-        group = np.cumsum(np.concatenate(([False], (a[1:] != a[:-1]) | (w[1:] != w[:-1]))))
-        least = d[np.searchsorted(group, np.arange(group[-1] + 1))] if len(group) else d
-        hit = np.sort(order[d > least[group]]) if len(group) else order
-        hit = hit[np.lexsort((begin[hit], key[hit], doc[hit]))]
-        out = _spans(doc[hit], key[hit], begin[hit])
-        return pa.RecordBatch.from_arrays([*map(pa.array, out), pa.nulls(len(out[0]), pa.int64())], names)
-
-    def single(rows: list[np.ndarray]) -> pa.RecordBatch:
-        _, doc, key, begin, window = rows
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(begin), pa.array(begin), pa.array(window)], names)
+def _repeated(anchor: np.ndarray, doc: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The windows whose bytes a window of the same anchor in a document with a smaller id has."""
+    order = np.lexsort((doc, hashes, anchor))
+    a, h, d = anchor[order], hashes[order], doc[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (h[1:] != h[:-1]))) if len(order) else np.zeros(0, bool)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else order
+    hit = d > d[first] if len(order) else new
+    mine, other = order[hit], order[first[hit]]
+    same = _equal(data, begin[mine], end[mine], begin[other], end[other])
+    if same.all():
+        return mine
+    # different words under one hash: the groups with such are told apart by the words themselves
+    group = np.cumsum(new) - 1
+    torn = np.isin(group, group[np.flatnonzero(hit)[~same]])
+    raw, least, found = data.tobytes(), {}, []
+    for i in order[torn]:  # by falling anchors and rising ids, so the first one has the least id
+        words = (anchor[i], raw[begin[i] : end[i]])
+        if least.setdefault(words, doc[i]) < doc[i]:
+            found.append(i)
+    return np.concatenate((mine[~torn[np.flatnonzero(hit)]], np.array(found, np.int64)))
+
+
+def _matcher(window: int, limit: int, hash_bits: int):
+    """From extensions sorted by anchor: spans of windows that a smaller document has, as (doc_id, text_key,
+    first, last, null, null). Windows of common anchors, and of an anchor with more than ``limit`` of them, come
+    out as (doc_id, text_key, null, null, words, places) instead. Holds one batch and one anchor's windows."""
+    names = ["doc_id", "text_key", "first", "last", "words", "places"]
+
+    def windows(held: pa.Table) -> tuple:
+        rows = held.combine_chunks()
+        data, offsets = common.buffers(rows.column("words"))
+        starts, ends, first = common.word_bounds(data, offsets)
+        n = np.diff(first) - window + 1
+        row = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        word = first[row] + nth
+        anchor, doc, key, begin = (rows.column(c).to_numpy() for c in ("anchor", "doc_id", "text_key", "begin"))
+        return anchor[row], doc[row], key[row], begin[row] + nth, data, starts[word], ends[word + window - 1]
+
+    def repeats(held: pa.Table) -> pa.RecordBatch:
+        anchor, doc, key, first, data, begin, end = windows(held)
+        hit = _repeated(anchor, doc, data, begin, end, common.range_hashes(data, begin, end) >> np.uint64(64 - hash_bits))
+        hit = hit[np.lexsort((first[hit], key[hit], doc[hit]))]
+        out = _spans(doc[hit], key[hit], first[hit])
+        return pa.RecordBatch.from_arrays([*map(pa.array, out), pa.nulls(len(out[0]), pa.binary()), pa.nulls(len(out[0]), pa.list_(pa.int64()))], names)
+
+    def single(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        _, doc, key, first, data, begin, end = windows(held)
+        for i in range(0, len(doc), ROWS):
+            part = slice(i, i + ROWS)
+            n = len(doc[part])
+            places = pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), pa.array(first[part]))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(key[part]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), _binary(data, begin[part], end[part]), places], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 5
+        held: list[pa.RecordBatch] = []
         large = None
         for batch in batches:
-            held = [np.concatenate(x) for x in zip(held, flat(batch), strict=True)]
+            alone = np.asarray(batch.column("places").is_valid())
+            if alone.any():
+                part = batch.filter(pa.array(alone))
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), part.column("words"), part.column("places")], names)
+                batch = batch.filter(pa.array(~alone))
+            if not batch.num_rows:
+                continue
+            anchor = batch.column("anchor").to_numpy()
             if large is not None:
-                more = int(np.searchsorted(held[0], large, side="right"))
+                more = int(np.searchsorted(anchor, large, side="right"))
                 if more:
-                    yield single([x[:more] for x in held])
-                    held = [x[more:] for x in held]
-            if not len(held[0]):
-                continue
-            whole = int(np.searchsorted(held[0], held[0][-1], side="left"))
-            if whole:
-                yield repeats([x[:whole] for x in held])
-                held = [x[whole:] for x in held]
-            large = None
-            if len(held[0]) > limit:
-                large = held[0][0]
-                yield single(held)
-                held = [x[:0] for x in held]
-        if len(held[0]):
-            yield repeats(held)
+                    yield from single(pa.Table.from_batches([batch.slice(0, more)]))
+                    batch, anchor = batch.slice(more), anchor[more:]
+                if not len(anchor):
+                    continue
+                large = None
+            held.append(batch)
+            if held[0].column("anchor")[0].as_py() != anchor[-1]:
+                whole = int(np.searchsorted(anchor, anchor[-1], side="left"))
+                yield repeats(pa.Table.from_batches([*held[:-1], batch.slice(0, whole)]))
+                held = [batch.slice(whole)]
+            if sum(x.num_rows for x in held) * (window - ANCHOR + 1) > limit:
+                large = anchor[-1]
+                for x in held:
+                    yield from single(pa.Table.from_batches([x]))
+                held = []
+        if held:
+            yield repeats(pa.Table.from_batches(held))
 
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = FILTER_BITS, limit: int = GROUP_LIMIT, often: int = COMMON) -> DataFrame:
-    """(doc_id, text_key, spans): for each document with repeats, runs (first, last) of first words of the
-    windows whose words also start a window of a document with a smaller id."""
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, limit: int = GROUP_LIMIT, often: int = COMMON, hash_bits: int = 64) -> DataFrame:
+    """(doc_id, text_key, ranges): for each document with repeats, its maximal repeats, as first words and the
+    words after the last ones in turn. They are made up of the windows whose words also start a window of a
+    document with a smaller id. ``hash_bits`` is how much of the hashes is used; it changes no result."""
     named = docs.filter("doc_id is not null")
-    anchors = named.select("doc_id", "text").mapInArrow(common.trimmed(_anchor_batches(window, anchor)), "anchor long, doc_id long")
-    shared = _shared_filter(anchors, bits, often)
-    extended = named.select("doc_id", common.text_key().alias("text_key"), "text").mapInArrow(common.trimmed(_extension_batches(shared, bits, window, anchor)), _EXTENDED)
+    anchors = named.select("doc_id", "text").mapInArrow(common.trimmed(_anchor_batches(window, anchor, hash_bits)), "anchor long, doc_id long")
+    shared, most, bits = _shared_filter(anchors, often)
+    extend = _extension_batches(shared, most, bits, window, anchor, hash_bits)
+    extended = named.select("doc_id", common.text_key().alias("text_key"), "text").mapInArrow(common.trimmed(extend), _EXTENDED)
     sorted_by = extended.repartition("anchor").sortWithinPartitions("anchor")
-    found = cut(sorted_by.mapInArrow(common.trimmed(_matcher(limit)), "doc_id long, text_key long, first long, last long, window long"))
-    spans = found.filter("window is null").drop("window")
-    large = found.filter("window is not null")
+    found = cut(sorted_by.mapInArrow(common.trimmed(_matcher(window, limit, hash_bits)), "doc_id long, text_key long, first long, last long, words binary, places array<long>"))
+    spans = found.filter("words is null").select("doc_id", "text_key", "first", "last")
+    large = found.filter("words is not null").select("doc_id", "text_key", "words", "places")
     if not large.isEmpty():
-        least = large.groupBy("window").agg(F.min("doc_id").alias("least"))
-        spans = spans.unionByName(join_spread(large, least, ["window"], "doc_id").filter("doc_id > least").select("doc_id", "text_key", "first", "last"))
-    return spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+        least = large.groupBy("words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("words", "least")
+        again = join_spread(large, least, ["words"], "doc_id", how="inner").filter("doc_id > least")
+        spans = spans.unionByName(again.select("doc_id", "text_key", F.explode("places").alias("first")).withColumn("last", F.col("first")))
+    lists = spans.groupBy("doc_id", "text_key").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+    return lists.mapInArrow(common.trimmed(_merged(window)), "doc_id long, text_key long, ranges array<int>")
+
+
+def _merged(window: int):
+    """Puts the spans of a document that overlap or touch together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, last = (batch.column(c).flatten().to_numpy() for c in ("first", "last"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("first").offsets.to_numpy()))
+            apart = int(last.max(initial=0)) + window + 1  # rows can't meet with this between them
+            order = np.lexsort((first, row))
+            begin, end = (first + row * apart)[order], (last + window + row * apart)[order]
+            upto = np.maximum.accumulate(end) if len(end) else end
+            new = np.flatnonzero(np.concatenate(([True], begin[1:] > upto[:-1]))) if len(end) else end
+            stop = upto[np.append(new[1:], len(upto)) - 1] if len(end) else end
+            of = row[order][new]
+            both = np.column_stack((begin[new], stop)) - (of * apart)[:, None]
+            bounds = np.concatenate(([0], np.cumsum(2 * np.bincount(of, minlength=batch.num_rows))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(both.ravel(), pa.int32()))], ["doc_id", "text_key", "ranges"])
+
+    return run
+
+
+def _kept(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kept words of each document joined by one space: bytes and n + 1 bounds."""
+    word = np.flatnonzero(keep)
+    upto = np.concatenate(([0], np.cumsum(keep)))[first]  # kept words before each document
+    size = ends[word] - starts[word] + 1
+    joined, bounds = _gather(np.append(data, np.uint8(32)), starts[word], starts[word] + size)
+    joined[bounds[1:] - 1] = 32
+    stay = np.ones(len(joined), bool)
+    stay[bounds[upto[1:][np.diff(upto) > 0]] - 1] = False  # no space after a document's last word
+    return joined[stay], bounds[upto] - np.concatenate(([0], np.cumsum(np.diff(upto) > 0)))
+
 
+def _cutter():
+    names = ["doc_id", "text_key", "n_words", "n_removed", "kept_text"]
 
-def _cutter(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = common.buffers(batch.column("text"))
-            spans = batch.column("spans")
-            total, removed, texts = [], [], []
             for i, j in common.runs_of_documents(offsets):
                 part, local = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends, first = common.word_bounds(part, local)
-                raw = part.tobytes()
-                for d in range(j - i):
-                    a, b = int(first[d]), int(first[d + 1])
-                    found = spans[i + d].as_py()
-                    gone = np.zeros(b - a + 1, np.int64)
-                    for s in found or ():
-                        gone[s["first"]] += 1
-                        gone[s["last"] + window] -= 1
-                    keep = np.flatnonzero(gone[:-1].cumsum() == 0) + a if found else range(a, b)
-                    total.append(b - a)
-                    removed.append(b - a - len(keep))
-                    texts.append(b" ".join([raw[starts[w] : ends[w]] for w in keep]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.large_string()).cast(pa.string())], ["doc_id", "text_key", "n_words", "n_removed", "kept_text"])
+                ranges = batch.column("ranges").slice(i, j - i)
+                size = np.diff(ranges.offsets.to_numpy()) // 2
+                size[np.asarray(ranges.is_null())] = 0
+                both = ranges.flatten().to_numpy().reshape(-1, 2) + np.repeat(first[:-1], size)[:, None]
+                gone = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(gone, both[:, 0], 1)
+                np.add.at(gone, both[:, 1], -1)
+                keep = gone[:-1].cumsum() == 0
+                joined, bounds = _kept(part, starts, ends, first, keep)
+                texts = pa.Array.from_buffers(pa.string(), j - i, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(joined)])
+                total = np.diff(first)
+                left = np.diff(np.concatenate(([0], np.cumsum(keep)))[first])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), pa.array(total), pa.array(total - left), texts], names)
 
     return run
 
@@ -285,15 +397,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     id are not repeats of each other; a row without an id neither loses words nor makes others lose them.
     Null and empty texts have no words. An empty table gives an empty result; other columns are ignored.
 
-    Shuffled are two numbers for each winnowed anchor (about a fifth of the words) and the extensions of the
-    shared ones. Spans go to the texts by broadcast where they are few and by a shuffled join otherwise.
+    Shuffled are two numbers for each winnowed anchor (about a fifth of the words) and the words around the
+    shared ones. The ranges to cut go to the texts by broadcast where they are few, in rows and bytes, and by a
+    shuffled join otherwise.
     """
     common.small_text_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spans = cut(repeated_spans(docs, window, anchor))
     keyed = docs.withColumn("text_key", common.text_key())
-    joined = keyed.join(broadcast_if_small(spans), ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "spans")
-    return joined.mapInArrow(common.trimmed(_cutter(window)), "doc_id long, text_key long, n_words long, n_removed long, kept_text string")
+    joined = keyed.join(broadcast_if_small(spans), ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "ranges")
+    return joined.mapInArrow(common.trimmed(_cutter()), "doc_id long, text_key long, n_words long, n_removed long, kept_text string")
 
 
 def digest(texts: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Texts are cut into pieces at which the tokenizer never merges. The counts of frequent pieces are in one
 table that is broadcast; a piece that isn't there is encoded once per worker and remembered. No piece of
-a text is shuffled: to find the frequent ones, each task sends a summary of bounded size.
+a text is shuffled: which ones are frequent is guessed from a bounded sample of texts, and whatever the table
+lacks is only slower, never wrong.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from pyspark.sql.types import StringType
 
 from kinlight.llm import common
 
-#: Entries of the broadcast table, and of the summary that each task sends.
+#: Entries of the broadcast table.
 FREQUENT = 1 << 15
-#: Distinct pieces that a task counts before it halves its summary, and that a worker remembers.
-SUMMARY_LIMIT = 1 << 17
-CACHE_LIMIT = 1 << 18
+#: The sample that the table is made from: texts, and distinct pieces of a text, of at most so many characters.
+SAMPLE_TEXTS, SAMPLE_PIECES, SAMPLE_LENGTH = 2048, 256, 32
+#: Pieces that a worker remembers, of at most so many characters.
+CACHE_LIMIT, CACHE_LENGTH = 1 << 18, 256
 OVER_LIMIT = 512
 
 #: White space as the Unicode property has it, which the tokenizer's pattern uses.
@@ -48,24 +50,21 @@ def special_strings(tokenizer) -> list[str]:
     return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The frequent pieces of a partition with lower bounds of their counts (a Misra-Gries summary)."""
-    counts: Counter[str] = Counter()
+def _text_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The commonest pieces of each text with their counts."""
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            if text:
-                counts.update(PIECES.findall(text))
-                if len(counts) > SUMMARY_LIMIT:
-                    floor = sorted(counts.values(), reverse=True)[SUMMARY_LIMIT // 2]
-                    counts = Counter({k: n - floor for k, n in counts.items() if n > floor})
-    top = counts.most_common(FREQUENT)
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
+            top = Counter(p for p in PIECES.findall(text or "") if len(p) <= SAMPLE_LENGTH).most_common(SAMPLE_PIECES)
+            yield pa.RecordBatch.from_arrays([pa.array([[k for k, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], ["pieces", "counts"])
 
 
-def frequent_pieces(docs: DataFrame, most: int = FREQUENT) -> list[str]:
-    """At most ``most`` frequent pieces over all texts. They only make counting faster."""
-    found = docs.select("text").mapInArrow(common.trimmed(_summaries), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece for r in found.orderBy(F.desc("n"), "piece").limit(most).collect()]
+def frequent_pieces(docs: DataFrame, most: int = FREQUENT, sample: int = SAMPLE_TEXTS) -> list[str]:
+    """At most ``most`` frequent pieces of ``sample`` texts. They only make counting faster, so it doesn't matter
+    which texts: the first partitions are read until there are enough, and nothing is shuffled."""
+    counts: Counter[str] = Counter()
+    for row in docs.select("text").mapInArrow(common.trimmed(_text_pieces), "pieces array<string>, counts array<long>").take(sample):
+        counts.update(dict(zip(row.pieces, row.counts, strict=True)))
+    return [p for p, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]]
 
 
 class Lengths(dict):
@@ -82,6 +81,16 @@ class Lengths(dict):
         new = [p for p in pieces if p not in self]
         self.update(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
 
+    def total(self, pieces: list[str]) -> int:
+        """The tokens of a text's pieces; long ones that are new are counted and not remembered."""
+        try:
+            return sum(map(self.__getitem__, pieces))
+        except KeyError:
+            long = [p for p in pieces if len(p) > CACHE_LENGTH]
+            self.learn({p for p in pieces if len(p) <= CACHE_LENGTH})
+            tokens = sum(map(len, self.tokenizer.encode_batch_fast(long, add_special_tokens=False)))
+            return tokens + sum(self[p] for p in pieces if len(p) <= CACHE_LENGTH)
+
 
 def _counter(path: str, frequent: list[str], lengths: bytes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,12 +105,7 @@ def _counter(path: str, frequent: list[str], lengths: bytes) -> Callable:
                 elif any(s in text for s in special):
                     out.append(len(tokenizer.encode(text, add_special_tokens=False)))
                 else:
-                    pieces = PIECES.findall(text)
-                    try:
-                        out.append(sum(map(known.__getitem__, pieces)))
-                    except KeyError:
-                        known.learn(set(pieces))
-                        out.append(sum(map(known.__getitem__, pieces)))
+                    out.append(known.total(PIECES.findall(text)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(out, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
@@ -113,8 +117,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = OVER_LIMIT,
     Counts are those of the tokenizer's library for the whole text without added special tokens; a text
     that holds a special string is given to the library whole. Null and empty texts have no bytes and no
     tokens. Repeated rows come out as often as they came in; null ids stay null; other columns are
-    ignored. An empty table gives an empty result. Memory: the broadcast table (``FREQUENT`` pieces), a
-    cache of ``CACHE_LIMIT`` pieces a worker, and one Arrow batch.
+    ignored. An empty table gives an empty result. Memory: the broadcast table (``FREQUENT`` pieces, made from
+    ``SAMPLE_TEXTS`` texts at most), a cache of ``CACHE_LIMIT`` pieces a worker, and one Arrow batch.
     """
     common.small_text_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast(StringType()).alias("text"))

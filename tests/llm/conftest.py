@@ -9,6 +9,6 @@ def docs_of(spark):
     def make(rows):
         rows = [r if isinstance(r, tuple) else (i, r) for i, r in enumerate(rows)]
         df = spark.createDataFrame(rows, "doc_id long, text string")
-        return df.withColumns({"lang": F.lit("en"), "n": F.lit(1), "kept": F.lit("x"), "text_key": F.lit("y"), "fp": F.lit(0)})
+        return df.withColumns({"lang": F.lit("en"), "n": F.lit(1), "kept": F.lit("x"), "text_key": F.lit("y"), "fp": F.lit(0), "_score": F.lit(2), "_digest": F.lit("d"), "_KEY_ID": F.lit(1), "_key_digest": F.lit(1), "_leak": F.lit(0), "shards": F.lit(1)})
 
     return make

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kinlight.llm import common, exact_dedup, simhash, substring_dedup
 
@@ -78,6 +79,17 @@ def test_exact_keeps_one_row_each(docs_of):
     assert sorted(norm(r.text) for r in left.collect()) == sorted(groups(rows))
 
 
+def test_rows_without_ids_are_compared(docs_of, spark):
+    """Rows without an id that share a fingerprint, but not a text, are told apart, as all others."""
+    docs = docs_of([(None, "aa"), (None, "ab"), (None, "aa"), (4, "ab"), (None, "ac"), (None, "ac")])
+    rows = docs.select("doc_id", "text")
+    members = rows.distinct().select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.lit(2).cast("long").alias("n_bytes"), F.lit(1).cast("long").alias("fingerprint"), F.lit(4).cast("long").alias("keep_id"))
+    checked = exact_dedup._verified(rows, members).collect()
+    assert sorted((r.doc_id is None, r.equal) for r in checked) == [(False, True), (True, False), (True, False), (True, True)]
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert sorted((r.group_size, r.keep_id is None, r.kept) for r in got) == [(2, False, False), (2, False, True), (2, True, False), (2, True, False), (2, True, True), (2, True, True)]
+
+
 def test_exact_when_fingerprints_collide(docs_of, monkeypatch, spark):
     from pyspark.sql import functions as F
 
@@ -217,19 +229,35 @@ def passages(seed, n=40):
     return rows + [(7, "same id"), (None, rows[0][1]), (n, None), (n + 1, ""), (n + 2, "the " * 60), (n + 3, rows[1][1])]
 
 
-@pytest.mark.parametrize(("seed", "limit", "bits", "frequent"), [(1, 1 << 20, 1 << 26, 10_000), (2, 5, 1 << 26, 10_000), (3, 1 << 20, 64, 10_000), (4, 1 << 20, 1 << 26, 3), (5, 5, 64, 3)])
-def test_removal_matches_brute_force(docs_of, monkeypatch, seed, limit, bits, frequent):
+@pytest.mark.parametrize(("seed", "limit", "most_bits", "frequent", "hash_bits"), [(1, 1 << 18, 1 << 26, 10_000, 64), (2, 5, 1 << 26, 10_000, 64), (3, 1 << 18, 64, 10_000, 64), (4, 1 << 18, 1 << 26, 3, 64), (5, 5, 64, 3, 64), (6, 1 << 18, 1 << 26, 10_000, 3), (7, 300, 1 << 26, 10_000, 1), (8, 1 << 18, 1 << 26, 3, 2)])
+def test_removal_matches_brute_force(docs_of, monkeypatch, seed, limit, most_bits, frequent, hash_bits):
+    """With few bits of the hashes, most windows under one hash differ: nothing may be cut for that."""
     real = substring_dedup.repeated_spans
-    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda docs, window, anchor: real(docs, window, anchor, bits, limit, frequent))
+    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda docs, window, anchor: real(docs, window, anchor, limit, frequent, hash_bits))
+    monkeypatch.setattr(substring_dedup, "MOST_FILTER_BITS", most_bits)
     rows = passages(seed)
     got = substring_dedup.remove_repeats(docs_of(rows)).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed, r.kept_text) for r in got) == plain_removal(rows)
 
 
+def test_windows_of_equal_hashes_and_other_words_stay():
+    texts = [" ".join(f"{c}{i}" for i in range(13)) for c in "abcab"] + ["short", ""]
+    data, offsets = arrays(texts)
+    begin, end = offsets[:5], offsets[1:6]
+    one = np.zeros(5, np.uint64)
+    found = substring_dedup._repeated(np.zeros(5, np.int64), np.array([3, 1, 9, 7, 1]), data, begin, end, one)
+    assert sorted(found.tolist()) == [3]
+
+
 def test_removal_over_slices(docs_of, monkeypatch):
     rows = passages(4, 12)
     data, offsets = arrays([t or "" for _, t in rows])
-    whole = substring_dedup.anchored_windows(data, offsets, 13, 5)
-    parts = [substring_dedup.anchored_windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 13, 5) for i, j in common.runs_of_documents(offsets, 300)]
-    for k in range(1, 5):
+
+    def relative(d, o):
+        (of, word, least, place), (_, _, first) = substring_dedup.anchored_windows(d, o, 13, 5)
+        return word - first[of], least, place - first[of]
+
+    whole = relative(data, offsets)
+    parts = [relative(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in common.runs_of_documents(offsets, 300)]
+    for k in range(3):
         assert np.concatenate([p[k] for p in parts]).tolist() == whole[k].tolist()
