@@ -162,6 +162,13 @@ def percentage(share: Column) -> Column:
     return F.format_string("%.0f%%", share * 100)
 
 
+def uuid7(at: Column | None = None) -> Column:
+    """A new UUID of version 7: milliseconds of ``at`` (now, if None), then random bits."""
+    ms = F.lower(F.lpad(F.hex(F.unix_millis(F.current_timestamp() if at is None else at)), 12, "0"))
+    rest = F.expr("uuid()")
+    return F.concat(F.substring(ms, 1, 8), F.lit("-"), F.substring(ms, 9, 4), F.lit("-7"), F.substring(rest, 16, 21))
+
+
 def initial(name: Column | str) -> Column:
     """The first letter in upper case."""
     return F.upper(F.substring(_col(name), 1, 1))

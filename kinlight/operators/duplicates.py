@@ -61,25 +61,26 @@ def duplicate_people(centroids: DataFrame, details: DataFrame, least: float = PE
     return ranked.select("set_id", "person_id", "closest", "photos", "faces", "rank", "size")
 
 
-def _chunks(gradient: Column, brightness: Column, chunks: int) -> Column:
-    """The 128 bits in ``chunks`` runs of nearly equal width, each with its number in the high bits."""
+def _chunks(gradient: Column, brightness: Column, chunks: int, flips: int) -> Column:
+    """The 128 bits in ``chunks`` runs of nearly equal width of at most 56 bits, each with its number in the high
+    bits; with ``flips`` of 1, each also with any one of its bits changed."""
     edges = [round(i * 128 / chunks) for i in range(chunks + 1)]
-
-    def piece(lo: int, hi: int, i: int) -> Column:
-        parts = []
+    keys = []
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        key = F.lit(i << 56).cast("bigint")
         for word, base in ((gradient, 0), (brightness, 64)):
             a, b = max(lo, base) - base, min(hi, base + 64) - base
             if a < b:
-                mask = (1 << (b - a)) - 1
-                part = F.shiftrightunsigned(word, a)
-                parts.append(part if mask >> 63 else part.bitwiseAND(F.lit(mask)))
-        return F.struct(F.lit(i).alias("chunk"), *[p.alias(f"p{n}") for n, p in enumerate([*parts, F.lit(0).cast("bigint")][:2])])
-
-    return F.array(*[piece(a, b, i) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+                part = F.shiftrightunsigned(word, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+                key = key.bitwiseOR(F.shiftleft(part, max(0, base - lo)))
+        keys += [key] + [key.bitwiseXOR(F.lit(1 << bit)) for bit in range(hi - lo)] * flips
+    return F.array(*keys)
 
 
 #: Chunks narrower than this many bits meet too often; then blocks of hashes are compared as arrays.
 LEAST_CHUNK_BITS = 8
+#: Chunks of this many bits tell hashes apart well.
+WIDE = 16
 BLOCK = 4096
 
 
@@ -110,15 +111,20 @@ def _pairs_by_blocks(rows: DataFrame, bits: int, block: int) -> DataFrame:
 def hash_pairs(hashes: DataFrame, bits: int = ALIKE_BITS, id_col: str = "photo_id") -> DataFrame:
     """All pairs a < b of 128-bit hashes (gradient, brightness) at most ``bits`` apart: (a, b, distance).
 
-    Of ``bits + 1`` chunks of the hash one at least is equal in such a pair (pigeonhole), so pairs meet in an
-    equality join on chunks and are verified. The wider the radius, the shorter the chunks and the more
-    candidates: from 16 bits on, blocks of hashes are compared as arrays instead. Both are exact."""
+    Of c chunks of the hash, one at least differs in ``bits // c`` bits or fewer (pigeonhole). Pairs meet in an
+    equality join on chunks and are verified. With ``bits + 1`` chunks one is equal; where those would be narrower
+    than ``WIDE`` bits, half as many chunks, one of which differs in one bit at most, are joined with all their
+    one-bit changes: twice the width for as many keys more. From 32 bits on, blocks of hashes are compared as
+    arrays instead. All are exact."""
     rows = hashes.select(F.col(id_col).cast("long").alias("id"), "gradient", "brightness").filter("gradient is not null and brightness is not null")
-    if 128 // (bits + 1) < LEAST_CHUNK_BITS:
+    chunks, flips = max(3, bits + 1), 0
+    if 128 // chunks < WIDE:
+        chunks, flips = max(3, bits // 2 + 1), 1
+    if 128 // chunks < LEAST_CHUNK_BITS:
         return _pairs_by_blocks(rows, bits, BLOCK)
-    cut_up = rows.select("id", "gradient", "brightness", F.explode(_chunks(F.col("gradient"), F.col("brightness"), bits + 1)).alias("key"))
-    left = cut_up.select("key", *[F.col(c).alias(f"l_{c}") for c in ("id", "gradient", "brightness")])
-    right = cut_up.select("key", *[F.col(c).alias(f"r_{c}") for c in ("id", "gradient", "brightness")])
+    words = (F.col("gradient"), F.col("brightness"))
+    left = rows.select(F.explode(_chunks(*words, chunks, flips)).alias("key"), *[F.col(c).alias(f"l_{c}") for c in ("id", "gradient", "brightness")])
+    right = rows.select(F.explode(_chunks(*words, chunks, 0)).alias("key"), *[F.col(c).alias(f"r_{c}") for c in ("id", "gradient", "brightness")])
     distance = hamming(F.col("l_gradient"), F.col("l_brightness"), F.col("r_gradient"), F.col("r_brightness"))
     met = left.join(right, "key").filter("l_id < r_id").withColumn("distance", distance).filter(F.col("distance") <= bits)
     return met.groupBy(F.col("l_id").alias("a"), F.col("r_id").alias("b")).agg(F.min("distance").alias("distance"))

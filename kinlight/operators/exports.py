@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinlight.functions.text import extension, file_name, fold_case, folder_name, inside, stem
+from kinlight.operators.maintenance import delete_photos
 from kinlight.plans.lineage import cut
+from kinlight.plans.numbering import free_numbers, numbered_in_groups
 
 
 def inside_any(roots: DataFrame, folder: str) -> bool:
@@ -20,32 +22,29 @@ def inside_any(roots: DataFrame, folder: str) -> bool:
     return not roots.filter(inside(F.lit(folder), F.col("path"))).isEmpty()
 
 
-def unique_destinations(plan: DataFrame, order: list[Column | str], existing: DataFrame | None = None, rounds: int = 20) -> DataFrame:
+def unique_destinations(plan: DataFrame, order: list[Column | str], existing: DataFrame | None = None) -> DataFrame:
     """Give each row of ``plan(folder, name)`` a path of its own, ignoring case: the first in ``order`` keeps
-    its name, later ones get `` (2)``, `` (3)`` and so on before the extension.
+    its name, later ones get `` (2)``, `` (3)`` and so on before the extension, however many there are.
 
-    Made-up names can meet real ones, so numbers go up until nothing meets: per round, of the rows that want
-    one path the first keeps it and the others count on. ``existing(path)`` is taken from the start."""
-    base = F.concat_ws("/", "folder", "name")
+    ``existing(path)`` is taken from the start, and so is every name that the plan itself asks for: a made-up name
+    gives way to a real one. So the rows that ask for one name get its free numbers in turn, all at once."""
     ext = F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    numbered = F.concat(F.col("folder"), F.lit("/"), stem("name"), F.lit(" ("), F.col("_k").cast("string"), F.lit(")"), ext)
-    wanted = F.when(F.col("_k") == 1, base).otherwise(numbered)
-    same = Window.partitionBy(fold_case(base))
-    rows = cut(plan.withColumn("_k", F.row_number().over(same.orderBy(*order))))
-    taken = None if existing is None else existing.select(fold_case("path").alias("_path")).distinct()
-    for _ in range(rounds):
-        tried = rows.withColumn("dst_path", wanted).withColumn("_path", fold_case("dst_path"))
-        tried = tried.withColumn("_nth", F.row_number().over(Window.partitionBy("_path").orderBy("_k", *order)))
-        if taken is not None:
-            tried = tried.join(taken.withColumn("_there", F.lit(True)), "_path", "left")
-        else:
-            tried = tried.withColumn("_there", F.lit(None).cast("boolean"))
-        bad = (F.col("_nth") > 1) | F.col("_there").isNotNull()
-        tried = cut(tried.withColumn("_bad", bad))
-        if tried.filter("_bad").isEmpty():
-            return tried.drop("_path", "_nth", "_there", "_bad", "_k")
-        rows = tried.withColumn("_k", F.col("_k") + F.col("_bad").cast("int")).drop("dst_path", "_path", "_nth", "_there", "_bad")
-    raise RuntimeError("destinations did not become unique")
+    base = F.concat_ws("/", "folder", "name")
+    rows = plan.withColumn("_base", fold_case(base))
+    ranked = cut(numbered_in_groups(rows, "_base", order))
+    there = ranked.select(F.col("_base").alias("_path"), F.lit(False).alias("_real")).distinct()
+    if existing is not None:
+        there = there.unionByName(existing.select(fold_case("path").alias("_path"), F.lit(True).alias("_real")))
+    # a taken path blocks number 1 of its own name if it exists, and number n of the name before " (n)"
+    suffix = r"^(.*) \((\d{1,9})\)((?:\.[^./]*)?)$"
+    name = F.concat(F.regexp_extract("_path", suffix, 1), F.regexp_extract("_path", suffix, 3))
+    number = F.expr("try_cast(regexp_extract(_path, '^.* [(]([1-9][0-9]{0,8})[)]([.][^./]*)?$', 1) as bigint)")
+    blocked = there.filter("_real").select(F.col("_path").alias("_base"), F.lit(1).cast("long").alias("number"))
+    blocked = blocked.unionByName(there.select(name.alias("_base"), number.alias("number")).filter("number > 1"))
+    asked = ranked.select("_base").distinct()
+    numbers = free_numbers(ranked, blocked.join(asked, "_base", "left_semi"), "_base")
+    made_up = F.concat(F.col("folder"), F.lit("/"), stem("name"), F.lit(" ("), F.col("number").cast("string"), F.lit(")"), ext)
+    return numbers.withColumn("dst_path", F.when(F.col("number") == 1, base).otherwise(made_up)).drop("_base", "nth", "number")
 
 
 def plan_export(appear: DataFrame, photos: DataFrame, persons: DataFrame, root: str, move: bool, people: list[int] | None = None) -> DataFrame:
@@ -75,6 +74,22 @@ def plan_quarantine(members: DataFrame, photos: DataFrame, folder: str, existing
     return unique_destinations(rows, [F.col("photo_id")], existing).select("photo_id", "src_path", "dst_path", "bytes")
 
 
+def checked(plan: DataFrame, roots: DataFrame, folder: str, free: int | None = None) -> tuple[DataFrame | None, str]:
+    """A plan that may run, or None, and why: ``inside_root`` if the target folder is a scan root or in one,
+    ``nothing`` if the plan is empty, ``no_space`` if its bytes exceed ``free`` (None: unknown, which is enough),
+    else ``ok``."""
+    if inside_any(roots, folder):
+        return None, "inside_root"
+    need = plan_bytes(plan, free).first()
+    return (None, "nothing") if not need.ops else (None, "no_space") if not need.fits else (plan, "ok")
+
+
+def forget_moved(store: dict[str, DataFrame], outcome: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the photos that were moved away, given ``outcome(id, status)``, and all that hangs on
+    them; photos that failed or were skipped stay."""
+    return delete_photos(store, outcome.filter("status = 1").select("id"))
+
+
 def plan_undo(ops: DataFrame, files: DataFrame) -> DataFrame:
     """What undoing a move does to each done operation, given ``files(path)`` that exist: (id, from_path,
     to_path, outcome), blocked where the original's place is taken or the moved file is gone."""

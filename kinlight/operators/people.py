@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from kinlight.functions.text import fold_case, natural_key, valid_name
 from kinlight.functions.vectors import dot
 from kinlight.operators.vectors import unit_mean
-from kinlight.plans.numbering import numbered
+from kinlight.plans.numbering import free_numbers, numbered
+from kinlight.sources.sinks import upsert
 
 SINGLE_TILES = 60
 
@@ -144,22 +145,26 @@ def ignore_cluster(faces: DataFrame, ignored: DataFrame, cluster: int) -> tuple[
     return faces.withColumn("cluster_id", F.when(here, F.lit(None)).otherwise(F.col("cluster_id"))), ignored.select("face_id").union(listed).distinct()
 
 
+def restore_ignored(ignored: DataFrame) -> tuple[DataFrame, int]:
+    """The ignored list without its faces, and how many there were; the next grouping sees them again."""
+    return ignored.limit(0), ignored.select("face_id").distinct().count()
+
+
+def save_person(persons: DataFrame, person: DataFrame) -> DataFrame:
+    """Insert or update people by id; columns that ``person`` lacks are null."""
+    return upsert(persons, person.unionByName(persons.limit(0), allowMissingColumns=True).select(*persons.columns), ["person_id"])
+
+
 def auto_names(clusters: DataFrame, taken: DataFrame, prefix: str = "Person ") -> DataFrame:
     """Placeholder names for unnamed ``clusters(cluster_id, size)`` in order of size, numbered from 1 and
-    skipping numbers whose name ``taken(display_name)`` has: (cluster_id, display_name).
-
-    The i-th cluster gets the i-th free number, which is i plus the taken numbers at or below it: taken
-    numbers are few, so each cluster looks its number up among them."""
+    skipping numbers whose name ``taken(display_name)`` has: (cluster_id, display_name). The i-th cluster gets the
+    i-th free number."""
+    group = F.lit("")
     ranked, _ = numbered(clusters.select("cluster_id", "size"), [F.desc("size"), F.asc("cluster_id")])
-    places = ranked.select("cluster_id", (F.col("row_no") + 1).alias("i"))
+    places = ranked.select(group.alias("_all"), "cluster_id", (F.col("row_no") + 1).alias("nth"))
     number = F.expr(f"try_cast(substring(display_name, {len(prefix) + 1}) as bigint)")
-    used = taken.filter(fold_case("display_name").startswith(fold_case(F.lit(prefix)))).select(number.alias("t")).filter("t > 0").distinct()
-    # the j-th taken number t (from 0) leaves t - 1 - j free numbers below it
-    gaps = used.withColumn("free_below", F.col("t") - F.row_number().over(Window.orderBy("t")))
-    steps = gaps.agg(F.sort_array(F.collect_list("free_below")).alias("steps"))
-    skipped = F.size(F.filter("steps", lambda s: s < F.col("i")))
-    named = places.crossJoin(F.broadcast(steps)).withColumn("n", F.col("i") + skipped)
-    return named.select("cluster_id", F.concat(F.lit(prefix), F.col("n").cast("string")).alias("display_name"))
+    used = taken.filter(fold_case("display_name").startswith(fold_case(F.lit(prefix)))).select(group.alias("_all"), number.alias("number"))
+    return free_numbers(places, used, "_all").select("cluster_id", F.concat(F.lit(prefix), F.col("number").cast("string")).alias("display_name"))
 
 
 def repair_clusters(clusters: DataFrame, members: DataFrame, medoids: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def search(photos: DataFrame, faces: DataFrame, persons: DataFrame, people: list
     total = matched.agg(F.count("*").alias("total"))
     top = matched.orderBy(*newest).limit(limit)
     named = top.select("photo_id").join(appear, "photo_id").join(persons.select("person_id", "display_name"), "person_id")
-    names = named.groupBy("photo_id").agg(F.array_join(F.sort_array(F.collect_set("display_name")), ", ").alias("names"))
+    names = named.groupBy("photo_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct(fold_case("display_name").alias("k"), "display_name"))), lambda p: p["display_name"]), ", ").alias("names"))
     from pyspark.sql import Window
 
     placed = top.withColumn("position", F.row_number().over(Window.orderBy(*newest)))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlight.functions import text as T
 from kinlight.operators import duplicates, lookups, maintenance, people, search
+from kinlight.plans.numbering import numbered
 from kinlight.plans.registry import query, with_views
 from kinlight.sources import tables
 from kinlight.streaming import incremental
@@ -203,12 +204,6 @@ def face_counts(spark, d):
     return tables.faces(spark, d).groupBy("detector_id").agg(F.count("*").alias("faces"), F.sum(F.col("active").cast("long")).alias("active_faces"))
 
 
-@query("SELECT coalesce(max(p_size), 0) AS version FROM part WHERE p_size > 1000")
-def schema_version(spark, d):
-    versions = tables.raw(spark, d, "part").filter("p_size > 1000").select(F.col("p_size").alias("version"))
-    return maintenance.version_of(versions)
-
-
 @query(f"""{with_views("faces", "persons", "appear")}, counts AS (SELECT person_id, count(*) AS faces FROM faces WHERE active GROUP BY person_id),
     photos_of AS (SELECT person_id, count(*) AS photos FROM appear GROUP BY person_id)
     SELECT p.person_id, display_name, coalesce(faces, 0) AS faces, coalesce(photos, 0) AS photos
@@ -236,14 +231,8 @@ def people_header(spark, d):
     return t.select(*[F.col(c).cast("long").alias(c) for c in t.columns])
 
 
-@query(f"""{_CLUSTERS} SELECT cluster_id, size FROM clusters ORDER BY size DESC, cluster_id LIMIT 60""")
-def clusters_by_size(spark, d):
-    """The first 60; :func:`clusters_by_size_all` is the whole list."""
-    return clusters_by_size_all(spark, d).limit(60)
-
-
 @query(f"""{_CLUSTERS} SELECT cluster_id, size FROM clusters ORDER BY size DESC, cluster_id""")
-def clusters_by_size_all(spark, d):
+def clusters_by_size(spark, d):
     return _clusters(spark, d).select("cluster_id", "size").orderBy(F.desc("size"), "cluster_id")
 
 
@@ -258,8 +247,8 @@ def auto_name_groups(spark, d):
 
 @query(f"""{with_views("persons")} SELECT person_id, display_name, row_number() OVER (ORDER BY CAST(regexp_extract(display_name, '\\d+') AS BIGINT), length(display_name), display_name) AS position FROM persons""")
 def natural_sort(spark, d):
-    order = Window.orderBy(*T.natural_key("display_name"))
-    return tables.persons(spark, d).withColumn("position", F.row_number().over(order).cast("long"))
+    placed, _ = numbered(tables.persons(spark, d), T.natural_key("display_name"))
+    return placed.select("person_id", "display_name", (F.col("row_no") + 1).alias("position"))
 
 
 @query(f"""{with_views("faces", "persons", "appear")}, counted AS (SELECT p.person_id, display_name, count(photo_id) AS photos FROM persons p LEFT JOIN appear a ON p.person_id = a.person_id GROUP BY p.person_id, display_name)
@@ -267,8 +256,11 @@ def natural_sort(spark, d):
     row_number() OVER (ORDER BY display_name) AS az, row_number() OVER (ORDER BY display_name DESC) AS za FROM counted""")
 def sort_modes(spark, d):
     p = people.overview(tables.persons(spark, d), tables.faces(spark, d))
-    ranks = [F.row_number().over(Window.orderBy(*people.sort_people(p, m))).cast("long").alias(m) for m in ("most", "fewest", "az", "za")]
-    return p.select("person_id", *ranks)
+    out = p.select("person_id")
+    for mode in ("most", "fewest", "az", "za"):
+        placed, _ = numbered(p, people.sort_people(p, mode))
+        out = out.join(placed.select("person_id", (F.col("row_no") + 1).alias(mode)), "person_id")
+    return out
 
 
 @query(f"""{with_views("photos")} SELECT photo_id, row_number() OVER w AS position, lag(photo_id) OVER w AS previous_id, lead(photo_id) OVER w AS next_id, count(*) OVER () AS total

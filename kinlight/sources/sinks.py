@@ -12,15 +12,26 @@ from pyspark.sql import functions as F
 from kinlight.functions.text import fold_case
 
 
-def upsert(base: DataFrame, change: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``change`` replace those of ``base`` with the same key; others are added."""
-    return base.join(change.select(*keys).distinct(), keys, "left_anti").unionByName(change)
+def last_of(change: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row of ``change`` for each key: the last by ``order``, or without one by all other columns in turn, so
+    that the result depends on the rows alone. Combined map-side; null keys are keys like others."""
+    by = [c for c in [*(order or []), *change.columns] if c not in keys]
+    last = F.max_by(F.struct(*change.columns), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(by or keys)]))
+    return change.groupBy(*[F.col(k).alias(f"_by_{k}") for k in keys]).agg(last.alias("_last")).select("_last.*")
 
 
-def upsert_by_path(base: DataFrame, change: DataFrame) -> DataFrame:
-    """Photos by path, ignoring case: a known path keeps its id and takes all other columns anew."""
+def upsert(base: DataFrame, change: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows of ``change`` replace those of ``base`` with the same key; others are added. Of several changes to a
+    key, the last by ``order`` counts (see :func:`last_of`)."""
+    last = last_of(change, keys, order)
+    return base.join(last.select(*keys), keys, "left_anti").unionByName(last)
+
+
+def upsert_by_path(base: DataFrame, change: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Photos by path, ignoring case: a known path keeps its id and takes all other columns anew. Of several changes
+    to a path, the last by ``order`` counts (see :func:`last_of`)."""
     known = base.select(F.col("id").alias("_known_id"), fold_case("path").alias("_path"))
-    keyed = change.withColumn("_path", fold_case("path")).join(known, "_path", "left")
+    keyed = last_of(change.withColumn("_path", fold_case("path")), ["_path"], order).join(known, "_path", "left")
     new = keyed.withColumn("id", F.coalesce("_known_id", "id")).drop("_known_id")
     kept = base.withColumn("_path", fold_case("path")).join(new.select("_path").distinct(), "_path", "left_anti")
     return kept.unionByName(new).drop("_path")
@@ -61,7 +72,8 @@ def write_partitions(new: DataFrame, path: str, by: list[str]) -> None:
 
 def publish(table: DataFrame, path: str) -> None:
     """Write a table beside ``path``, then swap it in: readers see the old or the new rows, never a part. If
-    the write fails, nothing has changed."""
+    the write fails, nothing has changed. Between two renames there is no table; a crash just there leaves the old
+    rows in ``path.old`` and the new ones in ``path.staged``, from which :func:`recover` goes on."""
     spark: SparkSession = table.sparkSession
     jvm, staged = spark.sparkContext._jvm, f"{path}.staged"
     table.write.mode("overwrite").parquet(staged)
@@ -74,6 +86,19 @@ def publish(table: DataFrame, path: str) -> None:
     store.delete(old, True)
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """Put back a table that a crash of :func:`publish` left without its folder: the new rows if they were written
+    whole, else the old ones. Whether there was something to do."""
+    jvm = spark.sparkContext._jvm
+    target, staged, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.staged", f"{path}.old"))
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(target):
+        return False
+    if store.exists(jvm.org.apache.hadoop.fs.Path(f"{path}.staged/_SUCCESS")):
+        return bool(store.rename(staged, target))
+    return bool(store.exists(old) and store.rename(old, target))
+
+
 def journal_add(ops: DataFrame, planned: DataFrame) -> DataFrame:
     """Planned operations are appended before any of them runs."""
     return ops.unionByName(planned)

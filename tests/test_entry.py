@@ -58,3 +58,7 @@ def test_library_stands_without_training_operators(tmp_path):
     code = "import __spark_entry__ as e, json; print(json.dumps(sorted(e.queries())))"
     out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True)
     assert json.loads(out.stdout) == LIBRARY
+    run = [sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider"]
+    here = {"cwd": copy, "env": os.environ | {"PYTHONPATH": str(copy)}, "capture_output": True, "text": True}
+    assert subprocess.run([*run, "--collect-only", "tests"], **here).returncode == 0
+    assert subprocess.run([*run, "tests/test_functions.py", "tests/test_actions.py", "tests/test_streaming.py"], **here).returncode == 0
