@@ -1,8 +1,8 @@
 """Vector operators: exact nearest neighbours, unit means, medoids, nearest centroids.
 
-The nearest-neighbour self join cuts the vectors into blocks and multiplies blocks pairwise, as matrices. No
-task and no broadcast ever holds all vectors: a task has two blocks, and keeps for each vector of the first the
-best k of the second, which are merged per vector afterwards.
+The nearest-neighbour self join cuts the vectors into blocks and multiplies each pair of blocks once, as matrices.
+No task and no broadcast ever holds all vectors: a task has two blocks, and keeps for each vector of either the
+best k of the other, which are merged per vector afterwards.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinlight.functions.vectors import dot
-from kinlight.plans.lineage import cut
+from kinlight.plans.lineage import BROADCAST_ROWS, cut, is_small, join_spread
 
 #: Defaults of the face graph.
 NEIGHBOURS, SIMILARITY = 20, 0.35
@@ -28,25 +29,34 @@ def _pairs_of_blocks(n_blocks: int) -> Column:
     return F.sequence(F.lit(0), F.lit(n_blocks - 1))
 
 
-def _best(k: int, least: float):
+def _best(a: np.ndarray, src: np.ndarray, b: np.ndarray, dst: np.ndarray, k: int, least: float) -> list[pd.DataFrame]:
+    """The best ``k`` rows of ``b`` for each row of ``a``."""
+    out = []
+    for i in range(0, len(a), 512):
+        sim = a[i : i + 512] @ b.T
+        sim[src[i : i + 512, None] == dst[None, :]] = -np.inf
+        row, col = np.nonzero(sim >= least)
+        value = sim[row, col]
+        order = np.lexsort((dst[col], -value, row))
+        row, col, value = row[order], col[order], value[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = nth < k
+        out.append(pd.DataFrame({"src": src[i : i + 512][row[keep]], "dst": dst[col[keep]], "similarity": value[keep]}))
+    return out
+
+
+def _best_both_ways(k: int, least: float):
+    """The best ``k`` of a pair of blocks, for the rows of either; a block paired with itself comes once."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        itself = pdf["p"].iloc[0] == pdf["q"].iloc[0]
+        sides = [pdf] if itself else [pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]]
         out = []
-        if len(left) and len(right):
-            a, b = np.array(left["vector"].tolist(), float), np.array(right["vector"].tolist(), float)
+        if all(len(x) for x in sides):
+            (a, src), (b, dst) = [(np.array(x["vector"].tolist(), float), x["id"].to_numpy()) for x in (sides[0], sides[-1])]
             if a.ndim != 2 or a.shape[1:] != b.shape[1:]:
                 raise ValueError("vectors differ in dimension")
-            src, dst = left["id"].to_numpy(), right["id"].to_numpy()
-            for i in range(0, len(a), 512):
-                sim = a[i : i + 512] @ b.T
-                sim[src[i : i + 512, None] == dst[None, :]] = -np.inf
-                row, col = np.nonzero(sim >= least)
-                value = sim[row, col]
-                order = np.lexsort((dst[col], -value, row))
-                row, col, value = row[order], col[order], value[order]
-                nth = np.arange(len(row)) - np.searchsorted(row, row)
-                keep = nth < k
-                out.append(pd.DataFrame({"src": src[i : i + 512][row[keep]], "dst": dst[col[keep]], "similarity": value[keep]}))
+            out = _best(a, src, b, dst, k, least) + ([] if itself else _best(b, dst, a, src, k, least))
         return pd.concat(out) if out else pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
 
     return run
@@ -64,9 +74,10 @@ def knn(vectors: DataFrame, k: int = NEIGHBOURS, least: float = SIMILARITY, bloc
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter("id is not null and vector is not null")
     n_blocks = max(1, -(-rows.count() // block))
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-    left = blocked.select(F.col("block").alias("a"), F.explode(_pairs_of_blocks(n_blocks)).alias("b"), "id", "vector", F.lit(0).alias("side"))
-    right = blocked.select(F.explode(_pairs_of_blocks(n_blocks)).alias("a"), F.col("block").alias("b"), "id", "vector", F.lit(1).alias("side"))
-    near = left.unionByName(right).groupBy("a", "b").applyInPandas(_best(k, least), "src long, dst long, similarity double")
+    left = blocked.select(F.col("block").alias("p"), F.explode(F.sequence("block", F.lit(n_blocks - 1))).alias("q"), "id", "vector", F.lit(0).alias("side"))
+    before = F.when(F.col("block") > 0, F.sequence(F.lit(0), F.col("block") - 1))
+    right = blocked.select(F.explode(before).alias("p"), F.col("block").alias("q"), "id", "vector", F.lit(1).alias("side"))
+    near = left.unionByName(right).groupBy("p", "q").applyInPandas(_best_both_ways(k, least), "src long, dst long, similarity double")
     order = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -77,7 +88,11 @@ def similar_pairs(vectors: DataFrame, least: float, id_col: str = "face_id", vec
     keys = [] if within is None else [F.col(within).alias("group")]
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), *(keys or [F.lit(0).alias("group")])).filter("id is not null and vector is not null")
     sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    blocked = rows.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    if within is None:
+        counted = rows.withColumn("blocks", F.lit(max(1, -(-rows.count() // block))))
+    else:
+        counted = join_spread(rows, sizes, ["group"], "id", "inner")
+    blocked = counted.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = blocked.select("group", F.col("block").alias("a"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("b"), "id", "vector", F.lit(0).alias("side"))
     right = blocked.select("group", F.explode(F.sequence(F.lit(0), "block")).alias("a"), F.col("block").alias("b"), "id", "vector", F.lit(1).alias("side"))
 
@@ -124,13 +139,46 @@ def medoid(vectors: DataFrame, key: str, id_col: str = "face_id", vector_col: st
     return scored.groupBy(key).agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("id")).alias("neg"))).alias("m")).select(key, (-F.col("m.neg")).alias("medoid"))
 
 
-def nearest_centroid(items: DataFrame, centroids: DataFrame, least: float = 0.5, id_col: str = "id", vector_col: str = "centroid", name_col: str = "person_id", block: int = BLOCK) -> DataFrame:
+def _nearest_of(names: np.ndarray, centroids: np.ndarray):
+    """The most similar of ``centroids``, the first of equal ones, for each row of a batch (id, vector)."""
+    step = min(1024, max(1, (4 << 20) // len(names)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                rows = np.array(part.column(1).to_pylist(), float)
+                if rows.ndim != 2 or rows.shape[1:] != centroids.shape[1:]:
+                    raise ValueError("vectors differ in dimension")
+                sim = rows @ centroids.T
+                best = sim.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best]), pa.array(sim[np.arange(len(best)), best])], ["id", "name", "similarity"])
+
+    return run
+
+
+def nearest_centroid(items: DataFrame, centroids: DataFrame, least: float = 0.5, id_col: str = "id", vector_col: str = "centroid", name_col: str = "person_id", block: int = BLOCK, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """For each item, the most similar centroid of at least ``least``: (id, name, similarity). Ties go to the
-    smaller name. Items meet blocks of centroids, so neither side is held whole."""
-    known = cut(centroids.filter(F.size(vector_col) > 0).select(F.col(name_col).alias("name"), F.col(vector_col).alias("c")))
+    smaller name. Centroids that are counted and measured to be few are sent to all tasks, and no item is
+    shuffled; more than ``max_rows`` or than a broadcast may hold are met in blocks, so that neither side is held
+    whole. Null and empty vectors are left out."""
+    known = cut(centroids.filter(F.size(vector_col) > 0).select(F.col(name_col).cast("long").alias("name"), F.col(vector_col).alias("c")))
+    rows = items.filter(F.size(vector_col) > 0).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    near = _nearest_by_rows(rows, known) if is_small(known, max_rows) else _nearest_by_blocks(rows, known, block)
+    return near.filter(F.col("similarity") >= least)
+
+
+def _nearest_by_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
+    few = known.orderBy("name").toPandas()
+    if not len(few):
+        return rows.select("id", F.lit(None).cast("long").alias("name"), F.lit(None).cast("double").alias("similarity"))
+    found = _nearest_of(few["name"].to_numpy(), np.array(few["c"].tolist(), float))
+    return rows.mapInArrow(found, "id long, name long, similarity double")
+
+
+def _nearest_by_blocks(rows: DataFrame, known: DataFrame, block: int) -> DataFrame:
     n_blocks = max(1, -(-known.count() // block))
     right = known.withColumn("b", F.pmod(F.xxhash64("name"), F.lit(n_blocks)).cast("int")).select(F.col("name").alias("id"), F.col("c").alias("vector"), "b", F.lit(1).alias("side"), F.lit(None).cast("int").alias("a"))
-    rows = items.filter(F.size(vector_col) > 0).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
     n_parts = max(1, -(-rows.count() // block))
     left = rows.select("id", "vector", F.explode(_pairs_of_blocks(n_blocks)).alias("b"), F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int").alias("a"))
     spread = right.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
@@ -145,7 +193,7 @@ def nearest_centroid(items: DataFrame, centroids: DataFrame, least: float = 0.5,
 
     near = left.unionByName(spread).groupBy("a", "b").applyInPandas(run, "id long, name long, similarity double")
     best = near.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("name")).alias("neg"))).alias("m"))
-    return best.select("id", (-F.col("m.neg")).alias("name"), F.col("m.similarity").alias("similarity")).filter(F.col("similarity") >= least)
+    return best.select("id", (-F.col("m.neg")).alias("name"), F.col("m.similarity").alias("similarity"))
 
 
 def batches_of(vectors: DataFrame, size: int) -> Iterator[DataFrame]:

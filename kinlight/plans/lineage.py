@@ -65,17 +65,19 @@ def _bytes_of(value: Column, kind: DataType) -> Column:
     return F.lit(8).cast("long")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast of a table after counting that it has at most ``max_rows`` rows and ``max_bytes`` bytes.
-
-    The count stops at ``max_rows + 1`` rows. A larger table is returned as it is, so that Spark
-    plans a shuffled join.
-    """
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most ``max_rows`` rows and ``max_bytes`` bytes. The count stops at ``max_rows + 1``."""
     size = F.lit(0).cast("long")
     for field in df.schema.fields:
         size = size + _bytes_of(F.col(f"`{field.name}`"), field.dataType)
     n, held = df.limit(max_rows + 1).select(size.alias("size")).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    return F.broadcast(df) if n <= max_rows and held <= max_bytes else df
+    return n <= max_rows and held <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a table that :func:`is_small`. A larger table is returned as it is, so that Spark plans
+    a shuffled join."""
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 def join_spread(left: DataFrame, table: DataFrame, keys: list[str], salt_by: str, how: str = "left") -> DataFrame:

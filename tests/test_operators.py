@@ -65,6 +65,40 @@ def test_knn_refuses_mixed_lengths(spark):
         vectors.knn(df).collect()
 
 
+def test_nearest_centroid_both_ways(spark):
+    draw = np.random.default_rng(5)
+
+    def unit(n):
+        v = draw.normal(size=(n, 6))
+        return v / np.linalg.norm(v, axis=1)[:, None]
+
+    items, people = unit(130), unit(17)
+    people[9] = people[3]  # a tie: the smaller name wins
+    items[0] = people[3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)] + [(900, None), (901, [])], "id long, centroid array<double>")
+    known = spark.createDataFrame([(i + 50, v.tolist()) for i, v in enumerate(people)] + [(40, []), (41, None)], "person_id long, centroid array<double>")
+    sim = items @ people.T
+    want = {i: (int(row.argmax()) + 50, round(row.max(), 9)) for i, row in enumerate(sim) if row.max() >= 0.3}
+    assert want[0][0] == 53
+    for rows in (1000, 1):  # sent to all tasks, or met in blocks
+        found = vectors.nearest_centroid(df, known, 0.3, block=7, max_rows=rows)
+        assert {r.id: (r.name, round(r.similarity, 9)) for r in found.collect()} == want
+        assert vectors.nearest_centroid(df, known.limit(0), 0.3, max_rows=rows).count() == 0
+        assert vectors.nearest_centroid(df.limit(0), known, 0.3, max_rows=rows).count() == 0
+    plan = vectors.nearest_centroid(df, known, 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_similar_pairs_inside_groups(spark):
+    draw = np.random.default_rng(6)
+    v = draw.normal(size=(90, 5))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    of = [None if i % 30 == 0 else 0 if i < 60 else i % 3 for i in range(90)]
+    df = spark.createDataFrame([(i, g, x.tolist()) for i, (g, x) in enumerate(zip(of, v, strict=True))], "face_id long, label int, vector array<double>")
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if of[i] is not None and of[i] == of[j] and v[i] @ v[j] >= 0.4}
+    assert {(r.a, r.b) for r in vectors.similar_pairs(df, 0.4, within="label", block=16).collect()} == want
+
+
 def test_unit_mean_and_medoid(spark):
     df = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.0, 1.0]), (1, 3, None), (2, 4, [1.0, 0.0]), (2, 5, [-1.0, 0.0]), (3, 6, at(0, 2)), (3, 7, at(10, 2)), (3, 8, at(40, 2))], "k long, face_id long, vector array<double>")
     c = {r.k: r.centroid for r in vectors.unit_mean(df, "k").collect()}
