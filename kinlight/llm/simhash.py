@@ -36,6 +36,8 @@ ALIKE_WORDS = 5
 ALIKE = 0.8
 #: Of pairs at a share of 0.8, bands of 4 minima each miss (1 - 0.8 ** 4) ** 16, or 2 in 10,000.
 BANDS, BAND_ROWS = 16, 4
+#: Shingles of the sets that a task holds while others flow past (8 bytes each).
+HELD_SHINGLES = 1 << 20
 _MINIMA = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS, BAND_ROWS), np.uint64) | np.uint64(1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -227,14 +229,28 @@ def band_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return some, keys
 
 
-def _band_batches(k: int):
+def _class_batches(k: int):
+    """(text_key, fp, name, n, bands) of texts that have shingles: ``name`` is a 128-bit hash of the set of shingles,
+    ``n`` its size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = common.buffers(batch.column(1))
-            text_key = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in common.runs_of_documents(offsets):
-                some, keys = band_keys(*shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(text_key[i:j][some], BANDS)), pa.array(keys.view(np.int64).ravel())], ["text_key", "key"])
+                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                hashes, bounds = shingle_sets(part, at, k)
+                some, keys = band_keys(hashes, bounds)
+                sets = [np.unique(hashes[bounds[d] : bounds[d + 1]]) for d in some]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(i, j - i).take(pa.array(some)),
+                        pa.array(fingerprint_texts(part, at)[some].view(np.int64)),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
+                    ],
+                    ["text_key", "fp", "name", "n", "bands"],
+                )
 
     return run
 
@@ -242,83 +258,155 @@ def _band_batches(k: int):
 def _set_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = common.buffers(batch.column(1))
+            data, offsets = common.buffers(batch.column(0))
             for i, j in common.runs_of_documents(offsets):
-                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                hashes, bounds = shingle_sets(part, at, k)
-                sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                fps = pa.array(fingerprint_texts(part, at).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), fps, pa.array(sets, pa.list_(pa.int64()))], ["keys", "fp", "shingles"])
+                hashes, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                sets = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                names = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([names, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["name", "shingles"])
 
     return run
 
 
-def _alike(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links that connect what a breadth-first search over one group's alike pairs connects."""
+def alike_pairs(few: list[np.ndarray], many: list[np.ndarray] | None, least: float) -> list[tuple[int, int]]:
+    """Links (i, j) between the sets few[i] and many[j] (few[j] without ``many``) of a Jaccard share of ``least`` or
+    more, enough of them to connect what all such pairs connect. One set in ``few`` is linked to all it is alike."""
+    own = many is None
+    many = few if own else many
+    size = np.fromiter(map(len, many), np.int64, len(many))
+    order = np.argsort(size, kind="stable")
+    size, bounds = size[order], np.concatenate(([0], np.cumsum(size[order])))
+    words, codes = np.unique(np.concatenate([many[j] for j in order]), return_inverse=True)
+    mark = np.zeros(len(words), bool)
+    label = np.arange(len(many) if own else len(many) + len(few))
     found = []
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    rest = np.arange(len(sets))
-    while len(rest):
-        frontier, rest = [rest[0]], rest[1:]
-        while frontier and len(rest):
-            x = frontier.pop()
-            others = rest[np.minimum(size[rest], size[x]) >= least * np.maximum(size[rest], size[x])]
-            if not len(others):
-                continue
-            there = np.isin(np.concatenate([sets[i] for i in others]), sets[x])
-            shared = np.add.reduceat(there, np.cumsum(size[others]) - size[others], dtype=np.int64)
-            hits = others[shared >= least * (size[others] + size[x] - shared)]
-            found += [(x, y) for y in hits]
-            frontier.extend(hits)
-            rest = np.setdiff1d(rest, hits, assume_unique=True)
+    for i, x in enumerate(few):
+        lo, hi = np.searchsorted(size, (least * len(x) - 1e-6, len(x) / least + 1e-6))
+        if lo == hi:
+            continue
+        at = np.minimum(np.searchsorted(words, x), len(words) - 1)
+        at = at[words[at] == x]
+        mark[at] = True
+        shared = np.add.reduceat(mark[codes[bounds[lo] : bounds[hi]]], bounds[lo:hi] - bounds[lo], dtype=np.int64)
+        mark[at] = False
+        near = order[lo:hi][shared >= least * (size[lo:hi] + len(x) - shared)]
+        me = label[i if own else len(many) + i]
+        others, first = np.unique(label[near], return_index=True)
+        found += [(i, int(near[f])) for other, f in zip(others, first, strict=True) if other != me]
+        label[np.isin(label, others)] = me
     return found
 
 
 def _alike_linker(least: float):
-    """Turns batches (key, fp, shingles) sorted by key into links (a, b). Holds one batch and one group."""
-
-    def links(key: np.ndarray, fp: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        pairs = [(fp[i + x], fp[i + y]) for i, j in zip(edge[:-1], edge[1:], strict=True) if j - i > 1 for x, y in _alike(sets[i:j], least)]
-        both = np.array(pairs, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    """Turns batches (job, side, name, fp, shingles) sorted by (job, side) into links (a, b, a_fp, b_fp). The sets of a
+    job's side 0 are held and compared with each other; those of side 1 flow past them."""
+
+    def rows(pairs: list[tuple], other: list[tuple] | None, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if pairs:
+            many = held if other is None else other
+            both = [(held[i], many[j]) for i, j in pairs]
+            columns = [[a[0] for a, _ in both], [b[0] for _, b in both], [a[1] for a, _ in both], [b[1] for _, b in both]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.binary()] * 2 + [pa.int64()] * 2, strict=True)], ["a", "b", "a_fp", "b_fp"])
+
+    def within(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            yield from rows(alike_pairs([h[2] for h in held], None, least), None, held)
+
+    def passing(held: list[tuple], flow: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if held and flow:
+            a, b = [h[2] for h in held], [f[2] for f in flow]
+            swap = len(a) > len(b)
+            pairs = alike_pairs(b, a, least) if swap else alike_pairs(a, b, least)
+            yield from rows([(j, i) for i, j in pairs] if swap else pairs, flow, held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, sets = [], [], []
+        current, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-            fps.append(batch.column(1).to_numpy(zero_copy_only=False))
-            sets += [s.values.to_numpy() for s in batch.column(2)]
-            if keys[0][0] == keys[-1][-1]:
-                continue
-            key, fp = np.concatenate(keys), np.concatenate(fps)
-            whole = int(np.flatnonzero(key != key[-1])[-1]) + 1
-            yield links(key[:whole], fp[:whole], sets[:whole])
-            keys, fps, sets = [key[whole:]], [fp[whole:]], sets[whole:]
-        if keys:
-            yield links(np.concatenate(keys), np.concatenate(fps), sets)
+            job, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            names, fps, sets = batch.column(2).to_pylist(), batch.column(3).to_pylist(), [s.values.to_numpy() for s in batch.column(4)]
+            edge = np.flatnonzero(np.concatenate(([True], job[1:] != job[:-1], [True])))
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if job[i] != current:
+                    yield from within(held)
+                    current, held = job[i], []
+                members = list(zip(names[i:j], fps[i:j], sets[i:j], strict=True))
+                flows = int(np.searchsorted(side[i:j], 1))
+                held += members[:flows]
+                yield from passing(held, members[flows:])
+        yield from within(held)
 
     return run
 
 
-def alike_links(docs: DataFrame, k: int = ALIKE_WORDS, least: float = ALIKE) -> DataFrame:
+def _compared(roles: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b, a_fp, b_fp) that the jobs of ``roles(job, side, name)`` find."""
+    met = roles.join(sets, "name").select("job", "side", "name", "fp", "shingles")
+    met = met.repartition("job").sortWithinPartitions("job", "side")
+    return cut(met.mapInArrow(common.trimmed(_alike_linker(least)), "a binary, b binary, a_fp long, b_fp long"))
+
+
+def _star_roles(members: DataFrame, held: int) -> DataFrame:
+    """Jobs in which each member of a band flows past the band's first one, a ``held`` of shingles a job."""
+    pairs = members.filter("name <> pivot").select("name", "pivot", "n").distinct()
+    stars = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / held).cast("int").alias("parts"))
+    dealt = join_spread(pairs, stars, ["pivot"], "name", "inner")
+    flow = dealt.select(F.xxhash64("pivot", F.pmod(F.xxhash64("name"), "parts").cast("int")).alias("job"), F.lit(1).alias("side"), "name")
+    pivots = stars.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return flow.unionByName(pivots.select(F.xxhash64("pivot", "part").alias("job"), F.lit(0).alias("side"), F.col("pivot").alias("name")))
+
+
+def _rest_roles(members: DataFrame, stars: DataFrame, held: int) -> DataFrame:
+    """Jobs for what bands leave apart from their first member: the rest, in blocks of a ``held`` of shingles, against
+    each other and against those that are alike the first."""
+    linked = stars.select(F.col("a").alias("pivot"), F.col("b").alias("name")).distinct().withColumn("with", F.lit(True))
+    marked = members.filter("name <> pivot").join(linked, ["name", "pivot"], "left").select("key", "name", "n", F.coalesce("with", F.lit(False)).alias("with"))
+
+    def parts(with_first: bool) -> Column:
+        return F.ceil(F.coalesce(F.sum(F.when(F.col("with") == with_first, F.col("n"))), F.lit(0)) / held).cast("int")
+
+    blocks = marked.groupBy("key").agg(parts(False).alias("blocks"), parts(True).alias("others"), F.count("*").alias("all")).filter("blocks > 0 and all > 1").drop("all")
+    dealt = join_spread(marked, blocks, ["key"], "name", "inner")
+    apart, own = dealt.filter("not with"), F.pmod(F.xxhash64("name"), "blocks").cast("int")
+    lanes = F.greatest("others", F.lit(1))
+
+    def role(rows: DataFrame, side: int, block: Column | str, lane: Column | str) -> DataFrame:
+        return rows.select(F.xxhash64("key", block, lane).alias("job"), F.lit(side).alias("side"), "name")
+
+    holding = role(apart.withColumn("lane", F.explode(F.sequence(F.lit(0), lanes - 1))).withColumn("block", own), 0, "block", "lane")
+    earlier = apart.withColumn("own", own).filter("own > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
+    others = dealt.filter("with").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return holding.unionByName(role(earlier, 1, "block", F.lit(0))).unionByName(role(others, 1, "block", F.pmod(F.xxhash64("name"), "others").cast("int")))
+
+
+def alike_links(docs: DataFrame, k: int = ALIKE_WORDS, least: float = ALIKE, held: int = HELD_SHINGLES) -> DataFrame:
     """Links (a, b) between the fingerprints of texts of ``docs(text)`` whose sets of ``k``-word shingles have a
     Jaccard share of ``least`` or more, enough of them to connect all that the proposed pairs connect.
 
-    Texts that share no band aren't compared. Only those that share one have their sets (64-bit hashes) made and
-    shuffled, once a shared band. The texts of one band are one task's.
+    Texts of equal sets are one class. Classes that share no band aren't compared; of those that do, each is compared
+    with its band's first, then the rest with all others of the band. A task holds sets of about ``held`` shingles (one
+    set at least) and lets others flow past. A band of many classes that are alike its first costs one comparison each;
+    the classes apart from it are compared with all of the band, in blocks. Texts without words have no set and null
+    texts none either; an empty table gives no links.
     """
     common.small_text_batches(docs.sparkSession)
     keyed = docs.select(common.text_key().alias("text_key"), "text")
-    bands = cut(keyed.mapInArrow(common.trimmed(_band_batches(k)), "text_key long, key long"))
-    shared = bands.groupBy("key").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")).filter("first <> last").select("key")
-    proposed = cut(bands.join(broadcast_if_small(cut(shared)), "key").groupBy("text_key").agg(F.collect_set("key").alias("keys")))
-    texts = keyed.join(broadcast_if_small(proposed), "text_key").select("keys", "text")
-    sets = texts.mapInArrow(common.trimmed(_set_batches(k)), "keys array<long>, fp long, shingles array<long>")
-    met = sets.select(F.explode("keys").alias("key"), "fp", "shingles").repartition("key").sortWithinPartitions("key")
-    return cut(met.mapInArrow(common.trimmed(_alike_linker(least)), "a long, b long").filter("a <> b").distinct())
+    rows = cut(keyed.mapInArrow(common.trimmed(_class_batches(k)), "text_key long, fp long, name binary, n long, bands array<long>"))
+    # equal sets have equal sizes and bands
+    classes = rows.groupBy("name").agg(F.min("fp").alias("fp"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    exploded = cut(classes.select("name", "n", "fp", "text_key", F.explode("bands").alias("key")))
+    bands = exploded.groupBy("key").agg(F.min("name").alias("pivot"), F.max("name").alias("_last")).filter("pivot <> _last").drop("_last")
+    members = cut(join_spread(exploded, bands, ["key"], "name", "inner"))
+    wanted = members.select("name", "fp", "text_key").distinct()
+    texts = keyed.join(broadcast_if_small(cut(wanted.select("text_key").distinct())), "text_key", "left_semi").select("text")
+    made = texts.mapInArrow(common.trimmed(_set_batches(k)), "name binary, shingles array<long>")
+    sets = cut(made.groupBy("name").agg(F.first("shingles").alias("shingles")).join(wanted.select("name", "fp"), "name"))
+    stars = _compared(_star_roles(members, held), sets, least)
+    rest = _compared(_rest_roles(members, stars, held), sets, least)
+    equal = rows.select("name", F.col("fp").alias("b")).distinct().join(classes.select("name", F.col("fp").alias("a")), "name").select("a", "b")
+    found = stars.unionByName(rest).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).unionByName(equal)
+    return cut(found.filter("a <> b").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = 2, links: DataFrame | None = None) -> DataFrame:
