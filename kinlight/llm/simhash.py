@@ -36,8 +36,10 @@ ALIKE_WORDS = 5
 ALIKE = 0.8
 #: Of pairs at a share of 0.8, bands of 4 minima each miss (1 - 0.8 ** 4) ** 16, or 2 in 10,000.
 BANDS, BAND_ROWS = 16, 4
-#: Shingles of the sets that a task holds while others flow past (8 bytes each).
+#: Shingles of the sets that a task holds while others flow past (8 bytes each), and shares of that in which a
+#: band's texts are dealt out to be compared with its first one.
 HELD_SHINGLES = 1 << 20
+STAR_SHARES = 32
 _MINIMA = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS, BAND_ROWS), np.uint64) | np.uint64(1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -347,10 +349,10 @@ def _compared(roles: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return cut(met.mapInArrow(common.trimmed(_alike_linker(least)), "a binary, b binary, a_fp long, b_fp long"))
 
 
-def _star_roles(members: DataFrame, held: int) -> DataFrame:
-    """Jobs in which each member of a band flows past the band's first one, a ``held`` of shingles a job."""
+def _star_roles(members: DataFrame, flowing: int) -> DataFrame:
+    """Jobs in which each member of a band flows past the band's first one, about ``flowing`` shingles a job."""
     pairs = members.filter("name <> pivot").select("name", "pivot", "n").distinct()
-    stars = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / held).cast("int").alias("parts"))
+    stars = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / flowing).cast("int").alias("parts"))
     dealt = join_spread(pairs, stars, ["pivot"], "name", "inner")
     flow = dealt.select(F.xxhash64("pivot", F.pmod(F.xxhash64("name"), "parts").cast("int")).alias("job"), F.lit(1).alias("side"), "name")
     pivots = stars.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -402,7 +404,7 @@ def alike_links(docs: DataFrame, k: int = ALIKE_WORDS, least: float = ALIKE, hel
     texts = keyed.join(broadcast_if_small(cut(wanted.select("text_key").distinct())), "text_key", "left_semi").select("text")
     made = texts.mapInArrow(common.trimmed(_set_batches(k)), "name binary, shingles array<long>")
     sets = cut(made.groupBy("name").agg(F.first("shingles").alias("shingles")).join(wanted.select("name", "fp"), "name"))
-    stars = _compared(_star_roles(members, held), sets, least)
+    stars = _compared(_star_roles(members, -(-held // STAR_SHARES)), sets, least)
     rest = _compared(_rest_roles(members, stars, held), sets, least)
     equal = rows.select("name", F.col("fp").alias("b")).distinct().join(classes.select("name", F.col("fp").alias("a")), "name").select("a", "b")
     found = stars.unionByName(rest).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).unionByName(equal)
