@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlight.llm import common, language_id, quality
+from kinlight.llm import common, conversations, language_id, quality
 from kinlight.llm.best_fit import pack
 from kinlight.llm.decontamination import find_contained
 from kinlight.llm.exact_dedup import exact_dedup
@@ -79,6 +79,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and its cheapest repair."""
+    given = common.table(spark, sf_dir, "conversations")
+    found = conversations.reports(conversations.damaged(given), given)
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
@@ -91,6 +98,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -142,4 +150,63 @@ ORACLE_SQL = {
                sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
         FROM worded LEFT JOIN lost USING (doc_id)
     """,
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE given AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+                       string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                       lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                       lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) AS inverse
+            FROM conversations
+        ), faulted AS (
+            SELECT conv_id, turn, role, text, xor(inverse, 4294967295) % 20 AS fault FROM given
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+                   CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM faulted WHERE fault <> 0
+        ), ordered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role)) || ':' || role || ':' || text), copy) AS i,
+                   right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ends
+            FROM damaged
+        ), marked AS (
+            SELECT conv_id, i, turn, role, text, left(role, 1) AS initial, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS following,
+                   CASE WHEN ends = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                        WHEN ends NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'sound' END AS fault
+            FROM ordered
+        ), inserts(s, edits, t, rows) AS (
+            VALUES (0, '', 0, []::VARCHAR[]), (0, 'I', 2, ['user:']), (0, 'II', 3, ['user:', 'assistant:']), (1, '', 1, []), (1, 'I', 2, ['user:']),
+                   (1, 'II', 3, ['user:', 'assistant:']), (2, '', 2, []), (2, 'I', 3, ['assistant:']), (3, '', 3, []), (3, 'I', 2, ['user:'])
+        ), moves(letter, s, initial, t, role, cost) AS (
+            VALUES ('D', 0, NULL, 0, NULL, 3), ('D', 1, NULL, 1, NULL, 3), ('D', 2, NULL, 2, NULL, 3), ('D', 3, NULL, 3, NULL, 3),
+                   ('R', 0, NULL, 2, 'user', 2), ('R', 1, NULL, 2, 'user', 2), ('R', 2, NULL, 3, 'assistant', 2), ('R', 3, NULL, 2, 'user', 2),
+                   ('K', 0, 's', 1, NULL, 0), ('K', 0, 'u', 2, NULL, 0), ('K', 1, 'u', 2, NULL, 0), ('K', 2, 'a', 3, NULL, 0), ('K', 3, 'u', 2, NULL, 0)
+        ), steps AS (
+            SELECT inserts.s, m.t, m.letter, inserts.edits || m.letter AS edits, 2 * len(inserts.edits) + m.cost AS cost, inserts.rows, m.initial, m.role
+            FROM inserts JOIN moves m ON m.s = inserts.t
+        ), paths AS (
+            SELECT conv_id, 0::BIGINT AS i, 0 AS s, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS kept FROM (SELECT DISTINCT conv_id FROM marked)
+            UNION ALL
+            SELECT conv_id, i, s, cost, audit, kept FROM (
+                SELECT p.conv_id, m.i, x.t AS s, p.cost + x.cost + CASE WHEN m.fault = 'truncated' AND x.letter <> 'D' THEN 1 ELSE 0 END AS cost, p.audit || x.edits AS audit,
+                       p.kept || x.rows || CASE WHEN x.letter = 'D' THEN []::VARCHAR[] ELSE [coalesce(x.role, m.role) || ':' || m.text] END AS kept,
+                       row_number() OVER (PARTITION BY p.conv_id, x.t ORDER BY p.cost + x.cost + CASE WHEN m.fault = 'truncated' AND x.letter <> 'D' THEN 1 ELSE 0 END, p.audit || x.edits) AS nth
+                FROM paths p JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i + 1
+                JOIN steps x ON x.s = p.s AND (x.letter = 'D' OR m.fault IN ('sound', 'truncated')) AND (x.initial IS NULL OR x.initial = m.initial)
+            ) WHERE nth = 1
+        ), sizes AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (following IS NOT NULL AND initial || following NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM marked GROUP BY conv_id
+        ), ended AS (
+            SELECT p.conv_id, p.cost + 2 * len(x.edits) AS cost, p.audit || x.edits AS audit, p.kept || x.rows AS kept,
+                   row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + 2 * len(x.edits), p.audit || x.edits) AS nth
+            FROM paths p JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM p.conv_id AND z.n = p.i JOIN inserts x ON x.s = p.s WHERE x.t IN (0, 3)
+        )
+        SELECT g.conv_id, coalesce(z.gaps, 0)::BIGINT AS gaps, coalesce(z.blank, 0) AS blank, coalesce(z.duplicate, 0) AS duplicate, coalesce(z.truncated, 0) AS truncated,
+               coalesce(z.illegal, 0) AS illegal, coalesce(e.cost, 0)::BIGINT AS cost, coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.kept, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM g.conv_id
+        LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM g.conv_id AND e.nth = 1
+    """,
 }
