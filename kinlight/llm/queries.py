@@ -11,10 +11,12 @@ from kinlight.llm.best_fit import pack
 from kinlight.llm.decontamination import find_contained
 from kinlight.llm.exact_dedup import exact_dedup
 from kinlight.llm.html_text import extract
+from kinlight.llm.mixing import mix
 from kinlight.llm.sharding import assign_shards
 from kinlight.llm.simhash import alike_links, near_duplicates
 from kinlight.llm.substring_dedup import digest, remove_repeats
 from kinlight.llm.token_counts import count_tokens
+from kinlight.llm.whitening import whiten
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +88,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's whitened coordinates on the first 16 components."""
+    return whiten(common.table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words in the mix of all sources."""
+    return mix(common.table(spark, sf_dir, "documents")).taken()
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
@@ -99,6 +111,8 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_token_counts": op10_token_counts,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_whitening": op12_whitening,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 ORACLE_SQL = {
