@@ -1,8 +1,8 @@
 """Vector operators: exact nearest neighbours, unit means, medoids, nearest centroids.
 
-The nearest-neighbour self join cuts the vectors into blocks and multiplies each pair of blocks once, as matrices.
-No task and no broadcast ever holds all vectors: a task has two blocks, and keeps for each vector of either the
-best k of the other, which are merged per vector afterwards.
+The similarity self joins cut the vectors into blocks and multiply those pairs of blocks that can hold a match, each
+once, as matrices (see :mod:`kinlight.operators.blocks`). No task and no broadcast ever holds all vectors: a task has
+two blocks, and keeps for each vector of either the best k of the other, which are merged per vector afterwards.
 """
 
 from __future__ import annotations
@@ -16,19 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinlight.functions.vectors import dot
-from kinlight.plans.lineage import BROADCAST_ROWS, cut, is_small, join_spread
+from kinlight.operators.blocks import BLOCK, PAIR, blocks_of, matrix
+from kinlight.plans.lineage import BROADCAST_ROWS, cut, is_small
 
 #: Defaults of the face graph.
 NEIGHBOURS, SIMILARITY = 20, 0.35
-#: Vectors in a block: two blocks and their product take about 40 MB at 512 dimensions.
-BLOCK = 2048
-
-
-def _pairs_of_blocks(n_blocks: int) -> Column:
-    """For a block, the blocks it meets: itself and all others."""
-    return F.sequence(F.lit(0), F.lit(n_blocks - 1))
-
-
 def _best(a: np.ndarray, src: np.ndarray, b: np.ndarray, dst: np.ndarray, k: int, least: float) -> list[pd.DataFrame]:
     """The best ``k`` rows of ``b`` for each row of ``a``."""
     out = []
@@ -49,19 +41,26 @@ def _best_both_ways(k: int, least: float):
     """The best ``k`` of a pair of blocks, for the rows of either; a block paired with itself comes once."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        itself = pdf["p"].iloc[0] == pdf["q"].iloc[0]
-        sides = [pdf] if itself else [pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]]
         out = []
-        if all(len(x) for x in sides):
-            (a, src), (b, dst) = [(np.array(x["vector"].tolist(), float), x["id"].to_numpy()) for x in (sides[0], sides[-1])]
-            if a.ndim != 2 or a.shape[1:] != b.shape[1:]:
-                raise ValueError("vectors differ in dimension")
-            out = _best(a, src, b, dst, k, least) + ([] if itself else _best(b, dst, a, src, k, least))
+        (a, src), *other = _sides(pdf)
+        if other:
+            ((b, dst),) = other
+            out = _best(a, src, b, dst, k, least) + _best(b, dst, a, src, k, least)
+        elif pdf["cell_p"].iloc[0] == pdf["cell_q"].iloc[0] and pdf["block_p"].iloc[0] == pdf["block_q"].iloc[0]:
+            out = _best(a, src, a, src, k, least)
         return pd.concat(out) if out else pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
 
     return run
 
 
+def _sides(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The vectors and ids of one or both blocks of a pair."""
+    found = [(matrix(x["vector"]), x["id"].to_numpy()) for x in (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]) if len(x)]
+    if len({v.shape[1] for v, _ in found}) > 1:
+        raise ValueError("vectors differ in dimension")
+    return found
+
+
 def knn(vectors: DataFrame, k: int = NEIGHBOURS, least: float = SIMILARITY, block: int = BLOCK, id_col: str = "face_id", vector_col: str = "vector") -> DataFrame:
     """Exact k nearest neighbours by cosine of unit vectors: (src, dst, similarity, rank) for each of the
     best ``k`` others of at least ``least``; ties go to the smaller id.
@@ -71,13 +70,8 @@ def knn(vectors: DataFrame, k: int = NEIGHBOURS, least: float = SIMILARITY, bloc
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter("id is not null and vector is not null")
-    n_blocks = max(1, -(-rows.count() // block))
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-    left = blocked.select(F.col("block").alias("p"), F.explode(F.sequence("block", F.lit(n_blocks - 1))).alias("q"), "id", "vector", F.lit(0).alias("side"))
-    before = F.when(F.col("block") > 0, F.sequence(F.lit(0), F.col("block") - 1))
-    right = blocked.select(F.explode(before).alias("p"), F.col("block").alias("q"), "id", "vector", F.lit(1).alias("side"))
-    near = left.unionByName(right).groupBy("p", "q").applyInPandas(_best_both_ways(k, least), "src long, dst long, similarity double")
+    sides = blocks_of(vectors, least, id_col, vector_col, block=block).sides()
+    near = sides.groupBy(*PAIR).applyInPandas(_best_both_ways(k, least), "src long, dst long, similarity double")
     order = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -85,24 +79,12 @@ def knn(vectors: DataFrame, k: int = NEIGHBOURS, least: float = SIMILARITY, bloc
 def similar_pairs(vectors: DataFrame, least: float, id_col: str = "face_id", vector_col: str = "vector", within: str | None = None, block: int = BLOCK) -> DataFrame:
     """All pairs a < b of at least ``least`` similarity, (a, b, similarity), by the same block products;
     with ``within``, only pairs that share that column."""
-    keys = [] if within is None else [F.col(within).alias("group")]
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), *(keys or [F.lit(0).alias("group")])).filter("id is not null and vector is not null")
-    sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    if within is None:
-        counted = rows.withColumn("blocks", F.lit(max(1, -(-rows.count() // block))))
-    else:
-        counted = join_spread(rows, sizes, ["group"], "id", "inner")
-    blocked = counted.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = blocked.select("group", F.col("block").alias("a"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("b"), "id", "vector", F.lit(0).alias("side"))
-    right = blocked.select("group", F.explode(F.sequence(F.lit(0), "block")).alias("a"), F.col("block").alias("b"), "id", "vector", F.lit(1).alias("side"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        out = []
-        if len(x) and len(y):
-            same = pdf["a"].iloc[0] == pdf["b"].iloc[0]
-            p, q = np.array(x["vector"].tolist(), float), np.array(y["vector"].tolist(), float)
-            i, j = x["id"].to_numpy(), y["id"].to_numpy()
+        same = pdf["cell_p"].iloc[0] == pdf["cell_q"].iloc[0] and pdf["block_p"].iloc[0] == pdf["block_q"].iloc[0]
+        found, out = _sides(pdf), []
+        if same or len(found) == 2:
+            (p, i), (q, j) = found[0], found[-1]
             for at in range(0, len(p), 512):
                 sim = p[at : at + 512] @ q.T
                 row, col = np.nonzero(sim >= least)
@@ -111,7 +93,8 @@ def similar_pairs(vectors: DataFrame, least: float, id_col: str = "face_id", vec
                 out.append(pd.DataFrame({"a": np.minimum(s, d)[keep], "b": np.maximum(s, d)[keep], "similarity": sim[row, col][keep]}))
         return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
 
-    return left.unionByName(right).groupBy("group", "a", "b").applyInPandas(run, "a long, b long, similarity double")
+    sides = blocks_of(vectors, least, id_col, vector_col, within, block).sides()
+    return sides.groupBy(*PAIR).applyInPandas(run, "a long, b long, similarity double")
 
 
 def vector_sums(vectors: DataFrame, key: str, vector_col: str = "vector") -> DataFrame:
@@ -180,7 +163,7 @@ def _nearest_by_blocks(rows: DataFrame, known: DataFrame, block: int) -> DataFra
     n_blocks = max(1, -(-known.count() // block))
     right = known.withColumn("b", F.pmod(F.xxhash64("name"), F.lit(n_blocks)).cast("int")).select(F.col("name").alias("id"), F.col("c").alias("vector"), "b", F.lit(1).alias("side"), F.lit(None).cast("int").alias("a"))
     n_parts = max(1, -(-rows.count() // block))
-    left = rows.select("id", "vector", F.explode(_pairs_of_blocks(n_blocks)).alias("b"), F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int").alias("a"))
+    left = rows.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int").alias("a"))
     spread = right.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
