@@ -175,13 +175,15 @@ class Mix:
         ranges = -(-shards // at_once)
         parts = min(ranges, max(spark.sparkContext.defaultParallelism, ranges // 16))
         schema = "shard long, slot long, source_no int, epoch long, block long, words long"
-        return spark.range(0, ranges, 1, parts).mapInArrow(_taking(self.sources, shards, at_once, self.seed), schema)
+        made = spark.range(0, ranges, 1, parts).mapInArrow(_taking(self.sources, shards, at_once, self.seed), schema)
+        return made.hint("merge")  # Spark takes it for as small as the range it is made from, and would broadcast it
 
     def _pieces(self) -> DataFrame:
         """Documents by the blocks that hold words of theirs, with those words' begin and end in the stream."""
         end = F.col("start") + F.col("size")
         blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK)))
-        pieces = self.docs.withColumn("block", F.explode_outer(blocks))
+        none = F.array(-1 - F.col("row"))  # no block, and not one key for all that are empty
+        pieces = self.docs.withColumn("block", F.explode(F.coalesce(blocks, none)))
         return pieces.withColumns({"begin": F.greatest("start", F.col("block") * BLOCK), "end": F.least(end, (F.col("block") + 1) * BLOCK)})
 
     def spans(self) -> DataFrame:
@@ -195,7 +197,7 @@ class Mix:
         """One row a document: doc_id, size, source_size and target of its source, and the words taken of it, repeats
         counted."""
         n = F.greatest(F.lit(0), F.least("end", F.col("block") * BLOCK + F.col("words")) - F.col("begin"))
-        joined = self._pieces().join(self.takes().select("source_no", "block", "words"), ["source_no", "block"], "left")
+        joined = self._pieces().join(self.takes().select("source_no", "block", "words").hint("merge"), ["source_no", "block"], "left")
         each = joined.groupBy("row", "doc_id", "size", "source_no").agg(F.sum(F.when(F.col("words").isNull(), 0).otherwise(n)).alias("taken"))
         rows = [(s.index, s.size, s.target) for s in self.sources]
         of = self.docs.sparkSession.createDataFrame(rows, "source_no int, source_size long, target double")
