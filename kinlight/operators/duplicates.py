@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlight.functions.hashing import ALIKE_BITS, ALIKE_SECONDS, hamming, within
+from kinlight.functions.hashing import ALIKE_BITS, ALIKE_SECONDS, hamming
 from kinlight.functions.text import fold_case
 from kinlight.operators.graph import connected_components
 from kinlight.operators.vectors import similar_pairs, unit_mean
-from kinlight.plans.lineage import cut
+from kinlight.plans.lineage import cut, is_small, join_spread
 from kinlight.plans.numbering import numbered
 
 FACE_SIMILARITY, PERSON_SIMILARITY = 0.92, 0.5
@@ -130,16 +130,115 @@ def hash_pairs(hashes: DataFrame, bits: int = ALIKE_BITS, id_col: str = "photo_i
     return met.groupBy(F.col("l_id").alias("a"), F.col("r_id").alias("b")).agg(F.min("distance").alias("distance"))
 
 
+#: Rows that meet in a time bucket up to which all of them are compared; in fuller ones hashes meet by chunks or blocks.
+FULL = 4096
+HASH = ("id", "gradient", "brightness")
+
+
+def _named(rows: DataFrame, side: str, *more: str) -> list[Column]:
+    return [F.col(c).alias(f"{side}_{c}") for c in (*HASH, *more)]
+
+
+def _apart() -> Column:
+    return hamming(F.col("l_gradient"), F.col("l_brightness"), F.col("r_gradient"), F.col("r_brightness"))
+
+
+def _pairs_between(left: DataFrame, right: DataFrame, bits: int, by: list[str]) -> DataFrame:
+    """Rows of ``left`` and ``right`` with equal ``by`` and hashes at most ``bits`` apart, (l_id, r_id, distance, and
+    times), maybe more than once: by chunks as in :func:`hash_pairs`, or by a grid of blocks where chunks are too
+    narrow."""
+    chunks, flips = max(3, bits + 1), 0
+    if 128 // chunks < WIDE:
+        chunks, flips = max(3, bits // 2 + 1), 1
+    words = (F.col("gradient"), F.col("brightness"))
+    if 128 // chunks >= LEAST_CHUNK_BITS:
+        l = left.select(*by, F.explode(_chunks(*words, chunks, flips)).alias("key"), *_named(left, "l", "at"))
+        r = right.select(*by, F.explode(_chunks(*words, chunks, 0)).alias("key"), *_named(right, "r", "at"))
+        met = l.join(r, [*by, "key"])
+    else:
+        sizes = [F.broadcast(rows.agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))) for rows, n in ((left, "lefts"), (right, "rights"))]
+        cell = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.col("own"))).cast("int")
+        grid = [rows.crossJoin(sizes[0]).crossJoin(sizes[1]).withColumn("own", F.col(own)).withColumn("cell", cell) for rows, own in ((left, "lefts"), (right, "rights"))]
+        across = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("other") - 1))
+        l = grid[0].withColumn("other", F.col("rights")).select(*by, F.col("cell").alias("p"), F.explode(across).alias("q"), *_named(left, "l", "at"))
+        r = grid[1].withColumn("other", F.col("lefts")).select(*by, F.explode(across).alias("p"), F.col("cell").alias("q"), *_named(right, "r", "at"))
+        met = l.join(r, [*by, "p", "q"])
+    return met.withColumn("distance", _apart()).filter(F.col("distance") <= bits).select("l_id", "r_id", "l_at", "r_at", "distance")
+
+
+def buckets(rows: DataFrame, micros: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``rows(id, gradient, brightness, at)`` by time buckets as wide as the window, as two tables to be
+    joined on ``bucket``: each row in its own one, and each in its own and the next. Rows within the window of each
+    other meet there, in neighbouring buckets once, in one bucket both ways."""
+    own = F.floor(F.col("at") / max(1, micros)).cast("long")
+    first = rows.withColumn("bucket", own)
+    return first, rows.withColumn("bucket", F.explode(F.array(own, own + 1)))
+
+
+def _full_buckets(first: DataFrame, full: int) -> DataFrame:
+    """Buckets in which more than ``full`` rows meet; at most twice the rows divided by ``full``."""
+    n = first.groupBy("bucket").agg(F.count("*").alias("n"))
+    met = n.unionByName(n.withColumn("bucket", F.col("bucket") + 1)).groupBy("bucket").agg(F.sum("n").alias("n"))
+    return met.filter(F.col("n") > full).select("bucket", F.lit(True).alias("full"))
+
+
+def meetings(rows: DataFrame, micros: int) -> DataFrame:
+    """Pairs of rows that meet in a bucket within the window, each once, whatever their hashes."""
+    first, both = buckets(rows, micros)
+    l, r = first.select("bucket", *_named(first, "l", "at")), both.select("bucket", *_named(both, "r", "at"))
+    return l.join(r, "bucket").filter(_within_once(micros))
+
+
+def _within_once(micros: int) -> Column:
+    """One of the two ways in which rows of one bucket meet, the one in which those of two meet, within the window."""
+    width = max(1, micros)
+    same = F.floor(F.col("l_at") / width) == F.floor(F.col("r_at") / width)
+    return (F.col("l_id") != F.col("r_id")) & (~same | (F.col("l_id") < F.col("r_id"))) & (F.abs(F.col("l_at") - F.col("r_at")) <= micros)
+
+
+def timed_hash_pairs(hashes: DataFrame, bits: int = ALIKE_BITS, seconds: float | None = ALIKE_SECONDS, id_col: str = "photo_id", time_col: str = "taken_utc", full: int = FULL) -> DataFrame:
+    """All pairs a < b of hashes at most ``bits`` apart whose times are within ``seconds``, or one of them unknown:
+    (a, b, distance). None switches the window off.
+
+    Rows with a time meet in time buckets, so work grows with the rows in a window, not with all pairs. A bucket in
+    which few rows meet is compared whole; in a fuller one hashes meet by chunks or blocks inside it. Rows without a
+    time are joined with all others by their hashes, apart from the rest."""
+    if seconds is None:
+        return hash_pairs(hashes, bits, id_col)
+    micros = int(seconds * 1_000_000)
+    at = F.unix_micros(F.col(time_col).cast("timestamp"))
+    rows = hashes.select(F.col(id_col).cast("long").alias("id"), "gradient", "brightness", at.alias("at")).filter("id is not null and gradient is not null and brightness is not null")
+    rows = cut(rows)
+    known, unknown = rows.filter("at is not null"), rows.filter("at is null")
+    first, both = buckets(known, micros)
+    crowded = cut(_full_buckets(first, full))
+    if crowded.isEmpty():
+        near = meetings(known, micros)
+    else:
+        marked = [_marked(side, crowded) for side in (first, both)]
+        l, r = (side.filter("full is null").select("bucket", *_named(side, s, "at")) for side, s in zip(marked, "lr", strict=True))
+        near = l.join(r, "bucket").filter(_within_once(micros))
+        packed = _pairs_between(*(side.filter("full").drop("full") for side in marked), bits, ["bucket"]).filter(_within_once(micros))
+    found = near.withColumn("distance", _apart()).filter(F.col("distance") <= bits).select("l_id", "r_id", "distance")
+    if not crowded.isEmpty():
+        found = found.unionByName(packed.select("l_id", "r_id", "distance"))
+    if not unknown.isEmpty():
+        found = found.unionByName(_pairs_between(unknown, rows, bits, []).filter("l_id <> r_id").select("l_id", "r_id", "distance"))
+    ends = found.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"), "distance")
+    return ends.groupBy("a", "b").agg(F.min("distance").alias("distance"))
+
+
+def _marked(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(crowded), "bucket", "left") if is_small(crowded) else join_spread(rows, crowded, ["bucket"], "id")
+
+
 def duplicate_photos(signatures: DataFrame, bits: int = ALIKE_BITS, seconds: float | None = ALIKE_SECONDS) -> DataFrame:
     """Photos that look alike and were taken within a window (an unknown time passes; None switches the
     window off): (set_id, photo_id, rank, size, distance_from_best).
 
     ``signatures(photo_id, gradient, brightness, sharpness, taken_utc, file_size, mtime_utc)``. Members rank by
     sharpness, size, earliest time and id; the distance is to the sharpest member, the smaller id on ties."""
-    near = hash_pairs(signatures, bits)
-    times = signatures.select("photo_id", "taken_utc")
-    timed = near.join(times.select(F.col("photo_id").alias("a"), F.col("taken_utc").alias("ta")), "a").join(times.select(F.col("photo_id").alias("b"), F.col("taken_utc").alias("tb")), "b")
-    pairs = timed.filter(within(F.col("ta"), F.col("tb"), seconds)).select("a", "b")
+    pairs = timed_hash_pairs(signatures, bits, seconds).select("a", "b")
     members = sets_of(cut(pairs)).withColumnRenamed("member", "photo_id").join(signatures, "photo_id")
     best = members.groupBy("set_id").agg(F.max(F.struct("sharpness", (-F.col("photo_id")).alias("neg"), "gradient", "brightness")).alias("best"))
     ranked = rank_members(members, F.desc("sharpness"), F.desc("file_size"), F.coalesce("taken_utc", "mtime_utc").asc(), "photo_id").join(best, "set_id")

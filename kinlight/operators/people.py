@@ -159,12 +159,18 @@ def auto_names(clusters: DataFrame, taken: DataFrame, prefix: str = "Person ") -
     """Placeholder names for unnamed ``clusters(cluster_id, size)`` in order of size, numbered from 1 and
     skipping numbers whose name ``taken(display_name)`` has: (cluster_id, display_name). The i-th cluster gets the
     i-th free number."""
+    return numbered_names(clusters, taken, prefix).select("cluster_id", "display_name")
+
+
+def numbered_names(clusters: DataFrame, taken: DataFrame, prefix: str) -> DataFrame:
+    """As :func:`auto_names`, with ``nth``, the cluster's place from 1 in order of size."""
     group = F.lit("")
     ranked, _ = numbered(clusters.select("cluster_id", "size"), [F.desc("size"), F.asc("cluster_id")])
     places = ranked.select(group.alias("_all"), "cluster_id", (F.col("row_no") + 1).alias("nth"))
     number = F.expr(f"try_cast(substring(display_name, {len(prefix) + 1}) as bigint)")
-    used = taken.filter(fold_case("display_name").startswith(fold_case(F.lit(prefix)))).select(group.alias("_all"), number.alias("number"))
-    return free_numbers(places, used, "_all").select("cluster_id", F.concat(F.lit(prefix), F.col("number").cast("string")).alias("display_name"))
+    written = F.concat(F.lit(prefix), number.cast("string"))  # "Person 007" doesn't take 7
+    used = taken.filter(fold_case("display_name") == fold_case(written)).select(group.alias("_all"), number.alias("number"))
+    return free_numbers(places, used, "_all").select("cluster_id", "nth", F.concat(F.lit(prefix), F.col("number").cast("string")).alias("display_name"))
 
 
 def repair_clusters(clusters: DataFrame, members: DataFrame, medoids: DataFrame) -> DataFrame:

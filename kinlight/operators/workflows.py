@@ -32,7 +32,7 @@ class Library:
     clusters: DataFrame
 
 
-def _decided():
+def decided():
     return F.coalesce(F.col("assignment").isin(1, 2), F.lit(False))
 
 
@@ -63,7 +63,7 @@ def name_group(library: Library, cluster_id: int, name: str, new_id: int, least:
     person = persons.filter(fold_case("display_name") == fold_case(clean)).select("person_id").first().person_id
     if status == "named":
         persons = persons.withColumn("cover_face_id", F.when(F.col("person_id") == person, F.lit(group.medoid_face_id)).otherwise(F.col("cover_face_id")))
-    before = library.faces.filter((F.col("cluster_id") == cluster_id) & ~_decided()).count()
+    before = library.faces.filter((F.col("cluster_id") == cluster_id) & ~decided()).count()
     named = F.when(F.col("cluster_id") == cluster_id, F.lit(person).cast("long")).otherwise(F.col("person_id"))
     now = recalibrate(Library(persons, cut(faces), cut(library.clusters.withColumn("person_id", named))), [person])
     now, groups, absorbed = absorb_groups(now, person, least)
@@ -79,13 +79,13 @@ def absorb_groups(library: Library, person: int, least: float = MATCH) -> tuple[
     open_groups = library.clusters.filter("person_id is null").select("cluster_id", F.lit(None).cast("long").alias("person_id"))
     means = unit_mean(library.faces.filter("vector is not null").join(open_groups.select("cluster_id"), "cluster_id", "left_semi"), "cluster_id", zero_as_null=True)
     near = absorb(own, means.filter("centroid is not null").join(open_groups, "cluster_id"), least).select("cluster_id")
-    free = library.faces.filter(~_decided()).join(near, "cluster_id", "left_semi").groupBy("cluster_id").agg(F.count("*").alias("n"))
+    free = library.faces.filter(~decided()).join(near, "cluster_id", "left_semi").groupBy("cluster_id").agg(F.count("*").alias("n"))
     taken = cut(free.withColumn("_taken", F.lit(True)))
     groups, faces = taken.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not groups:
         return library, 0, 0
     marked = library.faces.join(taken.select("cluster_id", "_taken"), "cluster_id", "left")
-    changed = people.assign(marked, F.col("_taken").isNotNull() & ~_decided(), F.lit(person), 0).select(*library.faces.columns)
+    changed = people.assign(marked, F.col("_taken").isNotNull() & ~decided(), F.lit(person), 0).select(*library.faces.columns)
     clusters = library.clusters.join(taken.select("cluster_id", "_taken"), "cluster_id", "left")
     clusters = clusters.withColumn("person_id", F.when(F.col("_taken"), F.lit(person).cast("long")).otherwise(F.col("person_id")))
     return recalibrate(Library(library.persons, cut(changed), cut(clusters.select(*library.clusters.columns))), [person]), int(groups), int(faces)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinlight.operators import exports, lookups, maintenance, people, search
+from kinlight.operators import exports, lookups, maintenance, naming, people, search, workflows
 from kinlight.plans.registry import query, with_views
 from kinlight.sources import sinks, tables
 
@@ -213,3 +213,33 @@ def undo_candidates(spark, d):
 def undoable_runs(spark, d):
     p = tables.photos(spark, d)
     return p.select("photo_id", lookups.can_be_undone(F.col("photo_id") % 2, F.col("photo_id") % 4).alias("undoable"))
+
+
+@query(f"""{with_views("vectors")}, held AS (SELECT face_id, vector, person_id AS cluster_id, face_id % 7 <> 0 AND person_id % 10 <> 3 AS open FROM vectors),
+    ranked AS (SELECT cluster_id, count(*) FILTER (open) AS free, row_number() OVER (ORDER BY count(*) DESC, cluster_id) AS i FROM held GROUP BY cluster_id),
+    parts AS (SELECT i, open, unnest(vector) AS x, unnest(range(len(vector))) AS pos FROM held JOIN ranked USING (cluster_id) WHERE free > 0),
+    sums AS (SELECT i, pos, sum(x) AS a, sum(x) FILTER (open) AS o FROM parts GROUP BY i, pos),
+    means AS (SELECT i, list(a / la ORDER BY pos) AS m, list(o / lo ORDER BY pos) AS own FROM sums JOIN (SELECT i, sqrt(sum(a * a)) AS la, sqrt(sum(o * o)) AS lo FROM sums GROUP BY i) USING (i) GROUP BY i),
+    links AS (SELECT g.i, list(h.i) AS hs FROM means h JOIN means g ON h.i < g.i WHERE list_sum(list_transform(list_zip(h.own, g.m), lambda z: z[1] * z[2])) >= 0.3 GROUP BY g.i),
+    turns AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS named, NULL::BIGINT AS leader UNION ALL
+        SELECT r.i, CASE WHEN free > 0 AND NOT list_has_any(named, coalesce(hs, []::BIGINT[])) THEN list_append(named, r.i) ELSE named END,
+        CASE WHEN free = 0 THEN NULL WHEN list_has_any(named, coalesce(hs, []::BIGINT[])) THEN list_min(list_intersect(named, hs)) ELSE r.i END
+        FROM turns t JOIN ranked r ON r.i = t.i + 1 LEFT JOIN links l ON l.i = r.i),
+    numbers AS (SELECT k, row_number() OVER (ORDER BY k) AS nth FROM (SELECT unnest(range(1, 2 + (SELECT count(*) FROM ranked) + 2)) AS k) WHERE k NOT IN (2, 3)),
+    names AS (SELECT i, 'Person ' || k AS name FROM (SELECT i, row_number() OVER (ORDER BY i) AS nth FROM turns WHERE leader = i) JOIN numbers USING (nth))
+    SELECT r.cluster_id, name AS display_name, CASE WHEN leader IS NULL THEN 0 ELSE free END AS faces, leader = t.i AS named
+    FROM ranked r JOIN turns t USING (i) LEFT JOIN names n ON n.i = t.leader""")
+def name_all_groups(spark, d):
+    """Groups of the embeddings' people, some of whose faces, or all, are decided on; two numbers are taken."""
+    v = tables.vectors(spark, d).withColumn("cluster_id", F.col("person_id").cast("long"))
+    held = F.when((F.col("face_id") % 7 == 0) | (F.col("cluster_id") % 10 == 3), 1).otherwise(0)
+    faces = v.select("face_id", F.lit(None).cast("long").alias("person_id"), "cluster_id", held.alias("assignment"), "vector", F.lit(1.0).alias("min_side"), F.lit(1.0).alias("score"))
+    groups = v.groupBy("cluster_id").agg(F.lit(None).cast("long").alias("person_id"), F.count("*").alias("size"), F.min("face_id").alias("medoid_face_id"))
+    taken = F.when(F.col("person_id") == 1, "Person 2").when(F.col("person_id") == 2, "PERSON 3").otherwise(F.col("display_name"))
+    known = tables.persons(spark, d).select(F.col("person_id").cast("long").alias("person_id"), taken.alias("display_name"), F.lit(None).cast("long").alias("cover_face_id"), F.lit(None).cast("array<double>").alias("centroid"))
+    now, _ = naming.name_all_groups(workflows.Library(known, faces, groups), "Person", 1 << 40, 0.3)
+    owned = now.faces.groupBy("cluster_id").agg(F.count("person_id").alias("faces"))
+    found = now.clusters.join(now.persons.select("person_id", "display_name", "cover_face_id"), "person_id", "left").join(owned, "cluster_id")
+    leads = now.faces.select(F.col("face_id").alias("cover_face_id"), F.col("cluster_id").alias("_led"))
+    named = F.when(F.col("person_id").isNotNull(), F.col("_led") == F.col("cluster_id"))
+    return found.join(leads, "cover_face_id", "left").select("cluster_id", "display_name", "faces", named.alias("named"))
