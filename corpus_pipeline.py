@@ -37,13 +37,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, the one with the smallest id. Texts without words (null,
-    empty) are near copies of each other; repeated rows leave one. An empty table stays empty."""
-    return drop_near_duplicates(docs)
-
-
-def alike_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As :func:`near_stage`, with components over texts of a 5-word Jaccard share of 0.8 or more, too."""
+    """One document of each component of near-duplicates, the one with the smallest id. Texts link whose SimHash
+    fingerprints are near, and whose sets of 5-word shingles have a Jaccard share of 0.8 or more. Texts without words
+    (null, empty) are near copies of each other; repeated rows leave one. An empty table stays empty."""
     return drop_near_duplicates(docs, least=ALIKE)
 
 
@@ -67,9 +63,6 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing_stage),
 ]
 
-#: The stages with near copies beyond the fingerprints' radius dropped, too.
-ALIKE_STAGES: list[tuple[str, Stage]] = [(name, alike_stage if stage is near_stage else stage) for name, stage in STAGES]
-
 #: Stages that SQL can't express (the classifier, SimHash, the tokenizer) make the rows.
 ORACLE_SQL = None
 
