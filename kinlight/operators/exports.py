@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlight.functions.text import extension, file_name, fold_case, folder_name, inside, stem
+from kinlight.functions.text import file_name, fold_case, folder_name, inside, stem
 from kinlight.operators.maintenance import delete_photos
 from kinlight.plans.lineage import cut
 from kinlight.plans.numbering import free_numbers, numbered_in_groups
@@ -143,7 +143,3 @@ def add_scan_root(roots: DataFrame, path: str, exists: bool = True) -> tuple[Dat
         return roots, "already_covered"
     row = roots.sparkSession.range(1).select(new.alias("path"))
     return roots.filter(~inside(F.col("path"), new, itself=False)).unionByName(row, allowMissingColumns=True), "added"
-
-
-def is_photo(path: Column | str) -> Column:
-    return extension(path) != ""
