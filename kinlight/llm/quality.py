@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -224,14 +223,17 @@ def drop_low_quality(docs: DataFrame, forest: Forest, threshold: float = THRESHO
     if not forest.rows:
         return docs
     common.small_text_batches(docs.sparkSession)
-    name = common.unused("score", docs)
+    return docs.mapInArrow(common.trimmed(_good(forest, threshold)), docs.schema)
 
-    @F.pandas_udf("double")
-    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            data, offsets = common.buffers(pa.array(texts, pa.string(), from_pandas=True))
+
+def _good(forest: Forest, threshold: float):
+    """Batches with the rows that score ``threshold`` or more. Rows go through Python whole: beside a column that is
+    computed there, Spark would hold all rows of a task back until their scores come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = common.buffers(batch.column("text"))
             out = [forest.scores(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in common.runs_of_documents(offsets)]
-            yield pd.Series(np.concatenate([*out, np.zeros(0)]))
-        common.trim()
+            yield batch.filter(pa.array(np.concatenate([*out, np.zeros(0)]) >= threshold))
 
-    return docs.withColumn(name, scores("text")).filter(F.col(name) >= threshold).drop(name)
+    return run
