@@ -131,14 +131,14 @@ ORACLE_SQL = {
             SELECT item_id, 'i', lower(coalesce(text, '')) FROM benchmark WHERE item_id IS NOT NULL
         ), worded AS (
             SELECT id, kind, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM broken
-        ), shingled AS (
-            SELECT id, kind, unnest(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
-                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s
-            FROM worded WHERE len(w) > 0
+        ), widths AS (
+            SELECT DISTINCT least(len(w), 5) AS k FROM worded WHERE kind = 'i' AND len(w) > 0
         ), item AS (
-            SELECT DISTINCT id AS item_id, s FROM shingled WHERE kind = 'i'
+            SELECT DISTINCT id AS item_id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(list_slice(w, i, i + least(len(w), 5) - 1), ' '))) AS s
+            FROM worded WHERE kind = 'i' AND len(w) > 0
         ), doc AS (
-            SELECT DISTINCT id AS doc_id, s FROM shingled WHERE kind = 'd'
+            SELECT DISTINCT id AS doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS s
+            FROM worded JOIN widths ON k <= len(w) WHERE kind = 'd'
         ), sizes AS (
             SELECT item_id, count(*) AS n FROM item GROUP BY item_id
         ), found AS (
