@@ -12,7 +12,7 @@ from kinlight.functions.text import fold_case
 from kinlight.operators.graph import connected_components
 from kinlight.operators.vectors import similar_pairs, unit_mean
 from kinlight.plans.lineage import cut, is_small, join_spread
-from kinlight.plans.numbering import numbered
+from kinlight.plans.numbering import numbered, numbered_in_groups
 
 FACE_SIMILARITY, PERSON_SIMILARITY = 0.92, 0.5
 
@@ -28,8 +28,17 @@ def closest(pairs: DataFrame) -> DataFrame:
     return both.groupBy("member").agg(F.max("similarity").alias("closest"))
 
 
-def rank_members(members: DataFrame, *order: Column | str) -> DataFrame:
+#: Members of a set that one task ranks; larger sets are numbered over many tasks.
+RANKED_AT_ONCE = 1_000_000
+
+
+def rank_members(members: DataFrame, *order: Column | str, at_once: int = RANKED_AT_ONCE) -> DataFrame:
     """``rank`` from 1 and ``size`` inside each ``set_id``."""
+    members = cut(members)
+    sizes = members.groupBy("set_id").agg(F.count("*").alias("size"))
+    if not sizes.filter(F.col("size") > at_once).isEmpty():
+        numbered_ = numbered_in_groups(members.withColumn("_set", F.col("set_id").cast("string")), "_set", [F.col(o) if isinstance(o, str) else o for o in order])
+        return join_spread(numbered_.drop("_set").withColumnRenamed("nth", "rank"), sizes, ["set_id"], "rank", "inner")
     inside = Window.partitionBy("set_id")
     return members.withColumns({"rank": F.row_number().over(inside.orderBy(*order)), "size": F.count("*").over(inside)})
 
@@ -258,13 +267,14 @@ def exact_copies(table: DataFrame, id_col: str, content_col: str) -> DataFrame:
     by digest; the groups are aggregated before they are joined back."""
     keyed = table.select(F.col(id_col).alias("id"), F.md5(F.coalesce(content_col, F.lit("")).cast("binary")).alias("digest"))
     groups = keyed.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
-    return keyed.join(groups, "digest").select("id", "first_id", "copies")
+    return join_spread(keyed, groups, ["digest"], "id", "inner").select("id", "first_id", "copies")
 
 
 def without_moved(members: DataFrame, moved: DataFrame, id_col: str) -> DataFrame:
     """A result without members that were moved, and without sets that then have fewer than two."""
     left = members.join(moved.select(id_col), id_col, "left_anti")
-    return left.withColumn("_n", F.count("*").over(Window.partitionBy("set_id"))).filter("_n >= 2").drop("_n")
+    sizes = left.groupBy("set_id").agg(F.count("*").alias("_n")).filter("_n >= 2")
+    return join_spread(left, sizes, ["set_id"], id_col, "inner").select(*members.columns)
 
 
 def selection(members: DataFrame, bytes_col: str = "file_size") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlight.functions.text import fold_case, natural_key, valid_name
 from kinlight.functions.vectors import dot
 from kinlight.operators.vectors import unit_mean
+from kinlight.plans.lineage import join_spread
 from kinlight.plans.numbering import free_numbers, numbered
 from kinlight.sources.sinks import upsert
 
@@ -56,14 +57,16 @@ def covers(faces: DataFrame, centroids: DataFrame, current: DataFrame | None = N
     """Each person's cover face: (person_id, cover_face_id). The current one stays if it is still the
     person's; else the face nearest to the centroid; else, without vectors, the largest by shorter side and
     score. ``faces(face_id, person_id, vector, min_side, score)``; ties go to the smaller id."""
-    near = F.round(dot("vector", "centroid"), 9)
-    joined = faces.join(centroids.select("person_id", "centroid"), "person_id", "left").withColumn("_near", F.when(F.size("vector") > 0, near))
+    near = F.when(F.size("vector") > 0, F.round(dot("vector", "centroid"), 9))
+    known = centroids.select("person_id", "centroid")
     if current is not None:
-        joined = joined.join(current.select("person_id", F.col("cover_face_id").alias("_now")), "person_id", "left")
+        known = known.join(current.select("person_id", F.col("cover_face_id").alias("_now")), "person_id", "full")
     else:
-        joined = joined.withColumn("_now", F.lit(None).cast("long"))
-    best = Window.partitionBy("person_id").orderBy((F.col("face_id") == F.col("_now")).desc_nulls_last(), F.desc_nulls_last("_near"), F.desc("min_side"), F.desc("score"), "face_id")
-    return joined.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("person_id", F.col("face_id").alias("cover_face_id"))
+        known = known.withColumn("_now", F.lit(None).cast("long"))
+    joined = join_spread(faces, known, ["person_id"], "face_id")
+    kept = F.coalesce(F.col("face_id") == F.col("_now"), F.lit(False))
+    best = F.max(F.struct(kept.alias("kept"), near.alias("near"), F.col("min_side").alias("side"), F.col("score").alias("score"), (-F.col("face_id")).alias("first")))
+    return joined.groupBy("person_id").agg(best.alias("best")).select("person_id", (-F.col("best.first")).alias("cover_face_id"))
 
 
 def calibrate(persons: DataFrame, faces: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kinlight.functions.vectors import dot
 from kinlight.operators.blocks import BLOCK, PAIR, blocks_of, matrix
-from kinlight.plans.lineage import BROADCAST_ROWS, cut, is_small
+from kinlight.plans.lineage import BROADCAST_ROWS, cut, is_small, join_spread
 
 #: Defaults of the face graph.
 NEIGHBOURS, SIMILARITY = 20, 0.35
@@ -118,7 +118,7 @@ def medoid(vectors: DataFrame, key: str, id_col: str = "face_id", vector_col: st
     """The member with the largest sum of similarities to the others of its key: (key, medoid). As the sum
     over j of v.w_j is v.S, with S the sum of all, each row needs one product. Ties go to the smaller id."""
     sums = vector_sums(vectors, key, vector_col)
-    scored = vectors.filter(F.col(vector_col).isNotNull()).join(sums, key).select(key, F.col(id_col).alias("id"), (dot(vector_col, "sum") - dot(vector_col, vector_col)).alias("score"))
+    scored = join_spread(vectors.filter(F.col(vector_col).isNotNull()), sums, [key], id_col, "inner").select(key, F.col(id_col).alias("id"), (dot(vector_col, "sum") - dot(vector_col, vector_col)).alias("score"))
     return scored.groupBy(key).agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("id")).alias("neg"))).alias("m")).select(key, (-F.col("m.neg")).alias("medoid"))
 
 

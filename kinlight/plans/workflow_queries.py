@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinlight.operators import exports, lookups, maintenance, naming, people, search, workflows
+from kinlight.plans.lineage import join_spread
 from kinlight.plans.registry import query, with_views
 from kinlight.sources import sinks, tables
 
@@ -202,11 +203,9 @@ def update_states(spark, d):
 
 @query("""SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE doc_id % 10 <> 0 AND source <> 'src3'""")
 def undo_candidates(spark, d):
-    from pyspark.sql import Window
-
     docs = tables.raw(spark, d, "documents").select("doc_id", "source")
     left = maintenance.delete_keys(maintenance.delete_keys(docs, docs.filter("doc_id % 10 = 0").select("doc_id")), docs.filter("source = 'src3'").select("source"))
-    return left.withColumn("n", F.count("*").over(Window.partitionBy("source")))
+    return join_spread(left, left.groupBy("source").agg(F.count("*").alias("n")), ["source"], "doc_id", "inner")
 
 
 @query(f"""{with_views("photos")} SELECT photo_id, state = 2 AS undoable FROM (SELECT photo_id, CASE WHEN photo_id % 2 = 1 AND photo_id % 4 IN (1, 2) THEN 2 ELSE 0 END AS state FROM photos)""")
