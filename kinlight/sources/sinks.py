@@ -75,6 +75,7 @@ def publish(table: DataFrame, path: str) -> None:
     the write fails, nothing has changed. Between two renames there is no table; a crash just there leaves the old
     rows in ``path.old`` and the new ones in ``path.staged``, from which :func:`recover` goes on."""
     spark: SparkSession = table.sparkSession
+    recover(spark, path)  # what an earlier crash left staged isn't written over
     jvm, staged = spark.sparkContext._jvm, f"{path}.staged"
     table.write.mode("overwrite").parquet(staged)
     target, source, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged, f"{path}.old"))
