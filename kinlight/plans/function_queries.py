@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from kinlight.functions import geometry as G
 from kinlight.functions import hashing as H
-from kinlight.functions import imaging
 from kinlight.functions import text as T
 from kinlight.operators import clustering, duplicates, exports, lookups, maintenance, people, workflows
 from kinlight.plans.registry import query, with_views
@@ -70,14 +69,20 @@ def image_sizes(spark, d):
     return sized.select("p_partkey", F.round(G.downscale(F.col("w"), F.col("h"), 800), 6).alias("factor"), F.col("u.width").alias("width"), F.col("u.height").alias("height"))
 
 
-@query("""SELECT stride, y * (640 // stride) * 2 + x * 2 + a AS anchor, CAST(x * stride AS DOUBLE) AS cx, CAST(y * stride AS DOUBLE) AS cy, x * stride - 1.0::DOUBLE AS left_x, y * stride - 2.0::DOUBLE AS top_y, 4.0::DOUBLE AS w, 6.0::DOUBLE AS h
-    FROM (SELECT unnest([8, 16, 32]) AS stride), LATERAL (SELECT unnest(range(640 // stride)) AS y), LATERAL (SELECT unnest(range(640 // stride)) AS x), (SELECT unnest([0, 1]) AS a)""")
+@query("""WITH a AS (SELECT p_partkey, p_size, [8, 16, 32][p_partkey % 3 + 1] AS stride FROM part),
+    n AS (SELECT *, 640 // stride AS cells, p_partkey % (2 * (640 // stride) * (640 // stride)) AS anchor FROM a),
+    c AS (SELECT *, (anchor // 2 % cells * stride)::DOUBLE AS cx, (anchor // 2 // cells * stride)::DOUBLE AS cy FROM n)
+    SELECT p_partkey, stride, anchor, cx, cy, cx - p_size AS left_x, cy - p_size / 2 AS top_y, (2 * p_size + 1)::DOUBLE AS w, p_size / 2 + p_size + 3 AS h FROM c""")
 def anchor_boxes(spark, d):
-    """The detector head's anchors, with the box whose sides are 1, 2, 3 and 4 away from each."""
-    rows = [(stride, i, float(x), float(y)) for stride in (8, 16, 32) for i, (x, y) in enumerate(imaging.anchor_centres(640, stride, 2).tolist())]
-    b = G.distance_box(F.col("cx"), F.col("cy"), *[F.lit(float(v)) for v in (1, 2, 3, 4)])
-    found = spark.createDataFrame(rows, "stride int, anchor long, cx double, cy double").withColumn("b", b)
-    return found.select("stride", "anchor", "cx", "cy", F.col("b.x").alias("left_x"), F.col("b.y").alias("top_y"), "b.w", "b.h")
+    """The box that each part's sizes, as distances from an anchor of the detector's head, make."""
+    p = tables.raw(spark, d, "part").withColumn("stride", F.get(F.array(F.lit(8), F.lit(16), F.lit(32)), (F.col("p_partkey") % 3).cast("int")))
+    cells = (F.lit(640) / F.col("stride")).cast("long")
+    anchors = p.withColumn("anchor", F.col("p_partkey") % (2 * cells * cells))
+    cell = F.floor(F.col("anchor") / 2)
+    centred = anchors.withColumns({"cx": (cell % cells * F.col("stride")).cast("double"), "cy": (F.floor(cell / cells) * F.col("stride")).cast("double")})
+    size = F.col("p_size").cast("double")
+    found = centred.withColumn("b", G.distance_box(F.col("cx"), F.col("cy"), size, size / 2, size + 1, size + 3))
+    return found.select("p_partkey", "stride", "anchor", "cx", "cy", F.col("b.x").alias("left_x"), F.col("b.y").alias("top_y"), "b.w", "b.h")
 
 
 @query(f"""WITH e AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
@@ -162,32 +167,46 @@ def _library(spark, d):
 _LIBRARY = f"""{with_views("vectors")}, f AS (SELECT face_id, CASE WHEN person_id % 2 = 0 THEN person_id END AS person_id, person_id AS cluster_id, CASE WHEN face_id % 5 = 0 THEN 1 ELSE 0 END AS assignment FROM vectors)"""
 
 
-@query(f"""{_LIBRARY} SELECT face_id, CASE WHEN cluster_id = 11 AND assignment = 0 THEN 9000 ELSE person_id END AS person_id FROM f""")
+def _named(least: float) -> str:
+    """A group's free faces get the new person, and so do those of unnamed groups whose mean is near enough to theirs."""
+    return f"""{_LIBRARY}, parts AS (SELECT cluster_id, assignment, unnest(vector) AS x, unnest(range(len(vector))) AS pos FROM f JOIN vectors USING (face_id) WHERE cluster_id % 2 = 1),
+    sums AS (SELECT cluster_id, pos, sum(x) AS s, sum(x) FILTER (assignment = 0) AS o FROM parts GROUP BY cluster_id, pos),
+    own AS (SELECT pos, o / (SELECT sqrt(sum(o * o)) FROM sums WHERE cluster_id = 11) AS o FROM sums WHERE cluster_id = 11),
+    near AS (SELECT cluster_id FROM sums JOIN own USING (pos) GROUP BY cluster_id HAVING sum(s * own.o) / sqrt(sum(s * s)) >= {least} OR cluster_id = 11)
+    SELECT face_id, CASE WHEN cluster_id IN (FROM near) AND assignment = 0 THEN 9000 ELSE person_id END AS person_id FROM f"""
+
+
+@query(_named(0.15))
 def name_group(spark, d):
-    """A group is named; none is near enough to be absorbed at this similarity."""
-    return workflows.name_group(_library(spark, d), 11, "Ann", 9000, least=2.0)[0].faces.select("face_id", "person_id")
+    """A group is named, and absorbs the few that look much like it."""
+    return workflows.name_group(_library(spark, d), 11, "Ann", 9000, least=0.15)[0].faces.select("face_id", "person_id")
 
 
-@query(f"""{_LIBRARY}, free AS (SELECT DISTINCT cluster_id FROM f WHERE cluster_id % 2 = 1 AND assignment = 0)
-    SELECT face_id, CASE WHEN cluster_id IN (FROM free) AND assignment = 0 THEN 9000 ELSE person_id END AS person_id FROM f""")
+@query(_named(-0.05))
 def name_group_absorbing(spark, d):
-    """At a similarity that all groups reach, every unnamed one is absorbed; decided faces stay."""
-    return workflows.name_group(_library(spark, d), 11, "Ann", 9000, least=-2.0)[0].faces.select("face_id", "person_id")
+    """At a lower similarity more unnamed groups are absorbed; decided faces stay."""
+    return workflows.name_group(_library(spark, d), 11, "Ann", 9000, least=-0.05)[0].faces.select("face_id", "person_id")
 
 
 @query(f"""{_LIBRARY}, m AS (SELECT face_id, CASE WHEN person_id IN (2, 4) THEN 6 ELSE person_id END AS person_id FROM f),
     parts AS (SELECT m.person_id, unnest(vector) AS x, unnest(range(len(vector))) AS pos FROM m JOIN vectors USING (face_id) WHERE m.person_id IS NOT NULL),
-    sums AS (SELECT person_id, pos, sum(x) AS s FROM parts GROUP BY person_id, pos) SELECT person_id, round(max(s) / sqrt(sum(s * s)), 6) AS most FROM sums WHERE person_id = 6 GROUP BY person_id""")
+    sums AS (SELECT person_id, pos, sum(x) AS s FROM parts WHERE person_id = 6 GROUP BY person_id, pos) SELECT person_id, pos, round(s / (SELECT sqrt(sum(s * s)) FROM sums), 6) AS value FROM sums""")
 def merge_calibrated(spark, d):
-    """The merged person's fresh centroid, by its largest value."""
+    """The merged person's fresh centroid."""
     now = workflows.merge_people(_library(spark, d), 6, [2, 4])[0]
-    return now.persons.filter("person_id = 6").select("person_id", F.round(F.array_max("centroid"), 6).alias("most"))
+    found = now.persons.filter("person_id = 6").select("person_id", F.posexplode("centroid").alias("pos", "value"))
+    return found.select("person_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
-@query(f"""{_LIBRARY} SELECT count(DISTINCT person_id) AS people, 0::BIGINT AS averages_lost, count(DISTINCT person_id) AS covers FROM f""")
+@query(f"""{_LIBRARY}, parts AS (SELECT f.person_id, unnest(vector) AS x, unnest(range(len(vector))) AS pos FROM f JOIN vectors USING (face_id) WHERE f.person_id IS NOT NULL),
+    sums AS (SELECT person_id, pos, sum(x) AS s FROM parts GROUP BY person_id, pos),
+    means AS (SELECT person_id, list(s / l ORDER BY pos) AS c, max(s / l) AS most FROM sums JOIN (SELECT person_id, sqrt(sum(s * s)) AS l FROM sums GROUP BY person_id) USING (person_id) GROUP BY person_id),
+    near AS (SELECT f.person_id, face_id, most, list_sum(list_transform(list_zip(vector, c), lambda z: z[1] * z[2])) AS s FROM f JOIN vectors USING (face_id) JOIN means ON means.person_id = f.person_id)
+    SELECT person_id, face_id AS cover_face_id, round(most, 6) AS most, (SELECT count(DISTINCT person_id) FROM f) AS people FROM near QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY round(s, 9) DESC, face_id) = 1""")
 def repair_counts(spark, d):
-    outcome = workflows.repair(_library(spark, d))[1]
-    return spark.createDataFrame([(outcome["people"], outcome["averages_lost"], outcome["covers"])], "people long, averages_lost long, covers long")
+    """Everybody's cover and centroid after a repair, by its largest value, and how many people were calibrated."""
+    now, outcome = workflows.repair(_library(spark, d))
+    return now.persons.select("person_id", "cover_face_id", F.round(F.array_max("centroid"), 6).alias("most"), F.lit(outcome["people"]).cast("long").alias("people"))
 
 
 @query(f"""{with_views("vectors")} SELECT count(*) AS restored, 0::BIGINT AS remain FROM vectors WHERE person_id = 11""")

@@ -191,16 +191,19 @@ def nms(spark, d):
     return imaging.non_maximum_suppression(numbered, "photo_id", 0.3)
 
 
-@query("""SELECT stride, y * (640 // stride) * 2 + x * 2 + a AS anchor, CAST(x * stride AS DOUBLE) AS cx, CAST(y * stride AS DOUBLE) AS cy
-    FROM (SELECT unnest([8, 16, 32]) AS stride), LATERAL (SELECT unnest(range(640 // stride)) AS y), LATERAL (SELECT unnest(range(640 // stride)) AS x), (SELECT unnest([0, 1]) AS a)""")
+@query("""WITH sides AS (SELECT DISTINCT 64 * (1 + p_size % 5) AS side FROM part)
+    SELECT side, stride, y * (side // stride) * 2 + x * 2 + a AS anchor, CAST(x * stride AS DOUBLE) AS cx, CAST(y * stride AS DOUBLE) AS cy
+    FROM sides, (SELECT unnest([8, 16, 32]) AS stride), LATERAL (SELECT unnest(range(side // stride)) AS y), LATERAL (SELECT unnest(range(side // stride)) AS x), (SELECT unnest([0, 1]) AS a)""")
 def anchor_centres(spark, d):
-    strides = spark.range(1).select(F.explode(F.array(F.lit(8), F.lit(16), F.lit(32))).alias("stride"))
-    cells = (F.lit(640) / F.col("stride")).cast("int")
-    rows = strides.select("stride", cells.alias("cells"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("y"))
-    grid = rows.select("stride", "cells", "y", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("x"))
-    both = grid.select("stride", "cells", "y", "x", F.explode(F.array(F.lit(0), F.lit(1))).alias("a"))
+    """The anchors of all inputs of the sizes that parts ask for."""
+    sides = tables.raw(spark, d, "part").select((64 * (1 + F.col("p_size") % 5)).cast("int").alias("side")).distinct()
+    strides = sides.select("side", F.explode(F.array(F.lit(8), F.lit(16), F.lit(32))).alias("stride"))
+    cells = (F.col("side") / F.col("stride")).cast("int")
+    rows = strides.select("side", "stride", cells.alias("cells"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("y"))
+    grid = rows.select("side", "stride", "cells", "y", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("x"))
+    both = grid.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("a"))
     anchor = (F.col("y") * F.col("cells") + F.col("x")) * 2 + F.col("a")
-    return both.select("stride", anchor.cast("long").alias("anchor"), (F.col("x") * F.col("stride")).cast("double").alias("cx"), (F.col("y") * F.col("stride")).cast("double").alias("cy"))
+    return both.select("side", "stride", anchor.cast("long").alias("anchor"), (F.col("x") * F.col("stride")).cast("double").alias("cx"), (F.col("y") * F.col("stride")).cast("double").alias("cy"))
 
 
 @query("""WITH p AS (SELECT vec_id, unnest(range(5)) AS i, embedding::DOUBLE[] AS e FROM embeddings),
