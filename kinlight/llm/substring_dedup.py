@@ -11,6 +11,7 @@ document with a smaller id. Overlapping windows make up the maximal repeats, whi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,8 @@ from kinlight.plans.lineage import HOT_KEYS, broadcast_if_small, cut, join_sprea
 #: Words of a window, and of an anchor.
 WINDOW = 13
 ANCHOR = 5
-#: Bits a shared anchor gets in the filter that tells which anchors several documents share, and the most that
-#: the filter has (a broadcast of 128 MB). Where it fills up it passes more anchors, which the join on anchors
-#: leaves out: that costs time but no result.
+#: Bits a shared anchor gets in the filter that tells which anchors several documents share, and the most that a part
+#: of the filter has (a broadcast of 128 MB). A longer filter is cut into parts, and texts are read once for each.
 BITS_AN_ANCHOR = 16
 MOST_FILTER_BITS = 1 << 30
 #: Windows of one anchor that a task compares by itself.
@@ -110,7 +110,7 @@ def _binary(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(joined)])
 
 
-def _extension_batches(shared, common_anchors, bits: int, window: int, anchor: int, hash_bits: int):
+def _extension_batches(shared, common_anchors, bits: int, nth: int, window: int, anchor: int, hash_bits: int):
     """Anchors that the filter passes, each with the words of the windows that chose it. Each window of a
     common anchor is a row of its own, once a document, with all places that it begins at; its key is spread
     over all tasks."""
@@ -124,7 +124,7 @@ def _extension_batches(shared, common_anchors, bits: int, window: int, anchor: i
         for batch in batches:
             for i, data, offsets in _slices(batch):
                 found, (starts, ends, first) = anchored_windows(data, offsets, window, anchor, hash_bits)
-                passed = _has(flags, found[2], bits)
+                passed = _has(flags, found[2], bits, nth)
                 of, word, least, place = (x[passed] for x in found)
                 alone = often[np.minimum(np.searchsorted(often, least), len(often) - 1)] == least if len(often) else np.zeros(len(of), bool)
                 f, w = of[alone], word[alone]
@@ -173,17 +173,21 @@ def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
     return common.mix(hashes).astype(np.int64) & (bits - 1)
 
 
-def _has(flags: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    bit = _bit(hashes, bits)
-    return (flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+def _has(flags: np.ndarray, hashes: np.ndarray, bits: int, part: int) -> np.ndarray:
+    """Which hashes have their bit in this part of a filter of ``bits`` bits, and have it set."""
+    bit = _bit(hashes, bits) - part * len(flags) * 8
+    here = (bit >= 0) & (bit < len(flags) * 8)
+    bit = np.where(here, bit, 0)
+    return here & ((flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1)
 
 
-def _filter_words(bits: int):
-    """The 64-bit words that a task's anchors set in a filter of ``bits`` bits."""
+def _filter_words(bits: int, first: int, last: int):
+    """The 64-bit words that a task's anchors set in a filter of ``bits`` bits, from bit ``first`` up to ``last``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bit = np.unique(_bit(batch.column("anchor").to_numpy(zero_copy_only=False).view(np.uint64), bits))
+            bit = bit[(bit >= first) & (bit < last)] - first
             at, new = np.unique(bit >> 6, return_index=True)
             words = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), new) if len(at) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words.view(np.int64))], ["at", "word"])
@@ -191,21 +195,25 @@ def _filter_words(bits: int):
     return run
 
 
-def _shared_filter(anchors: DataFrame, often: int):
-    """Broadcast a bitmap of the anchors that two or more documents have, sized by their number, and a sorted
-    list of the common ones; and the bitmap's size in bits. Smallest and largest ids are combined map-side, so a
-    frequent anchor is one row a task."""
+def _shared_filter(anchors: DataFrame, often: int) -> tuple[list, object, int]:
+    """Broadcast a bitmap of the anchors that two or more documents have, in as many parts as its size by their number
+    asks for, and a sorted list of the common ones; and the bitmap's size in bits. Smallest and largest ids are combined
+    map-side, so a frequent anchor is one row a task."""
     several = cut(anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b").select("anchor", "n"))
     n, total = several.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = min(MOST_FILTER_BITS, 1 << max(16, (BITS_AN_ANCHOR * n - 1).bit_length()))
-    words = several.select("anchor").mapInArrow(common.trimmed(_filter_words(bits)), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
-    flags = np.zeros(bits // 64, np.int64)
-    held = words.toArrow()  # one row a word of the bitmap at most
-    flags[held.column("at").to_numpy()] = held.column("word").to_numpy()
+    bits = 1 << max(6, (BITS_AN_ANCHOR * n - 1).bit_length())
+    each = min(bits, MOST_FILTER_BITS)
+    context = anchors.sparkSession.sparkContext
+    parts = []
+    for first in range(0, bits, each):
+        words = several.select("anchor").mapInArrow(common.trimmed(_filter_words(bits, first, first + each)), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+        flags = np.zeros(each // 64, np.int64)
+        held = words.toArrow()  # one row a word of the part at most
+        flags[held.column("at").to_numpy()] = held.column("word").to_numpy()
+        parts.append(context.broadcast(flags.tobytes()))
     # at most HOT_KEYS anchors can have more than that share of all occurrences
     most = several.filter(F.col("n") > max(often, total // HOT_KEYS)).select("anchor").toArrow().column("anchor").to_numpy()
-    context = anchors.sparkSession.sparkContext
-    return context.broadcast(flags.tobytes()), context.broadcast(np.sort(most.view(np.uint64)).tobytes()), bits
+    return parts, context.broadcast(np.sort(most.view(np.uint64)).tobytes()), bits
 
 
 def _spans(doc: np.ndarray, key: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
@@ -313,9 +321,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     document with a smaller id. ``hash_bits`` is how much of the hashes is used; it changes no result."""
     named = docs.filter("doc_id is not null")
     anchors = named.select("doc_id", "text").mapInArrow(common.trimmed(_anchor_batches(window, anchor, hash_bits)), "anchor long, doc_id long")
-    shared, most, bits = _shared_filter(anchors, often)
-    extend = _extension_batches(shared, most, bits, window, anchor, hash_bits)
-    extended = named.select("doc_id", common.text_key().alias("text_key"), "text").mapInArrow(common.trimmed(extend), _EXTENDED)
+    parts, most, bits = _shared_filter(anchors, often)
+    keyed = named.select("doc_id", common.text_key().alias("text_key"), "text")
+    each = [keyed.mapInArrow(common.trimmed(_extension_batches(part, most, bits, nth, window, anchor, hash_bits)), _EXTENDED) for nth, part in enumerate(parts)]
+    extended = reduce(DataFrame.unionByName, each)
     sorted_by = extended.repartition("anchor").sortWithinPartitions("anchor")
     found = cut(sorted_by.mapInArrow(common.trimmed(_matcher(window, limit, hash_bits)), "doc_id long, text_key long, first long, last long, words binary, places array<long>"))
     spans = found.filter("words is null").select("doc_id", "text_key", "first", "last")

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -229,7 +230,7 @@ def passages(seed, n=40):
     return rows + [(7, "same id"), (None, rows[0][1]), (n, None), (n + 1, ""), (n + 2, "the " * 60), (n + 3, rows[1][1])]
 
 
-@pytest.mark.parametrize(("seed", "limit", "most_bits", "frequent", "hash_bits"), [(1, 1 << 18, 1 << 26, 10_000, 64), (2, 5, 1 << 26, 10_000, 64), (3, 1 << 18, 64, 10_000, 64), (4, 1 << 18, 1 << 26, 3, 64), (5, 5, 64, 3, 64), (6, 1 << 18, 1 << 26, 10_000, 3), (7, 300, 1 << 26, 10_000, 1), (8, 1 << 18, 1 << 26, 3, 2)])
+@pytest.mark.parametrize(("seed", "limit", "most_bits", "frequent", "hash_bits"), [(1, 1 << 18, 1 << 26, 10_000, 64), (2, 5, 1 << 26, 10_000, 64), (3, 1 << 18, 1 << 10, 10_000, 64), (4, 1 << 18, 1 << 26, 3, 64), (5, 5, 1 << 10, 3, 64), (6, 1 << 18, 1 << 26, 10_000, 3), (7, 300, 1 << 26, 10_000, 1), (8, 1 << 18, 1 << 26, 3, 2)])
 def test_removal_matches_brute_force(docs_of, monkeypatch, seed, limit, most_bits, frequent, hash_bits):
     """With few bits of the hashes, most windows under one hash differ: nothing may be cut for that."""
     real = substring_dedup.repeated_spans
@@ -240,6 +241,22 @@ def test_removal_matches_brute_force(docs_of, monkeypatch, seed, limit, most_bit
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed, r.kept_text) for r in got) == plain_removal(rows)
 
 
+def test_parts_of_a_filter_are_the_filter():
+    rng = np.random.default_rng(1)
+    shared, others, bits = rng.integers(0, 1 << 63, 300).astype(np.uint64), rng.integers(0, 1 << 63, 5000).astype(np.uint64), 1 << 13
+    passed = []
+    for size in (bits, 1 << 10):
+        found = np.zeros(5300, np.int64)
+        for nth in range(bits // size):
+            flags = np.zeros(size // 64, np.int64)
+            batch = pa.RecordBatch.from_arrays([pa.array(shared.view(np.int64))], ["anchor"])
+            (words,) = substring_dedup._filter_words(bits, nth * size, (nth + 1) * size)(iter([batch]))
+            flags[words.column("at").to_numpy()] = words.column("word").to_numpy()
+            found += substring_dedup._has(flags.view(np.uint8), np.concatenate((shared, others)), bits, nth)
+        passed.append(found)
+    assert (passed[0] == passed[1]).all() and passed[0].max() == 1 and passed[0][:300].all() and passed[0][300:].mean() < 0.06
+
+
 def test_windows_of_equal_hashes_and_other_words_stay():
     texts = [" ".join(f"{c}{i}" for i in range(13)) for c in "abcab"] + ["short", ""]
     data, offsets = arrays(texts)
