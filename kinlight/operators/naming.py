@@ -126,5 +126,5 @@ def name_all_groups(library: Library, stem: str, first_id: int, least: float = M
     persons = library.persons.unionByName(people.calibrate(covered, all_faces).select(*library.persons.columns))
     skipped, absorbed = stand.filter("free = 0").count(), given.filter("rank <> leader").count()
     assigned = changed.join(fresh.select(F.col("_person").alias("person_id")), "person_id", "left_semi").count()
-    now = replace(library, persons=cut(persons), faces=changed, clusters=cut(clusters.select(*library.clusters.columns)))
+    now = replace(library.with_faces(changed), persons=cut(persons), clusters=cut(clusters.select(*library.clusters.columns)))
     return now, {"status": "named", "named": count, "skipped": skipped, "absorbed": absorbed, "faces": assigned}

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlight.functions.text import fold_case, valid_name
-from kinlight.operators import people
+from kinlight.operators import people, sums
 from kinlight.operators.clustering import absorb
 from kinlight.operators.vectors import medoid, unit_mean
 from kinlight.plans.lineage import cut
@@ -25,11 +25,20 @@ MATCH = 0.5
 class Library:
     """``persons(person_id, display_name, cover_face_id, centroid)``, ``faces(face_id, person_id, cluster_id,
     assignment, vector, min_side, score)``, where 1 is a confirmed and 2 a rejected assignment, and
-    ``clusters(cluster_id, person_id, size, medoid_face_id)``."""
+    ``clusters(cluster_id, person_id, size, medoid_face_id)``. With ``sums`` of the people's vectors (see
+    :mod:`kinlight.operators.sums`), actions keep those up to date and take means from them."""
 
     persons: DataFrame
     faces: DataFrame
     clusters: DataFrame
+    sums: DataFrame | None = None
+
+    def with_faces(self, faces: DataFrame) -> Library:
+        """The library with changed faces, and with the sums that follow from the change."""
+        if self.sums is None:
+            return replace(self, faces=faces)
+        changed = cut(sums.differences(self.faces.drop("vector"), faces.drop("vector")))
+        return replace(self, faces=faces, sums=cut(sums.updated(self.sums, sums.change_of(changed, self.faces))))
 
 
 def decided():
@@ -40,10 +49,26 @@ def recalibrate(library: Library, ids: list[int]) -> Library:
     """Centroid and cover of some people from the faces that they have now; a person without vectors loses the
     centroid. Only those people's faces are read."""
     here = F.col("person_id").isin(ids)
-    own = people.calibrate(library.persons.filter(here), library.faces.filter(here & ~(F.col("assignment") == 2)))
+    if library.sums is None:
+        own = people.calibrate(library.persons.filter(here), library.faces.filter(here & ~(F.col("assignment") == 2)))
+    else:
+        own = _from_sums(library, here)
     return replace(library, persons=cut(library.persons.filter(~here).unionByName(own.select(*library.persons.columns))))
 
 
+def _from_sums(library: Library, here: Column) -> DataFrame:
+    """Calibrated people by their sums; vectors are read only of those whose cover isn't theirs any more."""
+    means = sums.centroids(library.sums.filter(here)).select("person_id", "centroid")
+    persons = library.persons.filter(here).drop("centroid").join(means, "person_id", "left")
+    theirs = library.faces.filter(here & ~(F.col("assignment") == 2))
+    owned = theirs.select("person_id", F.col("face_id").alias("cover_face_id"), F.lit(True).alias("_own"))
+    marked = cut(persons.join(owned, ["person_id", "cover_face_id"], "left"))
+    bare = marked.filter("_own is null")
+    fresh = people.covers(theirs.join(bare.select("person_id"), "person_id", "left_semi"), means)
+    anew = bare.drop("cover_face_id", "_own").join(fresh, "person_id", "left")
+    return marked.filter("_own").drop("_own").unionByName(anew)
+
+
 def _missing(library: Library, ids: list[int]) -> bool:
     return library.persons.filter(F.col("person_id").isin(ids)).select("person_id").distinct().count() < len(set(ids))
 
@@ -65,7 +90,7 @@ def name_group(library: Library, cluster_id: int, name: str, new_id: int, least:
         persons = persons.withColumn("cover_face_id", F.when(F.col("person_id") == person, F.lit(group.medoid_face_id)).otherwise(F.col("cover_face_id")))
     before = library.faces.filter((F.col("cluster_id") == cluster_id) & ~decided()).count()
     named = F.when(F.col("cluster_id") == cluster_id, F.lit(person).cast("long")).otherwise(F.col("person_id"))
-    now = recalibrate(Library(persons, cut(faces), cut(library.clusters.withColumn("person_id", named))), [person])
+    now = recalibrate(replace(library, persons=persons, clusters=cut(library.clusters.withColumn("person_id", named))).with_faces(cut(faces)), [person])
     now, groups, absorbed = absorb_groups(now, person, least)
     return now, {"status": status, "person_id": person, "faces": before + absorbed, "groups": groups}
 
@@ -88,7 +113,7 @@ def absorb_groups(library: Library, person: int, least: float = MATCH) -> tuple[
     changed = people.assign(marked, F.col("_taken").isNotNull() & ~decided(), F.lit(person), 0).select(*library.faces.columns)
     clusters = library.clusters.join(taken.select("cluster_id", "_taken"), "cluster_id", "left")
     clusters = clusters.withColumn("person_id", F.when(F.col("_taken"), F.lit(person).cast("long")).otherwise(F.col("person_id")))
-    return recalibrate(Library(library.persons, cut(changed), cut(clusters.select(*library.clusters.columns))), [person]), int(groups), int(faces)
+    return recalibrate(replace(library, clusters=cut(clusters.select(*library.clusters.columns))).with_faces(cut(changed)), [person]), int(groups), int(faces)
 
 
 def move_faces(library: Library, face_ids: list[int], source: int, target: int) -> tuple[Library, dict]:
@@ -100,7 +125,7 @@ def move_faces(library: Library, face_ids: list[int], source: int, target: int)
         return library, {"status": "same person"}
     if _missing(library, [source, target]):
         return library, {"status": "no such person"}
-    moved = replace(library, faces=cut(people.move_faces(library.faces, F.col("face_id").isin(face_ids), target)))
+    moved = library.with_faces(cut(people.move_faces(library.faces, F.col("face_id").isin(face_ids), target)))
     return recalibrate(moved, [source, target]), {"status": "moved", "faces": len(set(face_ids))}
 
 
@@ -111,7 +136,7 @@ def remove_faces(library: Library, face_ids: list[int], person: int) -> tuple[Li
         return library, {"status": "nothing selected"}
     if _missing(library, [person]):
         return library, {"status": "no such person"}
-    left = replace(library, faces=cut(people.remove_faces(library.faces, F.col("face_id").isin(face_ids))))
+    left = library.with_faces(cut(people.remove_faces(library.faces, F.col("face_id").isin(face_ids))))
     return recalibrate(left, [person]), {"status": "removed", "faces": len(set(face_ids))}
 
 
@@ -123,7 +148,7 @@ def merge_people(library: Library, keep: int, sources: list[int]) -> tuple[Libra
     if _missing(library, [keep, *others]):
         return library, {"status": "no such person"}
     persons, faces, clusters = people.merge_people(library.persons, library.faces, library.clusters, keep, others)
-    return recalibrate(Library(cut(persons), cut(faces), cut(clusters)), [keep]), {"status": "merged", "people": len(others)}
+    return recalibrate(replace(library, persons=cut(persons), clusters=cut(clusters)).with_faces(cut(faces)), [keep]), {"status": "merged", "people": len(others)}
 
 
 def repair(library: Library) -> tuple[Library, dict]:
@@ -141,4 +166,5 @@ def repair(library: Library) -> tuple[Library, dict]:
     actions = {r.action: r["count"] for r in groups.groupBy("action").count().collect()}
     clusters = groups.filter("action <> 'removed'").drop("action").join(library.clusters.select("cluster_id", "person_id"), "cluster_id")
     outcome = {"people": n, "averages_lost": averages, "covers": repaired, "resized": actions.get("fixed", 0), "removed": actions.get("removed", 0)}
-    return replace(library, persons=fresh, clusters=cut(clusters.select(*library.clusters.columns))), outcome
+    kept = None if library.sums is None else cut(sums.sums_of(library.faces))
+    return replace(library, persons=fresh, clusters=cut(clusters.select(*library.clusters.columns)), sums=kept), outcome

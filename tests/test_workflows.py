@@ -143,3 +143,18 @@ def test_a_hot_key_is_dealt_out(spark):
     joined = lineage.join_spread(left, table, ["k"], "v")
     assert joined.agg(F.sum("n")).first()[0] == 20_000**2 + 40_000 and joined.count() == 60_000
     assert lineage.broadcast_if_small(spark.range(10).withColumn("t", F.lit("x" * 100)), max_bytes=50)._jdf.queryExecution().toString().count("broadcast") == 0
+
+
+def test_actions_by_sums_end_as_those_by_all_vectors(library):
+    from kinlight.operators import sums
+
+    plain = workflows.recalibrate(library, [1, 2])
+    kept = workflows.replace(plain, sums=sums.sums_of(plain.faces))
+    for act in (lambda lib: workflows.name_group(lib, 30, "Carol", 7, least=0.9)[0], lambda lib: workflows.move_faces(lib, [1, 3], 7, 2)[0], lambda lib: workflows.remove_faces(lib, [4], 7)[0], lambda lib: workflows.merge_people(lib, 2, [7])[0]):
+        plain, kept = act(plain), act(kept)
+        rows = [{r.person_id: r for r in lib.persons.collect()} for lib in (plain, kept)]
+        assert rows[0].keys() == rows[1].keys()
+        for p, r in rows[0].items():
+            assert (r.cover_face_id, r.display_name) == (rows[1][p].cover_face_id, rows[1][p].display_name)
+            assert r.centroid == (rows[1][p].centroid if rows[1][p].centroid is None else pytest.approx(rows[1][p].centroid, abs=1e-9))
+    assert sums.repaired(kept.sums, kept.faces)[1].count() == 0
