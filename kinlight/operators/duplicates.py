@@ -93,6 +93,15 @@ WIDE = 16
 BLOCK = 4096
 
 
+def chunk_keys(bits: int, flipped: bool) -> Column:
+    """The keys by which hashes ``gradient`` and ``brightness`` meet others at most ``bits`` apart: one side takes them
+    plain, the other ``flipped``, which only makes a difference where chunks would be narrow. Exact at any width."""
+    chunks, flips = max(3, bits + 1), 0
+    if 128 // chunks < WIDE:
+        chunks, flips = max(3, bits // 2 + 1), 1
+    return _chunks(F.col("gradient"), F.col("brightness"), chunks, flips if flipped else 0)
+
+
 def _pairs_by_blocks(rows: DataFrame, bits: int, block: int) -> DataFrame:
     """Compare all hashes in pairs of blocks: a task holds two blocks and gives just the pairs within reach."""
     n_blocks = max(1, -(-rows.count() // block))
