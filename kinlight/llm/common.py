@@ -73,8 +73,9 @@ def trimmed(function: Callable[[Batches], Batches]) -> Callable[[Batches], Batch
 
 
 def trim() -> None:
-    """Return free memory to the system where the C library can."""
+    """Return free memory to the system, Arrow's own pool and, where it can, the C library's."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     release = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if release is not None:
         release(0)
