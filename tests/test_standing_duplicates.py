@@ -16,16 +16,16 @@ def one_run(spark, rows, bits, seconds):
     return {(r.member, r.set_id) for r in found.collect()}
 
 
-@pytest.mark.parametrize(("bits", "seconds", "changes"), [(12, 300, 14), (3, None, 4)])
-def test_batches_in_any_order_give_the_sets_of_one_run(spark, tmp_path, bits, seconds, changes):
+@pytest.mark.parametrize(("bits", "seconds", "changes", "cuts"), [(12, 300, 14, [50, 120]), (3, None, 4, [40, 40, 70, 120])])
+def test_batches_in_any_order_give_the_sets_of_one_run(spark, tmp_path, bits, seconds, changes, cuts):
     rows = signatures(bits, 120, changes=changes)
     want = one_run(spark, rows, bits, seconds)
     random.Random(1).shuffle(rows)
     standing = StandingDuplicates(spark, f"file://{tmp_path}/s", bits, seconds)
-    for part in (rows[:50], rows[50:70], [], rows[70:]):
-        found = standing.add(table(spark, part))
+    for a, b in zip([0, *cuts], cuts, strict=False):
+        found = standing.add(table(spark, rows[a:b]))
     assert {(r.member, r.set_id) for r in found.collect()} == want and len({s for _, s in want}) > 2
-    assert standing.batches() == 4
+    assert standing.batches() == len(cuts)
 
 
 def test_what_a_batch_reads_and_a_stop(spark, tmp_path):
