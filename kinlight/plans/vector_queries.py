@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinlight.functions import geometry as G
-from kinlight.functions import hashing as H
 from kinlight.functions import imaging
 from kinlight.operators import clustering, duplicates, people, vectors
 from kinlight.plans.registry import query, with_views
