@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlight.functions.hashing import ALIKE_BITS, ALIKE_SECONDS, hamming
+from kinlight.functions.hashing import ALIKE_BITS, ALIKE_SECONDS, hamming, within
 from kinlight.operators.duplicates import chunk_keys, hash_pairs, timed_hash_pairs
 from kinlight.operators.graph import connected_components
 from kinlight.plans.lineage import cut, join_spread
@@ -55,18 +55,14 @@ class StandingDuplicates:
         rows = self.spark.read.schema(CHUNKS).option("basePath", f"{self.folder}/chunks").parquet(*[f"{self.folder}/chunks/batch={i}" for i in range(1, n + 1)])
         return rows.filter(F.col("part").isin(parts))
 
-    def _near_in_time(self, a: Column, b: Column) -> Column:
-        if self.seconds is None:
-            return F.lit(True)
-        return a.isNull() | b.isNull() | (F.abs(a - b) <= int(self.seconds * 1_000_000))
-
     def _links(self, batch: DataFrame) -> DataFrame:
         """Links (a, b) of the batch's pictures with each other and with stored ones."""
         own = hash_pairs(batch, self.bits, "id") if self.seconds is None else timed_hash_pairs(batch.withColumn("taken", F.timestamp_micros("at")), self.bits, self.seconds, "id", "taken")
         keys = cut(batch.select(F.explode(chunk_keys(self.bits, True)).alias("key"), *[F.col(c).alias(f"new_{c}") for c in ("id", "gradient", "brightness", "at")]).withColumn("part", _part()))
         met = keys.join(self.stored(keys).drop("part"), "key").filter("id <> new_id")
         near = met.filter(hamming(F.col("gradient"), F.col("brightness"), F.col("new_gradient"), F.col("new_brightness")) <= self.bits)
-        across = near.filter(self._near_in_time(F.col("at"), F.col("new_at"))).select(F.least("id", "new_id").alias("a"), F.greatest("id", "new_id").alias("b"))
+        timed = near.filter(within(F.timestamp_micros("at"), F.timestamp_micros("new_at"), self.seconds))
+        across = timed.select(F.least("id", "new_id").alias("a"), F.greatest("id", "new_id").alias("b"))
         return own.select("a", "b").unionByName(across).distinct()
 
     def add(self, signatures: DataFrame) -> DataFrame:
