@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlight.functions.text import contains_text, file_name, fold_case
+from kinlight.operators.text_index import TextIndex
 from kinlight.plans.lineage import broadcast_if_small
 
 
@@ -18,10 +19,13 @@ def by_text(table: DataFrame, column: str, value: str) -> DataFrame:
     return table.filter(fold_case(column) == fold_case(F.lit(value)))
 
 
-def search_path(photos: DataFrame, fragment: str, limit: int | None = None, scope: str = "path") -> DataFrame:
-    """Photos whose path (or, with ``scope="name"``, file name) holds a literal fragment, by path."""
+def search_path(photos: DataFrame, fragment: str, limit: int | None = None, scope: str = "path", index: TextIndex | None = None) -> DataFrame:
+    """Photos whose path (or, with ``scope="name"``, file name) holds a literal fragment, by path. An ``index`` of
+    the paths by photo_id spares the scan of those that can't."""
     within = F.col("path") if scope == "path" else file_name("path")
-    found = photos.filter(contains_text(within, fragment.strip() if scope == "name" else fragment)).orderBy("path")
+    fragment = fragment.strip() if scope == "name" else fragment
+    rows = photos if index is None else index.narrowed(photos, "photo_id", fragment)
+    found = rows.filter(contains_text(within, fragment)).orderBy("path")
     return found if limit is None else found.limit(limit)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlight.functions.text import contains_text, file_name, fold_case
+from kinlight.operators.text_index import TextIndex
 
 MOST_HITS = 500
 
@@ -28,12 +29,13 @@ def photos_with(appear: DataFrame, people: list[int], match_all: bool) -> DataFr
     return hits.groupBy("photo_id").agg(F.count_distinct("person_id").alias("n")).filter(F.col("n") == len(wanted)).select("photo_id")
 
 
-def search(photos: DataFrame, faces: DataFrame, persons: DataFrame, people: list[int] | None = None, match_all: bool = True, text: str | None = None, scope: str | None = None, detector: str | None = None, limit: int = MOST_HITS) -> DataFrame:
+def search(photos: DataFrame, faces: DataFrame, persons: DataFrame, people: list[int] | None = None, match_all: bool = True, text: str | None = None, scope: str | None = None, detector: str | None = None, limit: int = MOST_HITS, index: TextIndex | None = None) -> DataFrame:
     """Photos by people and text, newest first: (photo_id, path, taken_utc, names, position, total, truncated).
 
     Without people, text is looked for in the whole path, with people in the file name; ``scope`` ("path" or
     "name") overrides it. An empty question has an empty answer. At most ``limit`` photos come, and ``total``
-    is how many matched. ``names`` are those of the active, named faces, sorted.
+    is how many matched. ``names`` are those of the active, named faces, sorted. With an ``index`` of the paths by
+    photo_id, only its candidates are looked at for text.
     """
     people, text = people or [], (text or "").strip()
     appear = appearances(faces, detector)
@@ -45,6 +47,7 @@ def search(photos: DataFrame, faces: DataFrame, persons: DataFrame, people: list
             matched = matched.join(photos_with(appear, people, match_all), "photo_id", "left_semi")
         if text:
             by_name = (scope or ("name" if people else "path")) == "name"
+            matched = matched if index is None else index.narrowed(matched, "photo_id", text)
             matched = matched.filter(contains_text(file_name("path") if by_name else "path", text))
     newest = [F.coalesce("taken_utc", "mtime_utc").desc() if "mtime_utc" in photos.columns else F.desc("taken_utc"), fold_case("path"), "photo_id"]
     matched = matched.select("photo_id", "path", "taken_utc", *[c for c in ("mtime_utc",) if c in photos.columns])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlight.functions import text as T
 from kinlight.operators import duplicates, lookups, maintenance, people, search
+from kinlight.operators.text_index import TextIndex
+from kinlight.plans.lineage import checkpoint_dir, cut, remove_folder
 from kinlight.plans.numbering import numbered
 from kinlight.plans.registry import query, with_views
 from kinlight.sources import tables
@@ -52,6 +56,18 @@ def search_text_literal(spark, d):
     return _hits(search.search(tables.photos(spark, d), tables.faces(spark, d), tables.persons(spark, d), text="IMG_1"))
 
 
+@query(f"""{with_views("photos")} SELECT photo_id, path FROM photos WHERE contains(lower(path), 'img_12')""")
+def search_text_indexed(spark, d):
+    folder = f"{checkpoint_dir(spark)}/text-index-{uuid.uuid4().hex}"
+    photos = tables.photos(spark, d)
+    try:
+        index = TextIndex(spark, folder)
+        index.add(photos, "photo_id", "path")
+        return cut(index.search(photos, "photo_id", "path", "IMG_12").select("photo_id", "path"))
+    finally:
+        remove_folder(spark, folder)
+
+
 @query(_hits_sql("SELECT * FROM photos WHERE contains(lower(regexp_extract(path, '[^/]*$')), '_1') AND photo_id IN (SELECT photo_id FROM appear WHERE person_id IN (FROM chosen))", _PAIR))
 def search_people_and_text(spark, d):
     return _hits(search.search(tables.photos(spark, d), tables.faces(spark, d), tables.persons(spark, d), _two_people(spark, d), match_all=False, text="_1"))

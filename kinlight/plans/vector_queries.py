@@ -9,6 +9,7 @@ from kinlight.functions import imaging
 from kinlight.operators import clustering, duplicates, people, vectors
 from kinlight.plans.registry import query, with_views
 from kinlight.sources import tables
+from kinlight.streaming import picture_bursts
 
 #: The vectors at hand have little structure, so queries use lower thresholds than the library's own.
 NEAR, SAME = 0.35, 0.40
@@ -150,6 +151,14 @@ def duplicate_photos(spark, d):
     return found.select("set_id", "photo_id", F.col("rank").cast("long").alias("rank"), "size", F.col("distance_from_best").cast("long").alias("distance_from_best"))
 
 
+@query(f"""WITH RECURSIVE {_SIGNS}, {_reach(f"pairs AS (SELECT a.photo_id AS a, b.photo_id AS b FROM signatures a JOIN signatures b ON a.photo_id < b.photo_id AND a.photo_id % 3 = b.photo_id % 3 WHERE {_APART} <= {_BITS} AND abs(epoch_us(a.taken) - epoch_us(b.taken)) <= {_SECONDS}000000)")}
+    SELECT CAST(set_id % 3 AS VARCHAR) AS key, set_id AS burst_id, epoch_us(min(taken)) AS first_us, epoch_us(max(taken)) AS last_us, count(*) AS n FROM sets JOIN signatures ON photo_id = member GROUP BY set_id""")
+def alike_bursts(spark, d):
+    s = tables.signatures(spark, d).select("photo_id", (F.col("photo_id") % 3).cast("string").alias("key"), F.col("taken_utc").cast("timestamp").alias("ts"), "gradient", "brightness")
+    found = picture_bursts.picture_bursts(s, _BITS, _SECONDS)
+    return found.select("key", "burst_id", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "n")
+
+
 @query(f"""WITH RECURSIVE {_SIGNS}, {_reach(f"pairs AS (SELECT a.photo_id AS a, b.photo_id AS b FROM signatures a JOIN signatures b ON a.photo_id < b.photo_id WHERE {_APART} <= {_BITS})")},
     ranked AS (SELECT set_id, member, member + 100 AS bytes, row_number() OVER (PARTITION BY set_id ORDER BY member) AS rank FROM sets),
     totals AS (SELECT set_id, count(*) AS size, CAST(sum((rank > 1)::INT) AS BIGINT) AS extras, CAST(sum(CASE WHEN rank > 1 THEN bytes ELSE 0 END) AS BIGINT) AS recoverable FROM ranked GROUP BY set_id)
