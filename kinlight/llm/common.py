@@ -97,6 +97,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
+def is_long(offsets: np.ndarray, i: int, j: int) -> bool:
+    """Whether documents [i, j) are one that is longer than a slice."""
+    return j == i + 1 and offsets[j] - offsets[i] > SLICE_BYTES
+
+
 def runs_of_documents(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of consecutive documents that hold at most ``limit`` bytes, or one document."""
     i, n = 0, len(offsets) - 1
@@ -107,6 +112,49 @@ def runs_of_documents(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator
         i = j
 
 
+def _first(flag: np.ndarray, data: np.ndarray, at: int, step: int = 1 << 16) -> int:
+    """The first place from ``at`` on whose byte is (True) or isn't (False) white, or the end."""
+    while at < len(data):
+        hit = np.flatnonzero(WHITE[data[at : at + step]] == flag)
+        if len(hit):
+            return at + int(hit[0])
+        at += step
+    return len(data)
+
+
+def pieces_of_words(data: np.ndarray, overlap: int, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray]]:
+    """Cut one text at white space into pieces of about ``limit`` bytes, each with how many words stand before it. A
+    piece begins with the last ``overlap`` words of the one before, so a run of ``overlap`` + 1 words is whole in just
+    one piece. A text of words longer than that makes longer pieces: each has more than ``overlap`` words, if the text
+    has."""
+    at = before = 0
+    while True:
+        size = limit
+        while True:
+            end = _first(True, data, min(at + size, len(data)))
+            last = _first(False, data, end) == len(data)
+            piece = data[at : len(data) if last else end]
+            if last:
+                yield before, piece
+                return
+            starts, _, _ = word_bounds(piece, np.array([0, len(piece)]))
+            if len(starts) > overlap:
+                break
+            size *= 2
+        yield before, piece
+        before += len(starts) - overlap
+        at = at + int(starts[len(starts) - overlap]) if overlap else _first(False, data, end)
+
+
+def tiles(data: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[np.ndarray]:
+    """Cut one text after a word into pieces of about ``limit`` bytes that leave nothing out."""
+    at = 0
+    while at < len(data):
+        end = _first(True, data, min(at + limit, len(data)))
+        yield data[at:end]
+        at = end
+
+
 def collapse_white(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Replace each run of ``[\\x20\\x09-\\x0D]`` inside a document by one space."""
     white = WHITE[data]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlight.llm import common
-from kinlight.plans.lineage import HOT_KEYS, broadcast_if_small, cut, join_spread
+from kinlight.plans.lineage import HOT_KEYS, cut, join_spread
 
 #: Words of a window, and of an anchor.
 WINDOW = 13
@@ -73,11 +73,17 @@ def anchored_windows(data: np.ndarray, offsets: np.ndarray, window: int, anchor:
     return (doc[whole] if n else whole, whole, least[whole], place[whole].astype(np.int64)), (starts, ends, first)
 
 
-def _slices(batch: pa.RecordBatch):
-    """The batch's texts with single spaces, in slices: first document, bytes, offsets."""
+def _slices(batch: pa.RecordBatch, window: int):
+    """The batch's texts with single spaces, in slices: first document, words of it before the slice, bytes, offsets.
+    A text longer than a slice comes in pieces, with each window whole in one of them."""
     data, offsets = common.buffers(batch.column("text"))
     for i, j in common.runs_of_documents(offsets):
-        yield i, *common.collapse_white(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        part = data[offsets[i] : offsets[j]]
+        if common.is_long(offsets, i, j):
+            for before, piece in common.pieces_of_words(part, window - 1):
+                yield i, before, *common.collapse_white(piece, np.array([0, len(piece)]))
+        else:
+            yield i, 0, *common.collapse_white(part, offsets[i : j + 1] - offsets[i])
 
 
 def _runs(of: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -91,7 +97,7 @@ def _anchor_batches(window: int, anchor: int, hash_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, data, offsets in _slices(batch):
+            for i, _, data, offsets in _slices(batch, window):
                 (of, _, least, place), _ = anchored_windows(data, offsets, window, anchor, hash_bits)
                 at = _runs(of, place)
                 yield pa.RecordBatch.from_arrays([pa.array(least[at].view(np.int64)), pa.array(ids[i + of[at]].astype(np.int64))], ["anchor", "doc_id"])
@@ -112,8 +118,8 @@ def _binary(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
 
 def _extension_batches(shared, common_anchors, bits: int, nth: int, window: int, anchor: int, hash_bits: int):
     """Anchors that the filter passes, each with the words of the windows that chose it. Each window of a
-    common anchor is a row of its own, once a document, with all places that it begins at; its key is spread
-    over all tasks."""
+    common anchor is a row of its own, once a document (or a piece of a long one), with all places that it begins at;
+    its key is spread over all tasks."""
 
     def rows(batch: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, begin: np.ndarray, words: pa.Array, places: pa.Array) -> pa.RecordBatch:
         ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
@@ -122,8 +128,9 @@ def _extension_batches(shared, common_anchors, bits: int, nth: int, window: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, often = np.frombuffer(shared.value, np.uint8), np.frombuffer(common_anchors.value, np.uint64)
         for batch in batches:
-            for i, data, offsets in _slices(batch):
+            for i, before, data, offsets in _slices(batch, window):
                 found, (starts, ends, first) = anchored_windows(data, offsets, window, anchor, hash_bits)
+                first = first - before  # so that places count from the document's first word
                 passed = _has(flags, found[2], bits, nth)
                 of, word, least, place = (x[passed] for x in found)
                 alone = often[np.minimum(np.searchsorted(often, least), len(often) - 1)] == least if len(often) else np.zeros(len(of), bool)
@@ -370,6 +377,35 @@ def _kept(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndar
     return joined[stay], bounds[upto] - np.concatenate(([0], np.cumsum(np.diff(upto) > 0)))
 
 
+def _cut(data: np.ndarray, offsets: np.ndarray, size: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The kept texts of some documents (bytes and n + 1 bounds), their numbers of words and of removed words;
+    ``size`` is how many of ``ranges`` (first words and ends) each has."""
+    starts, ends, first = common.word_bounds(data, offsets)
+    both = ranges + np.repeat(first[:-1], size)[:, None]
+    gone = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(gone, both[:, 0], 1)
+    np.add.at(gone, both[:, 1], -1)
+    keep = gone[:-1].cumsum() == 0
+    joined, bounds = _kept(data, starts, ends, first, keep)
+    total = np.diff(first)
+    return joined, bounds, total, total - np.diff(np.concatenate(([0], np.cumsum(keep)))[first])
+
+
+def _cut_long(data: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one text longer than a slice, in pieces."""
+    kept, total, removed = [], 0, 0
+    for before, piece in common.pieces_of_words(data, 0):
+        words = len(common.word_bounds(piece, np.array([0, len(piece)]))[0])
+        local = np.clip(ranges - before, 0, words)
+        local = local[local[:, 0] < local[:, 1]]
+        joined, _, n, gone = _cut(piece, np.array([0, len(piece)]), np.array([len(local)]), local)
+        total, removed = total + n, removed + gone
+        if len(joined):
+            kept += [np.array([32], np.uint8), joined] if kept else [joined]
+    joined = np.concatenate([*kept, np.zeros(0, np.uint8)])
+    return joined, np.array([0, len(joined)]), total, removed
+
+
 def _cutter():
     names = ["doc_id", "text_key", "n_words", "n_removed", "kept_text"]
 
@@ -378,20 +414,13 @@ def _cutter():
             data, offsets = common.buffers(batch.column("text"))
             for i, j in common.runs_of_documents(offsets):
                 part, local = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                starts, ends, first = common.word_bounds(part, local)
                 ranges = batch.column("ranges").slice(i, j - i)
                 size = np.diff(ranges.offsets.to_numpy()) // 2
                 size[np.asarray(ranges.is_null())] = 0
-                both = ranges.flatten().to_numpy().reshape(-1, 2) + np.repeat(first[:-1], size)[:, None]
-                gone = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(gone, both[:, 0], 1)
-                np.add.at(gone, both[:, 1], -1)
-                keep = gone[:-1].cumsum() == 0
-                joined, bounds = _kept(part, starts, ends, first, keep)
+                both = ranges.flatten().to_numpy().reshape(-1, 2)
+                joined, bounds, total, removed = _cut_long(part, both) if common.is_long(offsets, i, j) else _cut(part, local, size, both)
                 texts = pa.Array.from_buffers(pa.string(), j - i, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(joined)])
-                total = np.diff(first)
-                left = np.diff(np.concatenate(([0], np.cumsum(keep)))[first])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), pa.array(total), pa.array(total - left), texts], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), pa.array(total), pa.array(removed), texts], names)
 
     return run
 
@@ -406,15 +435,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     id are not repeats of each other; a row without an id neither loses words nor makes others lose them.
     Null and empty texts have no words. An empty table gives an empty result; other columns are ignored.
 
-    Shuffled are two numbers for each winnowed anchor (about a fifth of the words) and the words around the
-    shared ones. The ranges to cut go to the texts by broadcast where they are few, in rows and bytes, and by a
-    shuffled join otherwise.
+    Shuffled are two numbers for each winnowed anchor (about a fifth of the words), the words around the shared
+    ones, and the texts once, to meet the ranges to cut: one plan for all sizes. A text longer than a slice
+    is worked on in pieces, so that memory is a few bytes for each of its bytes.
     """
     common.small_text_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spans = cut(repeated_spans(docs, window, anchor))
     keyed = docs.withColumn("text_key", common.text_key())
-    joined = keyed.join(broadcast_if_small(spans), ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "ranges")
+    # hashed, not sorted: the texts flow past a partition's ranges and are spilt nowhere
+    joined = keyed.join(spans.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "ranges")
     return joined.mapInArrow(common.trimmed(_cutter()), "doc_id long, text_key long, n_words long, n_removed long, kept_text string")
 
 
