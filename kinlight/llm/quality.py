@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,39 +64,71 @@ def _diversity(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.bincount(d[edge], minlength=n).astype(float), top
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The statistics of every document (n x len(FEATURES)); an empty text has zeros."""
+def _sums(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What adds up over parts of a document (a row a document: bytes by class, then words, their lengths, squared lengths,
+    and four kinds of them), its longest word, and of all words the hashes and the documents."""
     n = len(offsets) - 1
-    size = np.diff(offsets)
-    doc_of_byte = np.repeat(np.arange(n), size)
-    classes = np.bincount(doc_of_byte * _CLASSES + _CLASS[data], minlength=n * _CLASSES).reshape(n, _CLASSES)
-    share = classes / np.maximum(size, 1)[:, None]
+    classes = np.bincount(np.repeat(np.arange(n), np.diff(offsets)) * _CLASSES + _CLASS[data], minlength=n * _CLASSES).reshape(n, _CLASSES)
     starts, ends, first = common.word_bounds(data, offsets)
     words = np.diff(first)
-    some = np.maximum(words, 1)
     doc = np.repeat(np.arange(n), words)
     length = (ends - starts).astype(float)
-    mean = _sum(length, doc, n) / some
-    spread = np.sqrt(np.maximum(_sum(length * length, doc, n) / some - mean * mean, 0))
     longest = np.zeros(n)
     np.maximum.at(longest, doc, length)
-    hashes = common.range_hashes(data, starts, ends)
-    distinct, top = _diversity(hashes, doc, n)
-    again = np.zeros(len(hashes))
-    again[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
     uppers = np.concatenate(([0], np.cumsum(_CLASS[data] == 0)))
     shouted = (uppers[ends] - uppers[starts]) * 2 > length
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
+    kinds = [_sum(x.astype(float), doc, n) for x in (length, length * length, length <= 2, shouted, _ENDS_SYMBOL[last], _ENDS_STOP[last])]
+    return np.column_stack([classes, words, *kinds]), longest, common.range_hashes(data, starts, ends), doc
+
+
+def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and distinct lines of every document."""
+    n = len(offsets) - 1
     breaks = np.flatnonzero(data == 10)
-    line_starts = np.union1d(offsets[:-1][size > 0], breaks + 1)
+    line_starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], breaks + 1)
     line_doc = np.searchsorted(offsets, line_starts, side="right") - 1
     inside = (line_starts < len(data)) & (line_doc < n)
     line_starts, line_doc = line_starts[inside], line_doc[inside]
     line_ends = np.append(line_starts[1:], len(data))
-    lines = np.bincount(line_doc, minlength=n)
-    distinct_lines, _ = _diversity(common.range_hashes(data, line_starts, line_ends), line_doc, n)
+    distinct, _ = _diversity(common.range_hashes(data, line_starts, line_ends), line_doc, n)
+    return np.bincount(line_doc, minlength=n), distinct
+
+
+def _lines_of_long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one text longer than a slice: its lines are hashed one after the other."""
+    stops = np.append(np.flatnonzero(data == 10) + 1, len(data))
+    stops = stops[: len(stops) - 1] if len(stops) > 1 and stops[-2] == len(data) else stops
+    starts = np.concatenate(([0], stops[:-1]))
+    view = memoryview(data)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(starts.tolist(), stops.tolist(), strict=True)), np.uint64, len(starts))
+    return np.array([len(hashes)]), np.array([float(len(np.unique(hashes)))])
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The statistics of every document (n x len(FEATURES)); an empty text has zeros. One document longer than a slice
+    is summed up in pieces; of that, hashes of all words are held at once (8 bytes each)."""
+    n = len(offsets) - 1
+    size = np.diff(offsets)
+    if common.is_long(offsets, 0, n):
+        each = [_sums(np.ascontiguousarray(piece), np.array([0, len(piece)])) for piece in common.tiles(data)]
+        sums, longest = np.sum([e[0] for e in each], axis=0), np.max([e[1] for e in each], axis=0)
+        hashes = np.concatenate([e[2] for e in each])
+        doc = np.zeros(len(hashes), np.int64)
+        lines, distinct_lines = _lines_of_long(np.ascontiguousarray(data))
+    else:
+        sums, longest, hashes, doc = _sums(data, offsets)
+        lines, distinct_lines = _lines(data, offsets)
+    share = sums[:, :_CLASSES] / np.maximum(size, 1)[:, None]
+    words, lengths, squares, short, shouted, symbol_ends, stop_ends = sums[:, _CLASSES:].T
+    some = np.maximum(words, 1)
+    mean = lengths / some
+    spread = np.sqrt(np.maximum(squares / some - mean * mean, 0))
+    distinct, top = _diversity(hashes, doc, n)
+    again = np.zeros(len(hashes))
+    again[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
     entropy = -np.sum(share * np.log(np.where(share > 0, share, 1)), axis=1)
-    rest = [np.log1p(size), np.log1p(words), mean, spread, longest, distinct / some, top / some, _sum(again, doc, n) / some, _sum((length <= 2).astype(float), doc, n) / some, _sum(shouted.astype(float), doc, n) / some, _sum(_ENDS_SYMBOL[last].astype(float), doc, n) / some, _sum(_ENDS_STOP[last].astype(float), doc, n) / some, distinct_lines / np.maximum(lines, 1), words / np.maximum(lines, 1), entropy]
+    rest = [np.log1p(size), np.log1p(words), mean, spread, longest, distinct / some, top / some, _sum(again, doc, n) / some, short / some, shouted / some, symbol_ends / some, stop_ends / some, distinct_lines / np.maximum(lines, 1), words / np.maximum(lines, 1), entropy]
     return np.column_stack([share, *rest])
 
 

@@ -59,8 +59,8 @@ def _shingles(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, k: int) -
     return starts[begin], ends[last], bounds
 
 
-def fingerprint_texts(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
-    """The 64-bit SimHash of every document, as uint64."""
+def _ones(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of every document's shingle hashes have each of the 64 bits, and how many hashes it has."""
     text, ends_of = common.collapse_white(_LOWER[data], offsets)
     starts, ends, first = common.word_bounds(text, ends_of)
     begin, end, bounds = _shingles(starts, ends, first, k)
@@ -68,12 +68,23 @@ def fingerprint_texts(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE_WO
     hashes = np.fromiter((digest(raw[i:j], SEED) for i, j in zip(begin.tolist(), end.tolist(), strict=True)), np.uint64, len(begin))
     places = hashes.view(np.uint8).astype(np.int64)
     places += np.tile(np.arange(8) * 256, len(hashes))
-    out = np.zeros(len(offsets) - 1, np.uint64)
+    ones = np.zeros((len(offsets) - 1, 64))
     for d, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
         if j > i:
-            ones = np.bincount(places[8 * i : 8 * j], minlength=2048).reshape(8, 256) @ _BITS
-            out[d] = np.packbits(ones.ravel() * 2 > j - i, bitorder="little").view(np.uint64)[0]
-    return out
+            ones[d] = (np.bincount(places[8 * i : 8 * j], minlength=2048).reshape(8, 256) @ _BITS).ravel()
+    return ones, np.diff(bounds)
+
+
+def fingerprint_texts(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
+    """The 64-bit SimHash of every document, as uint64. One document longer than a slice is summed up in pieces."""
+    if common.is_long(offsets, 0, len(offsets) - 1):
+        ones, n = np.zeros((1, 64)), np.zeros(1, np.int64)
+        for _, piece in common.pieces_of_words(data, k - 1):
+            more, some = _ones(piece, np.array([0, len(piece)]), k)
+            ones, n = ones + more, n + some
+    else:
+        ones, n = _ones(data, offsets, k)
+    return np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +224,15 @@ def near_links(fps: DataFrame, radius: int = RADIUS, blocks: int = 2, limit: int
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = ALIKE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of all documents, repeats included, and where each document's begin
-    (n + 1 values)."""
+    (n + 1 values). One document longer than a slice is hashed in pieces."""
+    if common.is_long(offsets, 0, len(offsets) - 1):
+        each = [_whole_sets(piece, np.array([0, len(piece)]), k)[0] for _, piece in common.pieces_of_words(data, k - 1)]
+        hashes = np.concatenate(each)
+        return hashes, np.array([0, len(hashes)])
+    return _whole_sets(data, offsets, k)
+
+
+def _whole_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     text, ends_of = common.collapse_white(_LOWER[data], offsets)
     begin, end, bounds = _shingles(*common.word_bounds(text, ends_of), k)
     return common.range_hashes(text, begin, end), bounds
