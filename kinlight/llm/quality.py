@@ -238,7 +238,8 @@ def score(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> Data
 
     The score depends on the text alone; if nothing was learnt it is 0.5. Null text counts as empty; empty texts get a score like any
     other. Null ids are not held out. Repeated rows come out as often as they came in, and an empty
-    table gives an empty result. A task holds one Arrow batch.
+    table gives an empty result. A task holds one Arrow batch, and of a text longer than a slice a piece and the
+    hashes of its words.
     """
     common.small_text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key().alias("text_key"), "text")

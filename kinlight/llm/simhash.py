@@ -97,7 +97,8 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, fp) of each row of ``docs(doc_id, text)``: fp holds the SimHash's 64 bits as
-    a signed long. Null text and text without words have fingerprint zero."""
+    a signed long. Null text and text without words have fingerprint zero. A task holds one Arrow batch and
+    works on a slice of it, or a piece of a long text, at a time."""
     common.small_text_batches(docs.sparkSession)
     return docs.select("doc_id", common.text_key().alias("text_key"), "text").mapInArrow(common.trimmed(_fingerprint_batches), "doc_id long, text_key long, fp long")
 
