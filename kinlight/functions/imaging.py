@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,12 +149,12 @@ def anchor_centres(size: int, stride: int, per_cell: int) -> np.ndarray:
 
 
 def overlap(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """IoU of a box with each of ``many``."""
-    low = np.maximum(one[:2], many[:, :2])
-    high = np.minimum(one[:2] + one[2:4], many[:, :2] + many[:, 2:4])
+    """IoU of a box with each of ``many``, or of as many boxes row by row."""
+    low = np.maximum(one[..., :2], many[:, :2])
+    high = np.minimum(one[..., :2] + one[..., 2:4], many[:, :2] + many[:, 2:4])
     side = np.maximum(0, high - low)
     shared = side[:, 0] * side[:, 1]
-    union = one[2] * one[3] + many[:, 2] * many[:, 3] - shared
+    union = one[..., 2] * one[..., 3] + many[:, 2] * many[:, 3] - shared
     return np.where((union > 0) & (shared > 0), shared / np.where(union > 0, union, 1), 0)
 
 
@@ -246,16 +248,57 @@ def signatures(images: DataFrame) -> DataFrame:
     return images.select("photo_id", "width", "height", "stride", "format", "pixels").mapInPandas(run, "photo_id long, gradient long, brightness long, sharpness double")
 
 
-def non_maximum_suppression(boxes: DataFrame, key: str, threshold: float, id_col: str = "box_id") -> DataFrame:
-    """Kept boxes of each image: rows of ``boxes(key, box_id, x, y, w, h, score)`` with ``rank`` by score. The
-    boxes of one image are one task's; images are bounded by the detector's anchors."""
+def suppress_all(image: np.ndarray, boxes: np.ndarray, threshold: float, most: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`suppress` of many images at once: kept rows and their ranks in their image, for numbers of images in
+    rising order. Each round keeps the best box that every image has left."""
+    left = np.lexsort((-boxes[:, 4], image))
+    kept: list[np.ndarray] = []
+    while len(left) and len(kept) < most:
+        first = np.diff(image[left], prepend=-1) != 0
+        best = left[first]
+        kept.append(best)
+        rivals = best[np.cumsum(first) - 1]
+        left = left[~first & (overlap(boxes[rivals], boxes[left]) <= threshold)]
+    ranks = np.repeat(np.arange(1, len(kept) + 1, dtype=np.int32), [len(k) for k in kept])
+    return np.concatenate([*kept, np.zeros(0, np.int64)]), ranks
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        kept = suppress(pdf[["x", "y", "w", "h", "score"]].to_numpy(float), threshold)
-        return pd.DataFrame({key: pdf[key].iloc[kept], id_col: pdf[id_col].iloc[kept], "rank": range(1, len(kept) + 1)})
+def _image_numbers(key: pa.Array) -> np.ndarray:
+    """Numbers from 0 of runs of equal keys; null is a key."""
+    values, known = pc.fill_null(key, 0).to_numpy(zero_copy_only=False), pc.is_valid(key).to_numpy(zero_copy_only=False)
+    return np.cumsum(np.r_[False, (values[1:] != values[:-1]) | (known[1:] != known[:-1])])
 
-    return boxes.select(key, id_col, "x", "y", "w", "h", "score").groupBy(key).applyInPandas(run, f"{key} long, {id_col} long, rank int")
+
+def non_maximum_suppression(boxes: DataFrame, key: str, threshold: float, id_col: str = "box_id") -> DataFrame:
+    """Kept boxes of each image: rows of ``boxes(key, box_id, x, y, w, h, score)`` with ``rank`` by score. Boxes are
+    sorted by image inside partitions, and a task works on the images of an Arrow batch at once. The boxes of one image
+    are one task's; images are bounded by the detector's anchors."""
+
+    def settle(rows: pa.Table) -> list[pa.RecordBatch]:
+        values = np.column_stack([rows.column(c).to_numpy() for c in ("x", "y", "w", "h", "score")])
+        kept, ranks = suppress_all(_image_numbers(rows.column(key).combine_chunks()), values, threshold)
+        found = rows.select([key, id_col]).take(pa.array(kept)).append_column("rank", pa.array(ranks))
+        return found.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if held[0].column(0)[0].as_py() == batch.column(0)[-1].as_py():
+                continue  # one image so far
+            rows = pa.Table.from_batches(held)
+            image = _image_numbers(rows.column(key).combine_chunks())
+            last = int(np.searchsorted(image, image[-1]))
+            yield from settle(rows.slice(0, last))
+            held = rows.slice(last).to_batches()
+        if held:
+            yield from settle(pa.Table.from_batches(held))
+
+    rows = boxes.select(F.col(key).cast("long").alias(key), F.col(id_col).cast("long").alias(id_col), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h", "score")])
+    dealt = rows.repartition(key).sortWithinPartitions(key, F.col(id_col).asc_nulls_last())
+    return dealt.mapInArrow(run, f"{key} long, {id_col} long, rank int")
 
 
 def detect(images: DataFrame, detector: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:

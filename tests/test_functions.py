@@ -134,6 +134,37 @@ def test_suppression(spark):
     assert sorted((r.box_id, r.rank) for r in I.non_maximum_suppression(df, "photo_id", 0.3).collect()) == [(1, 1), (3, 2)]
 
 
+def test_suppression_of_many_images_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    image = np.sort(rng.integers(0, 300, 4000))
+    image[1000:2500] = 77
+    image.sort()
+    boxes = np.column_stack([rng.integers(0, 60, (4000, 2)), np.full((4000, 2), 20), rng.integers(0, 9, 4000) / 8]).astype(float)
+    wanted = {}
+    for i in np.unique(image):
+        at = np.flatnonzero(image == i)
+        wanted |= {(None if i == 5 else int(i), int(at[k])): n for n, k in enumerate(I.suppress(boxes[at], 0.3), 1)}
+    rows = [(None if i == 5 else int(i), n, *map(float, b)) for n, (i, b) in enumerate(zip(image, boxes, strict=True))]
+    df = spark.createDataFrame(rows, "photo_id long, box_id long, x double, y double, w double, h double, score double")
+    calls = spark.sparkContext.accumulator(0)
+    overlap = I.overlap
+
+    def counted(one, many):
+        calls.add(1)
+        return overlap(one, many)
+
+    monkeypatch.setattr(I, "overlap", counted)
+    kernel = I.suppress_all(image, boxes, 0.3)
+    assert {(None if image[k] == 5 else int(image[k]), int(k)): int(r) for k, r in zip(*kernel, strict=True)} == wanted
+    assert calls.value == kernel[1].max()  # rounds, not images
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        got = {(r.photo_id, r.box_id): r.rank for r in I.non_maximum_suppression(df, "photo_id", 0.3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == wanted
+
+
 @pytest.mark.parametrize(("stride", "n"), [(8, 12800), (16, 3200), (32, 800)])
 def test_anchors(stride, n):
     a = I.anchor_centres(640, stride, 2)
