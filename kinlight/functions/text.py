@@ -141,25 +141,31 @@ def byte_size(n: Column | str) -> Column:
     )
 
 
+def _fixed(value: Column, places: int) -> Column:
+    """Fixed places without separators; of two equally near values the even one, as printf has it (Java's formatter
+    rounds halves up)."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * places if places else "0"))
+
+
 def byte_size_short(n: Column | str) -> Column:
     """A size for a summary: whole KB and MB, GB to one place."""
     n = _col(n)
     return (
-        F.when(n >= 1024**3, F.format_string("%.1f GB", n / 1024**3))
-        .when(n >= 1024**2, F.format_string("%.0f MB", n / 1024**2))
-        .when(n >= 1024, F.format_string("%.0f KB", n / 1024))
-        .otherwise(F.format_string("%d bytes", n))
+        F.when(n >= 1024**3, F.concat(_fixed(n / 1024**3, 1), F.lit(" GB")))
+        .when(n >= 1024**2, F.concat(_fixed(n / 1024**2, 0), F.lit(" MB")))
+        .when(n >= 1024, F.concat(_fixed(n / 1024, 0), F.lit(" KB")))
+        .otherwise(F.concat(n.cast("string"), F.lit(" bytes")))
     )
 
 
 def byte_size_tile(n: Column | str) -> Column:
     """A size for a tile: MB to one place, whole KB, or bytes."""
     n = _col(n)
-    return F.when(n >= 1024**2, F.format_string("%.1f MB", n / 1024**2)).when(n >= 1024, F.format_string("%.0f KB", n / 1024)).otherwise(F.format_string("%d B", n))
+    return F.when(n >= 1024**2, F.concat(_fixed(n / 1024**2, 1), F.lit(" MB"))).when(n >= 1024, F.concat(_fixed(n / 1024, 0), F.lit(" KB"))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def percentage(share: Column) -> Column:
-    return F.format_string("%.0f%%", share * 100)
+    return F.concat(_fixed(share * 100, 0), F.lit("%"))
 
 
 def uuid7(at: Column | None = None) -> Column:

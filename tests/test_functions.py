@@ -120,6 +120,15 @@ def test_signatures_on_columns(spark):
     assert rows[2].gradient is None
 
 
+def test_halves_of_sizes_are_rounded_to_even(spark):
+    sizes = [512, 1536, 2560, 3584, (1 << 20) * 5 // 4, (1 << 20) * 7 // 4, (1 << 20) * 5 // 2, (1 << 30) * 5 // 4, 1_101_004, None]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long").select(T.byte_size_tile("n").alias("tile"), T.byte_size_short("n").alias("short"))
+    rows = df.collect()
+    assert [r.tile for r in rows] == ["512 B", "2 KB", "2 KB", "4 KB", "1.2 MB", "1.8 MB", "2.5 MB", "1280.0 MB", "1.0 MB", None]
+    assert [r.short for r in rows] == ["512 bytes", "2 KB", "2 KB", "4 KB", "1 MB", "2 MB", "2 MB", "1.2 GB", "1 MB", None]
+    assert list(one(spark, T.percentage(F.lit(0.125)), T.percentage(F.lit(0.375)), T.percentage(F.lit(0.005)))) == ["12%", "38%", "0%"]
+
+
 def test_orientation():
     a = np.arange(6).reshape(2, 3)
     assert I.upright(a, 6).tolist() == np.rot90(a, -1).tolist() and I.upright(a, 8).tolist() == np.rot90(a, 1).tolist()
