@@ -6,8 +6,8 @@ colour can be visited at once, and the outcome is that of visiting one node afte
 greedy one in the order of the nodes' hashes, which rounds over all nodes find just as well as one loop does: a node
 is coloured when its neighbours with smaller hashes are.
 
-Components of the graph with its must-links don't influence each other. Small ones are settled by a task each; those
-with more edges than ``ONE_TASK`` all together, colour by colour, with every step a job over all tasks. Both ways give
+Components of the graph with its must-links don't influence each other. Small ones are settled by a task each, as arrays;
+those with more edges than ``ONE_TASK`` all together, colour by colour, with every step a job over all tasks. Both ways give
 the same labels.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,10 @@ from kinlight.plans.numbering import numbered
 
 MAX_PASSES = 30
 SEED = 20260827
-#: Edges, each way, of a component that one task settles.
-ONE_TASK = 500_000
+#: Edges, each way, of a component that one task settles as arrays: about 1 GB at most.
+ONE_TASK = 5_000_000
+#: Edges that are left to colour up to which one task does so.
+COLOURED_AT_ONCE = 500_000
 #: Decimals to which weights of labels are compared.
 PLACES = 9
 
@@ -107,6 +110,53 @@ def propagate(edges: dict[int, dict[int, float]], must: list[tuple[int, int]], r
     return merged_labels(label, must)
 
 
+def _coloured(start: np.ndarray, other: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """:func:`greedy_colours` of nodes whose neighbours are ``other[start[v] : start[v + 1]]``."""
+    colour = np.full(len(order), -1, np.int32)
+    for v in order:
+        taken = colour[other[start[v] : start[v + 1]]]
+        free = np.ones(len(taken) + 1, bool)
+        free[taken[(taken >= 0) & (taken <= len(taken))]] = False
+        colour[v] = free.argmax()
+    return colour
+
+
+def propagate_arrays(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, must: list[tuple[int, int]], nodes: np.ndarray, rank: np.ndarray, seed: int, passes: int = MAX_PASSES) -> np.ndarray:
+    """:func:`propagate` on arrays: the label of each of ``nodes``, sorted, which have hashes ``rank``, over edges of
+    one row a pair."""
+    u, v = np.searchsorted(nodes, src).astype(np.int32), np.searchsorted(nodes, dst).astype(np.int32)
+    ends = np.unique(np.concatenate([u.astype(np.int64) * len(nodes) + v, v.astype(np.int64) * len(nodes) + u]))
+    one, other = np.divmod(ends, len(nodes))
+    colour = _coloured(np.searchsorted(one, np.arange(len(nodes) + 1)), other, np.lexsort((nodes, rank)))
+    del ends, one, other
+    order = np.lexsort((v, u, colour[u]))
+    u, v, weight = u[order], v[order], weight[order]
+    colours = np.unique(colour)
+    part = np.searchsorted(colour[u], np.arange(len(colours) + 1))
+    first = merged_labels({n: n for n in nodes.tolist()}, must)
+    label = np.searchsorted(nodes, np.array([first[n] for n in nodes.tolist()], np.int64))
+    for nth in range(passes):
+        changed = False
+        for c in sorted(colours.tolist(), key=lambda c: turn_of(c, nth, seed)):
+            here = slice(part[c], part[c + 1])
+            if here.start == here.stop:
+                continue
+            pair = u[here].astype(np.int64) * len(nodes) + label[v[here]]
+            by = np.argsort(pair, kind="stable")
+            pair = pair[by]
+            at = np.flatnonzero(np.diff(pair, prepend=-1))
+            node, near = np.divmod(pair[at], len(nodes))
+            total = np.round(np.add.reduceat(weight[here][by], at), PLACES)
+            best = np.lexsort((near, -total, node))
+            best = best[np.flatnonzero(np.diff(node[best], prepend=-1))]
+            if (label[node[best]] != near[best]).any():
+                label[node[best]], changed = near[best], True
+        if not changed:
+            break
+    last = merged_labels(dict(zip(nodes.tolist(), nodes[label].tolist(), strict=True)), must)
+    return np.array([last[n] for n in nodes.tolist()], np.int64)
+
+
 def _rank(node: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), node)
 
@@ -117,7 +167,7 @@ def _looked_up(rows: DataFrame, table: DataFrame, n: int, key: str, salt_by: str
     return rows.join(F.broadcast(table), key, "left") if n <= BROADCAST_ROWS else join_spread(rows, table, [key], salt_by)
 
 
-def colours_of(edges: DataFrame, seed: int, one_task: int = ONE_TASK) -> DataFrame:
+def colours_of(edges: DataFrame, seed: int, one_task: int = COLOURED_AT_ONCE) -> DataFrame:
     """The greedy colouring of ``edges(src, dst)``, both ways: (node, colour). In each round the nodes whose
     uncoloured neighbours all have larger hashes get the least colour that none of their neighbours has; what few edges
     are left in the end is coloured by one task."""
@@ -160,7 +210,7 @@ def _by_colours(edges: DataFrame, must: DataFrame | None, seed: int, passes: int
     their must-links: one job a colour, which reads that colour's edges only."""
     spark = edges.sparkSession
     links = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    colours = colours_of(links, seed, one_task)
+    colours = colours_of(links, seed, min(one_task, COLOURED_AT_ONCE))
     n = colours.count()
     folder = f"{checkpoint_dir(spark)}/colours-{uuid.uuid4().hex}"
     try:
@@ -213,16 +263,12 @@ def chinese_whispers(nodes: DataFrame, edges: DataFrame, must: DataFrame | None
     marked = rows.join(F.broadcast(large), "component", "left")
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        around: dict[int, dict[int, float]] = {}
-        pdf = pdf.sort_values(["kind", "src", "dst"])
-        rank = {}
-        for src, dst, weight, kind, p, q in zip(*(pdf[c].tolist() for c in ("src", "dst", "weight", "kind", "p", "q")), strict=True):
-            rank[src], rank[dst] = (p, src), (q, dst)
-            if not kind:
-                around.setdefault(src, {})[dst] = weight
-        bound = [(s, d) for s, d, k in zip(pdf["src"].tolist(), pdf["dst"].tolist(), pdf["kind"].tolist(), strict=True) if k]
-        found = propagate(around, bound, rank, seed, passes)
-        return pd.DataFrame({"node": list(found), "label": list(found.values())})
+        src, dst, kind = (pdf[c].to_numpy() for c in ("src", "dst", "kind"))
+        nodes, at = np.unique(np.concatenate([src, dst]), return_index=True)
+        rank = np.concatenate([pdf["p"].to_numpy(), pdf["q"].to_numpy()])[at]
+        edge, bound = kind == 0, kind == 1
+        must = list(zip(src[bound].tolist(), dst[bound].tolist(), strict=True))
+        return pd.DataFrame({"node": nodes, "label": propagate_arrays(src[edge], dst[edge], pdf["weight"].to_numpy()[edge], must, nodes, rank, seed, passes)})
 
     ranked = marked.filter("large is null").drop("large").withColumns({"p": _rank("src", seed), "q": _rank("dst", seed)})
     settled = ranked.groupBy("component").applyInPandas(settle, "node long, label long")
