@@ -126,13 +126,20 @@ def _pairs_by_blocks(rows: DataFrame, bits: int, block: int) -> DataFrame:
     return found.select("a", "b", F.col("distance").cast("int").alias("distance"))
 
 
-def hash_pairs(hashes: DataFrame, bits: int = ALIKE_BITS, id_col: str = "photo_id") -> DataFrame:
+#: Rows that meet on a chunk or in a time bucket up to which all of them are joined; in fuller buckets hashes meet by
+#: chunks or blocks, and on fuller chunks by blocks.
+FULL = 4096
+HASH = ("id", "gradient", "brightness")
+
+
+def hash_pairs(hashes: DataFrame, bits: int = ALIKE_BITS, id_col: str = "photo_id", full: int = FULL) -> DataFrame:
     """All pairs a < b of 128-bit hashes (gradient, brightness) at most ``bits`` apart: (a, b, distance).
 
     Of c chunks of the hash, one at least differs in ``bits // c`` bits or fewer (pigeonhole). Pairs meet in an
     equality join on chunks and are verified. With ``bits + 1`` chunks one is equal; where those would be narrower
     than ``WIDE`` bits, half as many chunks, one of which differs in one bit at most, are joined with all their
-    one-bit changes: twice the width for as many keys more. From 32 bits on, blocks of hashes are compared as
+    one-bit changes: twice the width for as many keys more. Rows of a key that more than ``full`` have are compared in
+    blocks of them, which are dealt over all tasks. From 32 bits on, blocks of hashes are compared as
     arrays instead. All are exact."""
     rows = hashes.select(F.col(id_col).cast("long").alias("id"), "gradient", "brightness").filter("gradient is not null and brightness is not null")
     chunks, flips = max(3, bits + 1), 0
@@ -141,16 +148,19 @@ def hash_pairs(hashes: DataFrame, bits: int = ALIKE_BITS, id_col: str = "photo_i
     if 128 // chunks < LEAST_CHUNK_BITS:
         return _pairs_by_blocks(rows, bits, BLOCK)
     words = (F.col("gradient"), F.col("brightness"))
-    left = rows.select(F.explode(_chunks(*words, chunks, flips)).alias("key"), *[F.col(c).alias(f"l_{c}") for c in ("id", "gradient", "brightness")])
-    right = rows.select(F.explode(_chunks(*words, chunks, 0)).alias("key"), *[F.col(c).alias(f"r_{c}") for c in ("id", "gradient", "brightness")])
-    distance = hamming(F.col("l_gradient"), F.col("l_brightness"), F.col("r_gradient"), F.col("r_brightness"))
-    met = left.join(right, "key").filter("l_id < r_id").withColumn("distance", distance).filter(F.col("distance") <= bits)
-    return met.groupBy(F.col("l_id").alias("a"), F.col("r_id").alias("b")).agg(F.min("distance").alias("distance"))
-
-
-#: Rows that meet in a time bucket up to which all of them are compared; in fuller ones hashes meet by chunks or blocks.
-FULL = 4096
-HASH = ("id", "gradient", "brightness")
+    rows = rows.withColumn("at", F.lit(0).cast("long"))
+    left, right = (rows.select(F.explode(_chunks(*words, chunks, n)).alias("key"), *HASH, "at") for n in (flips, 0))
+    # the left side has all keys of the right one
+    crowded = cut(left.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > full).select("key", F.lit(True).alias("full")))
+    if crowded.isEmpty():
+        met = left.select("key", *_named(left, "l")).join(right.select("key", *_named(right, "r")), "key")
+        found = met.withColumn("distance", _apart()).select("l_id", "r_id", "distance")
+    else:
+        marked = [_marked(side, crowded, "key") for side in (left, right)]
+        l, r = (side.filter("full is null").select("key", *_named(side, s)) for side, s in zip(marked, "lr", strict=True))
+        packed = _compared(*(side.filter("full").drop("full") for side in marked), bits, ["key"])
+        found = l.join(r, "key").withColumn("distance", _apart()).select("l_id", "r_id", "distance").unionByName(packed.select("l_id", "r_id", "distance"))
+    return found.filter(F.col("l_id") < F.col("r_id")).filter(F.col("distance") <= bits).groupBy(F.col("l_id").alias("a"), F.col("r_id").alias("b")).agg(F.min("distance").alias("distance"))
 
 
 def _named(rows: DataFrame, side: str, *more: str) -> list[Column]:
@@ -161,6 +171,35 @@ def _apart() -> Column:
     return hamming(F.col("l_gradient"), F.col("l_brightness"), F.col("r_gradient"), F.col("r_brightness"))
 
 
+def _compared(left: DataFrame, right: DataFrame, bits: int, by: list[str], block: int = BLOCK) -> DataFrame:
+    """Rows of ``left`` and ``right`` with equal ``by`` and hashes at most ``bits`` apart, (l_id, r_id, l_at, r_at,
+    distance): each group is a grid of blocks by its own sizes, and a task compares two blocks as arrays."""
+    keys = by or ["all"]
+    sides = [rows if by else rows.withColumn("all", F.lit(0)) for rows in (left, right)]
+    counts = [rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for rows, n in zip(sides, ("lefts", "rights"), strict=True)]
+    sizes = cut(counts[0].join(counts[1], keys))
+    few = is_small(sizes)
+    grid = [rows.join(F.broadcast(sizes), keys) if few else join_spread(rows, sizes, keys, "id", "inner") for rows in sides]
+    hashed = F.xxhash64("id")
+    p = [F.pmod(hashed, F.col("lefts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))]
+    q = [F.explode(F.sequence(F.lit(0), F.col("rights") - 1)), F.pmod(hashed, F.col("rights")).cast("int")]
+    met = [rows.select(*keys, p[i].alias("p"), q[i].alias("q"), F.lit(i).alias("side"), *HASH, F.coalesce("at", F.lit(0)).cast("long").alias("at")) for i, rows in enumerate(grid)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        i, j = x["id"].to_numpy(), y["id"].to_numpy()
+        words = [(x[c].to_numpy(), y[c].to_numpy()) for c in ("gradient", "brightness")]
+        out = [pd.DataFrame({"l_id": [], "r_id": [], "l_at": [], "r_at": [], "distance": []}, dtype="int64")]
+        for at in range(0, len(i), 256):
+            apart = sum(np.bitwise_count((u[at : at + 256, None] ^ v[None, :]).view(np.uint64)) for u, v in words)
+            row, col = np.nonzero(apart <= bits)
+            out.append(pd.DataFrame({"l_id": i[at : at + 256][row], "r_id": j[col], "l_at": x["at"].to_numpy()[at : at + 256][row], "r_at": y["at"].to_numpy()[col], "distance": apart[row, col].astype(np.int64)}))
+        return pd.concat(out)
+
+    found = met[0].unionByName(met[1]).groupBy(*keys, "p", "q").applyInPandas(run, "l_id long, r_id long, l_at long, r_at long, distance long")
+    return found.withColumn("distance", F.col("distance").cast("int"))
+
+
 def _pairs_between(left: DataFrame, right: DataFrame, bits: int, by: list[str]) -> DataFrame:
     """Rows of ``left`` and ``right`` with equal ``by`` and hashes at most ``bits`` apart, (l_id, r_id, distance, and
     times), maybe more than once: by chunks as in :func:`hash_pairs`, or by a grid of blocks where chunks are too
@@ -174,13 +213,7 @@ def _pairs_between(left: DataFrame, right: DataFrame, bits: int, by: list[str])
         r = right.select(*by, F.explode(_chunks(*words, chunks, 0)).alias("key"), *_named(right, "r", "at"))
         met = l.join(r, [*by, "key"])
     else:
-        sizes = [F.broadcast(rows.agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))) for rows, n in ((left, "lefts"), (right, "rights"))]
-        cell = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.col("own"))).cast("int")
-        grid = [rows.crossJoin(sizes[0]).crossJoin(sizes[1]).withColumn("own", F.col(own)).withColumn("cell", cell) for rows, own in ((left, "lefts"), (right, "rights"))]
-        across = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("other") - 1))
-        l = grid[0].withColumn("other", F.col("rights")).select(*by, F.col("cell").alias("p"), F.explode(across).alias("q"), *_named(left, "l", "at"))
-        r = grid[1].withColumn("other", F.col("lefts")).select(*by, F.explode(across).alias("p"), F.col("cell").alias("q"), *_named(right, "r", "at"))
-        met = l.join(r, [*by, "p", "q"])
+        return _compared(left, right, bits, by)
     return met.withColumn("distance", _apart()).filter(F.col("distance") <= bits).select("l_id", "r_id", "l_at", "r_at", "distance")
 
 
@@ -233,7 +266,7 @@ def timed_hash_pairs(hashes: DataFrame, bits: int = ALIKE_BITS, seconds: float |
     if crowded.isEmpty():
         near = meetings(known, micros)
     else:
-        marked = [_marked(side, crowded) for side in (first, both)]
+        marked = [_marked(side, crowded, "bucket") for side in (first, both)]
         l, r = (side.filter("full is null").select("bucket", *_named(side, s, "at")) for side, s in zip(marked, "lr", strict=True))
         near = l.join(r, "bucket").filter(_within_once(micros))
         packed = _pairs_between(*(side.filter("full").drop("full") for side in marked), bits, ["bucket"]).filter(_within_once(micros))
@@ -246,8 +279,8 @@ def timed_hash_pairs(hashes: DataFrame, bits: int = ALIKE_BITS, seconds: float |
     return ends.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
-def _marked(rows: DataFrame, crowded: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(crowded), "bucket", "left") if is_small(crowded) else join_spread(rows, crowded, ["bucket"], "id")
+def _marked(rows: DataFrame, crowded: DataFrame, by: str) -> DataFrame:
+    return rows.join(F.broadcast(crowded), by, "left") if is_small(crowded) else join_spread(rows, crowded, [by], "id")
 
 
 def duplicate_photos(signatures: DataFrame, bits: int = ALIKE_BITS, seconds: float | None = ALIKE_SECONDS) -> DataFrame:

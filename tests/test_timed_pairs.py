@@ -59,3 +59,18 @@ def test_meetings_grow_in_proportion(spark):
 
     assert met(400) == sum(400 - k for k in (1, 2, 3))
     assert met(1600) < 4.1 * met(400)
+
+
+def test_crowded_chunks_are_dealt_out(spark, monkeypatch):
+    rows = [(i, (b >> 40) << 40 if i % 2 else b, t) for i, b, t in signatures(8, 160)]
+    compared, calls = duplicates._compared, []
+    monkeypatch.setattr(duplicates, "_compared", lambda left, right, bits, by: calls.append(by) or compared(left, right, bits, by, block=16))
+    got = {(r.a, r.b): r.distance for r in duplicates.hash_pairs(table(spark, rows), 12, full=30).collect()}
+    assert calls == [["key"]] and got == brute(rows, 12, None)
+
+
+def test_blocks_of_each_bucket_by_its_own_rows(spark):
+    at = [0] * 90 + [i + 1 for i in range(60)]
+    df = spark.createDataFrame([(i, 0, 0, t, t) for i, t in enumerate(at)], "id long, gradient long, brightness long, at long, bucket long")
+    seen = duplicates._compared(df, df, 40, ["bucket"], block=10)
+    assert seen.count() == 90 * 90 + 60 and seen.filter("l_at <> r_at").isEmpty()
