@@ -27,6 +27,9 @@ from kinlight.plans.lineage import broadcast_if_small, cut, join_spread
 
 #: Vectors in a block: two blocks and their product take about 40 MB at 512 dimensions.
 BLOCK = 2048
+#: Blocks that a join over all vectors aims at, so that copies of a row don't grow with the table, and the most vectors
+#: that a block is enlarged to for it: 16 MB at 64 dimensions, 128 MB at 512.
+GRID, LARGEST = 12, 32_768
 #: Pivots of a join at most; more rows than that many blocks make larger cells, not more of them.
 PIVOTS = 2048
 #: Vectors that pivots are chosen from, for each of them; they come to the driver.
@@ -168,13 +171,15 @@ def _group_sizes(rows: DataFrame, grouped: bool, block: int) -> tuple[DataFrame,
     return (rows.withColumn("pivots", F.lit(1)) if most == 1 else join_spread(rows, sizes, ["group"], "id", "inner")), most
 
 
-def blocks_of(vectors: DataFrame, least: float, id_col: str, vector_col: str, within: str | None = None, block: int = BLOCK) -> Blocks:
-    """Blocks of at most twice ``block`` vectors, and the pairs of them that a join for products of at least
+def blocks_of(vectors: DataFrame, least: float, id_col: str, vector_col: str, within: str | None = None, block: int | None = None) -> Blocks:
+    """Blocks of at most twice ``block`` vectors (None: ``BLOCK``, and for large tables without ``within`` more), and the pairs of them that a join for products of at least
     ``least`` has to multiply. With ``within``, only rows that share that column are paired. Rows without an id or a
     vector are left out; vectors of different lengths raise."""
     spark = vectors.sparkSession
     group = F.lit(0).cast("long") if within is None else F.col(within)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), group.alias("group")).filter("id is not null and vector is not null and group is not null")
+    if block is None:
+        block = BLOCK if within is not None else min(LARGEST, max(BLOCK, rows.count() // GRID))
     sized, most = _group_sizes(rows, within is not None, block)
     kind = f"id long, group {rows.schema['group'].dataType.simpleString()}, vector binary, cell int, angle double, norm double"
     if most == 1:

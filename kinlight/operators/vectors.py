@@ -21,19 +21,25 @@ from kinlight.plans.lineage import BROADCAST_ROWS, cut, is_small, join_spread
 
 #: Defaults of the face graph.
 NEIGHBOURS, SIMILARITY = 20, 0.35
+#: Products of two blocks that are held at once: 64 MB.
+PRODUCTS = 8 << 20
+
+
 def _best(a: np.ndarray, src: np.ndarray, b: np.ndarray, dst: np.ndarray, k: int, least: float) -> list[pd.DataFrame]:
     """The best ``k`` rows of ``b`` for each row of ``a``."""
     out = []
-    for i in range(0, len(a), 512):
-        sim = a[i : i + 512] @ b.T
-        sim[src[i : i + 512, None] == dst[None, :]] = -np.inf
+    step = max(1, min(512, PRODUCTS // max(1, len(b))))
+    for i in range(0, len(a), step):
+        sim = a[i : i + step] @ b.T
         row, col = np.nonzero(sim >= least)
+        other = src[i + row] != dst[col]
+        row, col = row[other], col[other]
         value = sim[row, col]
         order = np.lexsort((dst[col], -value, row))
         row, col, value = row[order], col[order], value[order]
         nth = np.arange(len(row)) - np.searchsorted(row, row)
         keep = nth < k
-        out.append(pd.DataFrame({"src": src[i : i + 512][row[keep]], "dst": dst[col[keep]], "similarity": value[keep]}))
+        out.append(pd.DataFrame({"src": src[i + row[keep]], "dst": dst[col[keep]], "similarity": value[keep]}))
     return out
 
 
@@ -61,7 +67,7 @@ def _sides(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
-def knn(vectors: DataFrame, k: int = NEIGHBOURS, least: float = SIMILARITY, block: int = BLOCK, id_col: str = "face_id", vector_col: str = "vector") -> DataFrame:
+def knn(vectors: DataFrame, k: int = NEIGHBOURS, least: float = SIMILARITY, block: int | None = None, id_col: str = "face_id", vector_col: str = "vector") -> DataFrame:
     """Exact k nearest neighbours by cosine of unit vectors: (src, dst, similarity, rank) for each of the
     best ``k`` others of at least ``least``; ties go to the smaller id.
 
@@ -76,7 +82,7 @@ def knn(vectors: DataFrame, k: int = NEIGHBOURS, least: float = SIMILARITY, bloc
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, least: float, id_col: str = "face_id", vector_col: str = "vector", within: str | None = None, block: int = BLOCK) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float, id_col: str = "face_id", vector_col: str = "vector", within: str | None = None, block: int | None = None) -> DataFrame:
     """All pairs a < b of at least ``least`` similarity, (a, b, similarity), by the same block products;
     with ``within``, only pairs that share that column."""
 
@@ -85,10 +91,11 @@ def similar_pairs(vectors: DataFrame, least: float, id_col: str = "face_id", vec
         found, out = _sides(pdf), []
         if same or len(found) == 2:
             (p, i), (q, j) = found[0], found[-1]
-            for at in range(0, len(p), 512):
-                sim = p[at : at + 512] @ q.T
+            step = max(1, min(512, PRODUCTS // len(q)))
+            for at in range(0, len(p), step):
+                sim = p[at : at + step] @ q.T
                 row, col = np.nonzero(sim >= least)
-                s, d = i[at : at + 512][row], j[col]
+                s, d = i[at + row], j[col]
                 keep = s < d if same else s != d
                 out.append(pd.DataFrame({"a": np.minimum(s, d)[keep], "b": np.maximum(s, d)[keep], "similarity": sim[row, col][keep]}))
         return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})

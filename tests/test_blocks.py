@@ -75,3 +75,13 @@ def test_bound_of_two_blocks():
         a, b = rng.integers(0, 400, 5), rng.integers(0, 400, 5)
         least = blocks.least_angle(np.array([np.arccos(np.clip(pivots[0] @ pivots[1], -1, 1))]), to[a, 0].min(), to[a, 0].max(), to[b, 1].min(), to[b, 1].max())
         assert least[0] <= np.arccos(np.clip(v[a] @ v[b].T, -1, 1)).min() + 1e-9
+
+
+def test_copies_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 50)
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(3000, 16))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())], "face_id long, vector array<double>")
+    copies = blocks.blocks_of(df, 0.3, "face_id", "vector").sides().groupBy("id").count()
+    assert copies.count() == 3000 and copies.agg({"count": "max"}).first()[0] <= 5 * blocks.GRID
