@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinlight.plans.lineage import dealt, tasks_for
 from kinlight.sources import schema
 
 #: What a summary counts.
@@ -28,12 +29,24 @@ def is_empty(store: dict[str, DataFrame]) -> bool:
     return all(store[n].isEmpty() for n in SUMMARY)
 
 
-def cascade(store: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Drop rows whose parent is gone, parents before children, and null references to what is gone."""
-    out = dict(store)
+def _cascade_tasks(store: dict[str, DataFrame]) -> int:
+    """Tasks for the joins of a cascade, by the largest of its tables."""
+    met = [{child, parent} for child, _, parent in schema.CASCADES if child in store and parent in store]
+    return tasks_for([store[n] for n in sorted(set().union(*met))])
+
+
+def cascade(store: dict[str, DataFrame], tasks: int | None = None) -> dict[str, DataFrame]:
+    """Drop rows whose parent is gone, parents before children, and null references to what is gone.
+
+    Parents' keys are dealt to ``tasks`` tasks, and children follow; without ``tasks``, the tables are counted. It is
+    the right side of these joins that is dealt, as Spark moves such joins below a repartition of the left one.
+    References that become null may be hot, so those joins are left to Spark.
+    """
+    out, tasks = dict(store), _cascade_tasks(store) if tasks is None else tasks
     for child, column, parent in schema.CASCADES:
         if child in out and parent in out:
-            out[child] = out[child].join(out[parent].select(F.col("id").alias(column)), column, "left_semi").select(*store[child].columns)
+            known = dealt(out[parent].select(F.col("id").alias(column)), column, tasks)
+            out[child] = out[child].join(known, column, "left_semi").select(*store[child].columns)
     for child, column, parent in schema.SET_NULL:
         if child in out and parent in out:
             known = out[parent].select(F.col("id").alias(column), F.lit(True).alias("_known"))
@@ -44,7 +57,9 @@ def cascade(store: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def delete_photos(store: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """Delete photos with all that hangs on them."""
-    return cascade(store | {"photos": store["photos"].join(ids.select("id"), "id", "left_anti")})
+    tasks = _cascade_tasks(store)
+    left = store["photos"].join(dealt(ids.select("id"), "id", tasks), "id", "left_anti")
+    return cascade(store | {"photos": left}, tasks)
 
 
 def delete_keys(table: DataFrame, keys: DataFrame) -> DataFrame:

@@ -17,6 +17,9 @@ BROADCAST_BYTES = 32 << 20
 HOT_KEYS = 100_000
 #: Rows of one key below which it is never hot.
 LEAST_HOT = 256
+#: About how many rows of the largest table a task of a dealt join takes. Spark's own partitions go by the shuffle's
+#: compressed bytes, into which narrow rows fit by the million, and sorts and hash maps take some 300 bytes for each.
+TASK_ROWS = 1_250_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -81,6 +84,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
+def tasks_for(tables: list[DataFrame]) -> int:
+    """In how many tasks none has more than about ``TASK_ROWS`` rows of any of ``tables``, which are counted: 1, or
+    one for each core at least."""
+    rows = max((t.count() for t in tables), default=0)
+    return 1 if rows <= TASK_ROWS else max(-(-rows // TASK_ROWS), tables[0].sparkSession.sparkContext.defaultParallelism)
+
+
+def dealt(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    """``df`` dealt by ``key`` to that many tasks, which joins and groups by the key then keep; as it is where one
+    is enough."""
+    return df.repartition(tasks, key) if tasks > 1 else df
+
+
 def join_spread(left: DataFrame, table: DataFrame, keys: list[str], salt_by: str, how: str = "left") -> DataFrame:
     """Join ``table`` (one row per key) to ``left`` where a few keys may hold most of ``left``'s rows.
 
